@@ -116,7 +116,7 @@ def parse_char_confs(text: Column) -> Column:
 
 def format_conf(conf: Column) -> Column:
     """H6: three decimals, half to even; for display only, never for the threshold test."""
-    return F.format_string("%.3f", F.bround(conf, 3))
+    return F.when(conf.isNotNull(), F.format_string("%.3f", F.bround(conf, 3)))
 
 
 def compose_status(status: Column, below: Column, processed: Column) -> Column:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from formloom.functions.scalars import UNCLEAR
 from formloom.operators.ranges import first_hit
 from formloom.operators.sizing import broadcast_if_small, inside
-from formloom.sources.templates import BASE_DPI, TemplateTables, receptors
+from formloom.sources.templates import BASE_DPI, GRID, TemplateTables, receptors
 
 # Fixed values, px at 300 dpi or plain ratios.
 LINE_GAP = 30.0
-BUCKET = 128
+BUCKET = GRID
 BAND_OVERLAP = 0.5
 NOISE_MAX = 1
 MISMATCH_RATIO = 0.55
@@ -28,13 +28,15 @@ def bucket_for(dpi: int) -> int:
     return max(1, round(BUCKET * dpi / BASE_DPI))
 
 
-def to_face_local(symbols: DataFrame, faces: DataFrame) -> DataFrame:
+def to_face_local(symbols: DataFrame, tables: TemplateTables) -> DataFrame:
     """B1: symbols whose centre lies in a face, in face coordinates, outside its exclusions.
 
     ``symbols`` carries ``template_id``; a template has a handful of faces, so
     the join fans out by that many candidates at most and keeps one.
     """
-    look_up = broadcast_if_small(faces.select("template_id", "face_id", "dpi", "source", "exclusions", "zones"))
+    look_up = tables.small(
+        tables.faces.select("template_id", "face_id", "dpi", "source", "exclusions", "zones")
+    )
     placed = (
         symbols.join(look_up, "template_id")
         .filter(inside(F.col("x"), F.col("y"), F.col("source")))
@@ -57,9 +59,10 @@ def assign_symbols(local: DataFrame, tables: TemplateTables, bucket: int = BUCKE
     places = receptors(tables.cells)
     payload = ["kind", "field_id", "region"]
     keys = ["template_id", "face_id"]
-    hit = first_hit(local, places, keys, payload, bucket=bucket)
-    solid = places.filter(F.col("kind") != "fallback")
-    hit = first_hit(hit, solid, keys, payload, bucket=bucket, out="probe")
+    hit = first_hit(
+        local, places, keys, payload, bucket=bucket, also=("probe", lambda c: c["kind"] != "fallback"),
+        known_rows=tables.place_area if bucket >= GRID else None,
+    )
     px, py = F.col("x"), F.col("y")
     below = F.coalesce(
         F.exists("zones", lambda z: (px >= z["x_min"]) & (px < z["x_max"]) & (py >= z["bottom"])),
@@ -76,6 +79,13 @@ def assign_symbols(local: DataFrame, tables: TemplateTables, bucket: int = BUCKE
     )
 
 
+def placement_counts(assigned: DataFrame) -> DataFrame:
+    """Symbols per page, destination and, for holes, field; reduced before the shuffle."""
+    return assigned.groupBy(
+        "page_id", "template_id", "kind", F.when(F.col("kind") == "hole", F.col("field_id")).alias("hole_field")
+    ).agg(F.count(F.lit(1)).alias("symbols"))
+
+
 def disposition_counts(assigned: DataFrame) -> DataFrame:
     """C4: symbols per page and destination."""
     return assigned.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("symbols"))
@@ -105,8 +115,8 @@ def _band_keys(regions: Column, rounds: int) -> Column:
             r["idx"].alias("idx"), r["x"].alias("x"), r["y"].alias("y"), r["h"].alias("h"), r["y"].alias("band")
         ),
     )
-    for _ in range(rounds):
-        bands = F.transform(
+    def widen(bands: Column) -> Column:
+        return F.transform(
             bands,
             lambda r: F.struct(
                 r["idx"].alias("idx"), r["x"].alias("x"), r["y"].alias("y"), r["h"].alias("h"),
@@ -115,7 +125,8 @@ def _band_keys(regions: Column, rounds: int) -> Column:
                 ).alias("band"),
             ),
         )
-    return bands
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), bands, lambda acc, _: widen(acc))
 
 
 def _joined(symbols: Column) -> tuple[Column, Column]:
@@ -145,8 +156,7 @@ def field_contents(assigned: DataFrame, tables: TemplateTables) -> DataFrame:
             lambda r, i: F.struct(i.alias("idx"), r["x"].alias("x"), r["y"].alias("y"), r["h"].alias("h")),
         ).alias("rects"),
     )
-    # one row out of the (small) template table: the most regions of a field
-    most = tables.cells.agg(F.max(F.size("extra_rects"))).first()[0] or 0
+    most = tables.regions() - 1
     gap = LINE_GAP * F.col("dpi") / BASE_DPI
     keep = ["page_id", "template_id", "field_id", "kind", "region", "x", "y", "seq", "text", "conf",
             "probe_field", "dpi"]
@@ -164,7 +174,7 @@ def field_contents(assigned: DataFrame, tables: TemplateTables) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("kind") == "fallback", one))).alias("fb"),
         F.collect_list(F.when(F.col("kind") == "fallback", F.coalesce("probe_field", F.lit("")))).alias("probes"),
     )
-    out = grouped.join(broadcast_if_small(spec), ["template_id", "field_id"])
+    out = grouped.join(tables.small(spec), ["template_id", "field_id"])
     ordered = F.col("main")
     if most:
         active = F.filter(
@@ -208,14 +218,16 @@ def discarded_hits(contents: DataFrame) -> DataFrame:
     )
 
 
-def hole_hits(assigned: DataFrame, contents: DataFrame) -> DataFrame:
+def hole_hits(counts: DataFrame, contents: DataFrame) -> DataFrame:
     """Symbols per (page, field) that fell into the field's hole, directly or by C2."""
-    direct = assigned.filter(F.col("kind") == "hole").select("page_id", "template_id", "field_id")
+    direct = counts.filter(F.col("kind") == "hole").select(
+        "page_id", "template_id", F.col("hole_field").alias("field_id"), "symbols"
+    )
     probed = discarded_hits(contents).filter(F.col("hole_field") != "").select(
-        "page_id", "template_id", F.col("hole_field").alias("field_id")
+        "page_id", "template_id", F.col("hole_field").alias("field_id"), F.lit(1).cast("long").alias("symbols")
     )
     return direct.unionByName(probed).groupBy("page_id", "template_id", "field_id").agg(
-        F.count(F.lit(1)).alias("holes")
+        F.sum("symbols").alias("holes")
     )
 
 
@@ -223,7 +235,7 @@ def cell_contents(contents: DataFrame, holes: DataFrame) -> DataFrame:
     """Contents after the holes: a field with any hole hit is unclear as a whole."""
     both = contents.select(
         "page_id", "template_id", "field_id",
-        F.struct("raw", "conf", "char_confs", "origin").alias("content"), F.lit(0).alias("holes"),
+        F.struct("raw", "conf", "char_confs", "origin").alias("content"), F.lit(0).cast("long").alias("holes"),
     ).unionByName(
         holes.select(
             "page_id", "template_id", "field_id",
@@ -270,9 +282,9 @@ def table_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def empty_rows(paged: DataFrame, cells: DataFrame) -> DataFrame:
+def empty_rows(paged: DataFrame, tables: TemplateTables) -> DataFrame:
     """Table rows of a page without content in any text cell."""
-    rows = broadcast_if_small(table_rows(cells))
+    rows = tables.small(table_rows(tables.cells))
     filled = F.coalesce(F.map_keys("contents"), F.array().cast("array<string>"))
     return (
         paged.withColumn("_filled", filled)
@@ -282,14 +294,16 @@ def empty_rows(paged: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def page_counters(pages: DataFrame, local: DataFrame, assigned: DataFrame, contents: DataFrame,
-                  holes: DataFrame, cells: DataFrame) -> DataFrame:
+def page_counters(pages: DataFrame, counts: DataFrame, contents: DataFrame, holes: DataFrame,
+                  tables: TemplateTables) -> DataFrame:
     """Counters per page; every page of ``pages`` has a row."""
     lone = F.count_if
-    placed = assigned.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("in_face"),
-        lone(F.col("kind") == "below_table").alias("below"),
-        lone(F.col("kind") == "other").alias("other_direct"),
+
+    def of(kind: str) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, F.col("symbols")).otherwise(0))
+
+    placed = counts.groupBy("page_id").agg(
+        F.sum("symbols").alias("in_face"), of("below_table").alias("below"), of("other").alias("other_direct")
     )
     discarded = F.size("discarded").cast("long")
     lost = F.size(F.filter("discarded", lambda h: h == "")).cast("long")
@@ -300,7 +314,7 @@ def page_counters(pages: DataFrame, local: DataFrame, assigned: DataFrame, conte
         lone((F.col("origin") == "conflict") & ~F.col("cell_output")).alias("conflict_excluded"),
         F.sum(lost).alias("other_discarded"),
     )
-    outputs = broadcast_if_small(cells.select("template_id", "field_id", "output"))
+    outputs = tables.small(tables.cells.select("template_id", "field_id", "output"))
     carved = holes.join(outputs, ["template_id", "field_id"]).groupBy("page_id").agg(
         F.sum("holes").alias("carve_hole"),
         F.sum(F.when(~F.col("output"), F.col("holes")).otherwise(0)).alias("carve_hole_excluded"),
@@ -342,9 +356,9 @@ def mismatch_ratios(tables: TemplateTables) -> DataFrame:
     )
 
 
-def format_mismatch(counters: DataFrame, page_totals: DataFrame, ratios: DataFrame) -> DataFrame:
+def format_mismatch(counters: DataFrame, page_totals: DataFrame, tables: TemplateTables) -> DataFrame:
     """Pages that do not look like their template."""
-    joined = counters.join(page_totals, "page_id").join(broadcast_if_small(ratios), "template_id")
+    joined = counters.join(page_totals, "page_id").join(tables.small(mismatch_ratios(tables)), "template_id")
     share = F.col("other") / F.col("in_face")
     bad = (F.col("page_total") == 0) | (F.col("in_face") == 0) | (share > F.col("ratio"))
     return joined.select("page_id", "in_face", "other", F.coalesce(bad, F.lit(True)).alias("mismatch"))
@@ -359,7 +373,7 @@ def overflow_candidates(local: DataFrame, tables: TemplateTables, targets: DataF
     main rect holds nothing.
     """
     band_w = F.greatest(F.lit(1), F.bround(F.col("rect.h") * scale).cast("int"))
-    aims = broadcast_if_small(
+    aims = tables.small(
         targets.select(
             "template_id", "face_id", "field_id", "rect", "digits",
             F.struct(
@@ -368,7 +382,7 @@ def overflow_candidates(local: DataFrame, tables: TemplateTables, targets: DataF
             ).alias("band"),
         )
     )
-    taken = broadcast_if_small(
+    taken = tables.small(
         receptors(tables.cells).filter(F.col("kind") != "hole")
         .groupBy("template_id", "face_id")
         .agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("rects"))

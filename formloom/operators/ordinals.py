@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom.operators.sizing import broadcast_if_small
-from formloom.session import ensure_checkpoint_dir
+from formloom.session import kept
 
 
 def running_total(
@@ -24,19 +24,14 @@ def running_total(
     Two levels: range partitions are cut along (keys, order), so a key that
     holds most rows spans many of them; each partition sums its own rows; the
     totals of the earlier partitions of the key (at most one row per partition
-    and key) are added. The partitioned rows are checkpointed once, so a lost
+    and key) are added. The partitioned rows are written once, so a lost
     executor cannot move a row to another range between the two passes.
     ``order`` must be unique within ``keys``.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     keys, order = list(keys), list(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = (
-        df.repartitionByRange(n, *keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
-    )
+    cut = kept(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
     totals = cut.groupBy(*keys, "_part").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formloom.operators.sizing import HOT_ROWS, SALTS, broadcast_if_small, fits_broadcast
+from formloom.operators.sizing import BROADCAST_ROWS, HOT_ROWS, SALTS, broadcast_if_small, fits_broadcast
 
 
 def _cells(start: Column, extent: Column, bucket: int) -> Column:
@@ -32,13 +32,19 @@ def first_hit(
     priority: str = "priority",
     bucket: int = 128,
     out: str = "hit",
+    also: tuple[str, Callable[[Column], Column]] | None = None,
     broadcast_rows: int | None = None,
+    known_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Attach to every point the containing rect of lowest ``priority`` (or NULL).
 
+    ``also`` names a second column and a test: it receives the best containing
+    rect among those that pass the test, from the same look-up.
+
     ``points`` has ``x``, ``y``; ``rects`` has ``x, y, w, h``. The bucket only
-    decides who is compared, never the result.
+    decides who is compared, never the result. ``known_rows`` is an upper bound
+    on the (rect, bucket) rows, if the caller has measured one.
 
     If the rect table is small enough, each bucket becomes one row holding its
     candidates in priority order and the join is a broadcast look-up: no
@@ -48,12 +54,12 @@ def first_hit(
     """
     keys = list(keys)
     fields = ["x", "y", "w", "h", *payload]
-    limit = {} if broadcast_rows is None else {"max_rows": broadcast_rows}
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     spots = points.withColumn("bx", F.floor(F.col("x") / bucket)).withColumn(
         "by", F.floor(F.col("y") / bucket)
     )
     cells = bucketed(rects.select(*keys, priority, *fields), bucket)
-    if fits_broadcast(cells, **limit):
+    if (known_rows is not None and known_rows <= limit) or fits_broadcast(cells, limit):
         index = cells.groupBy(*keys, "bx", "by").agg(
             F.sort_array(F.collect_list(F.struct(priority, *fields))).alias("_cand")
         )
@@ -62,11 +68,11 @@ def first_hit(
             "_cand",
             lambda c: (px >= c["x"]) & (px < c["x"] + c["w"]) & (py >= c["y"]) & (py < c["y"] + c["h"]),
         )
-        return (
-            spots.join(F.broadcast(index), [*keys, "bx", "by"], "left")
-            .withColumn(out, F.get(found, F.lit(0)))
-            .drop("_cand", "bx", "by")
-        )
+        joined = spots.join(F.broadcast(index), [*keys, "bx", "by"], "left").withColumn("_cand", found)
+        joined = joined.withColumn(out, F.get("_cand", F.lit(0)))
+        if also:
+            joined = joined.withColumn(also[0], F.get(F.filter("_cand", also[1]), F.lit(0)))
+        return joined.drop("_cand", "bx", "by")
     names = points.columns
     spots = spots.withColumn(
         "_salt", F.pmod(F.xxhash64(*[c for c in names if c not in keys]), F.lit(salts)).cast("int")
@@ -82,10 +88,13 @@ def first_hit(
         & (F.col("y") < F.col("_cand.y") + F.col("_cand.h")),
         F.col("_cand"),
     )
+    best = [F.min(hit).alias(out)]
+    if also:
+        best.append(F.min(F.when(also[1](F.col("_cand")), hit)).alias(also[0]))
     return (
         spots.join(index, [*keys, "bx", "by", "_salt"], "left")
         .groupBy(*names)
-        .agg(F.min(hit).alias(out))
+        .agg(*best)
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formloom.functions import scalars as S
 from formloom.operators.sizing import broadcast_if_small
+from formloom.sources.templates import TemplateTables
 
 DECIDE_GAP = 0.05
 CHOICE_THRESHOLD = 0.05
@@ -57,8 +58,8 @@ def pack_choices(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def build_rows(paged: DataFrame, cells: DataFrame, empties: DataFrame | None = None,
-               choices: DataFrame | None = None, rules: RowRules = RowRules()) -> DataFrame:
+def build_rows(paged: DataFrame, tables: TemplateTables, choices: DataFrame | None = None,
+               rules: RowRules = RowRules()) -> DataFrame:
     """H8: one row per (page, output column).
 
     ``paged`` has ``page_id, template_id, contents`` (a map of field to
@@ -72,7 +73,7 @@ def build_rows(paged: DataFrame, cells: DataFrame, empties: DataFrame | None = N
     text_fields = (
         F.when(F.col("kind") == "text", F.lit(True)).otherwise(False)
     )
-    spec = cells.withColumn(
+    spec = tables.cells.withColumn(
         "row_fields",
         F.when(
             F.col("table_id").isNotNull(),
@@ -94,7 +95,7 @@ def build_rows(paged: DataFrame, cells: DataFrame, empties: DataFrame | None = N
         decision = F.try_element_at("choice_map", F.col("field_id"))
     else:
         decision = F.lit(None).cast("string")
-    out = paged.join(broadcast_if_small(spec), "template_id")
+    out = paged.join(tables.small(spec), "template_id")
     filled = F.coalesce(F.map_keys("contents"), F.array().cast("array<string>"))
     is_empty = F.coalesce(
         (F.size("row_fields") > 0) & ~F.arrays_overlap(filled, "row_fields"), F.lit(False)

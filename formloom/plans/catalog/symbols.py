@@ -20,14 +20,14 @@ def _found(spark: SparkSession, d: str) -> Extraction:
 
 
 def face_local(spark: SparkSession, d: str) -> DataFrame:
-    return A.to_face_local(X.symbols(spark, d), X.form_tables(spark, d).faces).select(
+    return A.to_face_local(X.symbols(spark, d), X.form_tables(spark, d)).select(
         "page_id", "face_id", "seq", "x", "y", "text", "conf"
     )
 
 
 def symbol_assignment(spark: SparkSession, d: str) -> DataFrame:
     tables = X.form_tables(spark, d)
-    local = A.to_face_local(X.symbols(spark, d), tables.faces)
+    local = A.to_face_local(X.symbols(spark, d), tables)
     return A.assign_symbols(local, tables).filter(F.col("field_id").isNotNull()).select(
         "page_id", "face_id", "seq", "x", "y", "kind", "field_id", "region"
     )
@@ -35,7 +35,7 @@ def symbol_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 def unassigned_symbols(spark: SparkSession, d: str) -> DataFrame:
     tables = X.form_tables(spark, d)
-    local = A.to_face_local(X.symbols(spark, d), tables.faces)
+    local = A.to_face_local(X.symbols(spark, d), tables)
     return A.assign_symbols(local, tables).filter(F.col("field_id").isNull()).select(
         "page_id", "face_id", "seq", "x", "y", "kind"
     )
@@ -43,7 +43,7 @@ def unassigned_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_disposition(spark: SparkSession, d: str) -> DataFrame:
     tables = X.form_tables(spark, d)
-    local = A.to_face_local(X.symbols(spark, d), tables.faces)
+    local = A.to_face_local(X.symbols(spark, d), tables)
     return A.disposition_counts(A.assign_symbols(local, tables))
 
 
@@ -76,38 +76,38 @@ def fallback_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cell_contents(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d).cells.select("page_id", "field_id", "raw", "conf", "origin", _confs(), "holes")
+    return extract(X.symbols(spark, d), X.form_tables(spark, d), keep=True).cells.select("page_id", "field_id", "raw", "conf", "origin", _confs(), "holes")
 
 
 def empty_table_rows(spark: SparkSession, d: str) -> DataFrame:
     tables = X.form_tables(spark, d)
-    found = extract(X.symbols(spark, d), tables)
+    found = extract(X.symbols(spark, d), tables, keep=True)
     pages = X.pages(spark, d).select("page_id", "template_id")
-    return A.empty_rows(A.page_contents(pages, found.cells), tables.cells).select("page_id", "table_id", "row_no")
+    return A.empty_rows(A.page_contents(pages, found.cells), tables).select("page_id", "table_id", "row_no")
 
 
 def page_counters(spark: SparkSession, d: str) -> DataFrame:
     tables = X.form_tables(spark, d)
-    f = extract(X.symbols(spark, d), tables)
+    f = extract(X.symbols(spark, d), tables, keep=True)
     pages = X.pages(spark, d).select("page_id", "template_id")
-    return A.page_counters(pages, f.local, f.assigned, f.contents, f.holes, tables.cells).drop("template_id")
+    return A.page_counters(pages, f.counts, f.contents, f.holes, tables).drop("template_id")
 
 
 def format_mismatch(spark: SparkSession, d: str) -> DataFrame:
     tables = X.form_tables(spark, d)
     symbols = X.symbols(spark, d)
-    f = extract(symbols, tables)
+    f = extract(symbols, tables, keep=True)
     pages = X.pages(spark, d).select("page_id", "template_id")
-    counters = A.page_counters(pages, f.local, f.assigned, f.contents, f.holes, tables.cells)
+    counters = A.page_counters(pages, f.counts, f.contents, f.holes, tables)
     totals = pages.join(
         symbols.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")), "page_id", "left"
     ).select("page_id", F.coalesce("n", F.lit(0)).alias("page_total"))
-    return A.format_mismatch(counters, totals, A.mismatch_ratios(tables))
+    return A.format_mismatch(counters, totals, tables)
 
 
 def overflow_candidates(spark: SparkSession, d: str) -> DataFrame:
     tables = X.form_tables(spark, d)
-    local = A.to_face_local(X.symbols(spark, d), tables.faces)
+    local = A.to_face_local(X.symbols(spark, d), tables)
     rules = spark.createDataFrame(
         [(r"郵便番号\s*\d*\s*$", 7, "postal code")], "pattern STRING, digits INT, rule STRING"
     )

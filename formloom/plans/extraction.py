@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import assignment as A
 from formloom.operators import rows as R
+from formloom.session import kept
 from formloom.sources.templates import TemplateTables, output_columns
 
 
@@ -16,18 +17,28 @@ from formloom.sources.templates import TemplateTables, output_columns
 class Extraction:
     local: DataFrame
     assigned: DataFrame
+    counts: DataFrame
     contents: DataFrame
     holes: DataFrame
     cells: DataFrame
 
 
-def extract(symbols: DataFrame, tables: TemplateTables, bucket: int = A.BUCKET) -> Extraction:
-    """A1's symbols (with ``template_id``) to contents per (page, field)."""
-    local = A.to_face_local(symbols, tables.faces)
+def extract(symbols: DataFrame, tables: TemplateTables, bucket: int = A.BUCKET, keep: bool = False) -> Extraction:
+    """A1's symbols (with ``template_id``) to contents per (page, field).
+
+    The symbols are read twice: once for the contents (one shuffle of the
+    symbols that hit a field) and once for the counts, which are reduced on the
+    map side. With ``keep`` both, a fraction of the symbols, are written to the
+    shared checkpoint folder so that holes, counters and rows read them from there.
+    """
+    local = A.to_face_local(symbols, tables)
     assigned = A.assign_symbols(local, tables, bucket)
+    counts = A.placement_counts(assigned)
     contents = A.field_contents(assigned, tables)
-    holes = A.hole_hits(assigned, contents)
-    return Extraction(local, assigned, contents, holes, A.cell_contents(contents, holes))
+    if keep:
+        contents, counts = kept(contents), kept(counts)
+    holes = A.hole_hits(counts, contents)
+    return Extraction(local, assigned, counts, contents, holes, A.cell_contents(contents, holes))
 
 
 def form_values(symbols: DataFrame, pages: DataFrame, tables: TemplateTables,
@@ -35,7 +46,7 @@ def form_values(symbols: DataFrame, pages: DataFrame, tables: TemplateTables,
     """One row per (page, output column); every page of ``pages`` appears in full."""
     found = extract(symbols, tables)
     paged = A.page_contents(pages, found.cells)
-    return R.build_rows(paged, tables.cells, choices=choices, rules=rules)
+    return R.build_rows(paged, tables, choices=choices, rules=rules)
 
 
 def form_rows(symbols: DataFrame, pages: DataFrame, tables: TemplateTables, template_id,

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """Spread rows over the cores when the scan yields fewer tasks than there are cores.
+
+    A table of many files already has enough tasks and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def from_sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """Run fixture SQL over the named tables."""
     for n in names:
@@ -96,12 +105,31 @@ SELECT c_custkey AS page_id, CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN '' WHEN
  CASE CAST(c_custkey % 9 AS INT) WHEN 0 THEN 'conflict' WHEN 1 THEN 'fallback' ELSE '' END AS origin,
  c_custkey % 13 = 0 AS is_empty FROM customer"""
 
-# Rects of one template per part: five fields whose widths grow until gaps close.
-RECT_SQL = """
-SELECT p_partkey AS template_id, f.field_id, f.ord, CAST(f.x + p_partkey % 11 * 7 AS INT) AS x, f.y AS y,
- CAST(f.w + p_partkey % 5 * 40 AS INT) AS w, f.h AS h, p_partkey % 4 <> 0 AS output
-FROM part CROSS JOIN (VALUES ('name', 0, 100, 100, 400, 80), ('date', 1, 600, 100, 300, 80), ('note', 2, 100, 750, 850, 150),
- ('zip', 3, 1000, 100, 200, 80), ('memo', 4, 980, 760, 300, 100), ('tag', 5, 560, 130, 20, 30), ('note', 6, 100, 900, 400, 90), ('memo', 7, 900, 880, 90, 60)) AS f(field_id, ord, x, y, w, h)"""
+# Rects of one template per part: fields whose widths grow until gaps close.
+RECTS = [
+    ("name", 0, 100, 100, 400, 80), ("date", 1, 600, 100, 300, 80), ("note", 2, 100, 750, 850, 150),
+    ("zip", 3, 1000, 100, 200, 80), ("memo", 4, 980, 760, 300, 100), ("name", 5, 560, 130, 20, 30),
+    ("note", 6, 100, 900, 400, 90), ("memo", 7, 900, 880, 90, 60), ("date", 8, 100, 820, 60, 40),
+]
+RECT_SQL = f"""
+SELECT p_partkey AS template_id, f.field_id, f.ord, CASE WHEN f.ord = 7 THEN 'fallback' ELSE 'region' END AS kind,
+ CAST(f.x + p_partkey % 11 * 7 AS INT) AS x, f.y AS y, CAST(f.w + p_partkey % 5 * 40 AS INT) AS w, f.h AS h, p_partkey % 4 <> 0 AS output
+FROM part CROSS JOIN (VALUES {", ".join(map(str, RECTS))}) AS f(field_id, ord, x, y, w, h)"""
+
+
+def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RECT_SQL: every part explodes into the rects of its template."""
+    p = F.col("p_partkey")
+    listed = F.array(*[
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(("field_id", "ord", "x", "y", "w", "h"), r)]) for r in RECTS
+    ])
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(listed).alias("f")).select(
+        p.alias("template_id"), "f.field_id", "f.ord",
+        F.when(F.col("f.ord") == 7, "fallback").otherwise("region").alias("kind"),
+        (F.col("f.x") + p % 11 * 7).cast("int").alias("x"), "f.y",
+        (F.col("f.w") + p % 5 * 40).cast("int").alias("w"), "f.h", (p % 4 != 0).alias("output"),
+    )
+
 
 SRC_SQL = """
 SELECT concat('scan_', lpad(CAST(doc_id AS STRING), 6, '0'), '.pdf') AS name, sha256(text) AS hash, CAST(1 + doc_id % 3 AS BIGINT) AS n_pages FROM documents"""
@@ -199,11 +227,11 @@ def part_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_tables(spark: SparkSession, sf_dir: str) -> TemplateTables:
-    return expand_templates(form_templates(spark, sf_dir))
+    return expand_templates(form_templates(spark, sf_dir)).settled()
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, SYM_SQL, "lineitem")
+    return widened(from_sql(spark, sf_dir, SYM_SQL, "lineitem"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

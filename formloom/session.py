@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -22,6 +23,7 @@ def local_session(cores: str | int = "*", app: str = "formloom", **extra) -> Spa
     settings = {
         **DEFAULTS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("FORMLOOM_DRIVER_MEMORY", "16g"),
         "spark.sql.shuffle.partitions": str(cores if str(cores).isdigit() else 8),
         "spark.driver.host": "127.0.0.1",
@@ -51,3 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="formloom-checkpoint-")
     context.setCheckpointDir(named)
     return named
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder and read back.
+
+    Unlike ``checkpoint()`` this runs the plan a single time, and readers prune
+    columns of the written table. A lost executor only re-reads it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

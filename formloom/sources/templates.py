@@ -7,7 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formloom.operators.sizing import BROADCAST_ROWS, broadcast_if_small
+from formloom.session import kept
+
 BASE_DPI = 300
+GRID = 128
 
 _RECT = "STRUCT<x: INT, y: INT, w: INT, h: INT>"
 TEMPLATE_SCHEMA = f"""
@@ -34,10 +38,50 @@ ANCHOR_SEARCH = 24
 
 @dataclass(frozen=True)
 class TemplateTables:
-    """``cells``: one row per cell; ``faces``: one row per face with its arrays."""
+    """``cells``: one row per cell; ``faces``: one row per face with its arrays.
+
+    ``cell_rows``, ``max_regions`` and ``place_area`` (an upper bound on the
+    grid buckets all receptors touch) are measured by :meth:`settled`.
+    """
 
     cells: DataFrame
     faces: DataFrame
+    cell_rows: int | None = None
+    max_regions: int | None = None
+    place_area: int | None = None
+
+    def settled(self) -> TemplateTables:
+        """The same tables computed once, measured, and cut from their JSON.
+
+        Every later stage looks templates up several times; without this each
+        look-up would parse the documents again.
+        """
+        cells, faces = kept(self.cells), kept(self.faces)
+        def touched(r: Column) -> Column:
+            return (F.floor(r["w"] / GRID) + 2) * (F.floor(r["h"] / GRID) + 2)
+
+        rects = F.concat(F.array("rect", "fallback"), F.col("extra_rects"))
+        places = F.aggregate(
+            F.filter(rects, lambda r: r.isNotNull()), F.lit(0).cast("long"), lambda a, r: a + touched(r)
+        )
+        # a hole box spans at most its whole face
+        page = F.when(F.size("extra_rects") > 0, 4096).otherwise(0)
+        rows, regions, area = cells.agg(
+            F.count(F.lit(1)), F.max(F.size("extra_rects") + 1), F.sum(places + page)
+        ).first()
+        return TemplateTables(cells, faces, rows, regions or 1, area or 0)
+
+    def regions(self) -> int:
+        """The most regions any field has: one number out of the template table."""
+        if self.max_regions is not None:
+            return self.max_regions
+        return self.cells.agg(F.max(F.size("extra_rects") + 1)).first()[0] or 1
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """``df``, a table with at most a few rows per cell, hinted for broadcast if its size allows."""
+        if self.cell_rows is not None and self.cell_rows * 4 <= BROADCAST_ROWS:
+            return F.broadcast(df)
+        return broadcast_if_small(df)
 
 
 def _rect(x, y, w, h) -> Column:
