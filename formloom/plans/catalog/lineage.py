@@ -275,7 +275,7 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     )
     base = _scratch(spark)
     sinks.write_wide_csv(docs, f"{base}/csv")
-    back = spark.read.csv(f"{base}/csv", header=True, quote='"', escape='"', multiLine=True, lineSep="\r\n",
+    back = spark.read.csv(f"{base}/csv", header=True, quote='"', escape='"', multiLine=True,
                           schema="page_id LONG, text STRING, lang STRING")
     return back.select("page_id", F.md5("text").alias("digest"), F.coalesce("lang", F.lit("")).alias("lang"))
 

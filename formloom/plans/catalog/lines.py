@@ -1 +1,284 @@
-ENTRIES = {}
+"""Queries over line positions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formloom.operators import lines as L
+from formloom.operators import runs as U
+from formloom.plans import fixtures as X
+from formloom.plans.catalog import Entry
+
+LIMIT = 20
+
+
+def found_lines(spark: SparkSession, d: str) -> DataFrame:
+    return X.from_sql(spark, d, X.FOUND_SQL, "lineitem")
+
+
+def printed_lines(spark: SparkSession, d: str) -> DataFrame:
+    listed = F.array(*[
+        F.struct(F.lit(f).alias("face_id"), F.lit(a).alias("axis"), F.lit(1 if a == "h" and i >= 6 else 0).alias("block_idx"), F.lit(i * 60).alias("pos"))
+        for f in ("front", "back") for a in ("h", "v") for i in range(12)
+    ])
+    return X.table(spark, d, "nation").select(
+        F.concat(F.lit("form-"), F.col("n_nationkey").cast("string")).alias("template_id"), F.explode(listed).alias("l")
+    ).select("template_id", "l.*", F.lit(LIMIT).alias("limit"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return X.pages(spark, d).select("page_id", "template_id")
+
+
+def _estimates(spark: SparkSession, d: str) -> DataFrame:
+    return L.match_lines(_pages(spark, d), found_lines(spark, d), printed_lines(spark, d))
+
+
+def shift_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return _estimates(spark, d).select(
+        "page_id", "face_id", "dx", "dy", "matched", "det_h", "det_v", "matched_uniq", "at_boundary", "reason"
+    )
+
+
+def face_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return L.face_verdicts(_estimates(spark, d)).select("page_id", "face_id", "verdict", "why", "score")
+
+
+def page_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    faces = L.face_verdicts(_estimates(spark, d)).withColumn("face_ord", F.when(F.col("face_id") == "front", 0).otherwise(1))
+    return L.fold_verdicts(faces, ["page_id"])
+
+
+CANDIDATES = (("even", 60, 12), ("wide", 80, 9), ("dense", 40, 17), ("half", 120, 6))
+
+
+def candidate_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every page against four forms; the list of forms is the candidate set of its aspect."""
+    listed = F.array(*[
+        F.struct(F.lit(n).alias("template_id"), F.lit(f).alias("face_id"), F.lit(a).alias("axis"), F.lit(0).alias("block_idx"), F.lit(i * p).alias("pos"))
+        for n, p, k in CANDIDATES for f in ("front", "back") for a in ("h", "v") for i in range(k)
+    ])
+    expected = spark.range(1).select(F.explode(listed).alias("l")).select("l.*", F.lit(LIMIT).alias("limit"))
+    pages = _pages(spark, d).select("page_id", F.explode(F.array(*[F.lit(n) for n, _, _ in CANDIDATES])).alias("template_id"))
+    faces = L.face_verdicts(L.match_lines(pages, found_lines(spark, d), expected)).withColumn(
+        "face_ord", F.when(F.col("face_id") == "front", 0).otherwise(1)
+    )
+    folded = L.fold_verdicts(faces, ["page_id", "template_id"])
+    return L.rank_candidates(folded.select("page_id", F.col("template_id").alias("name"), "verdict", "score"))
+
+
+def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pages, their customers' markets as candidates with scores from the order."""
+    raw = X.from_sql(
+        spark, d,
+        """SELECT l_orderkey AS page_id, concat('form-', CAST(l_linenumber AS STRING)) AS name, max(CAST(l_discount AS DOUBLE) * 10) AS score,
+ CASE WHEN max(l_returnflag) = 'A' THEN 'mismatch' ELSE 'match' END AS verdict FROM lineitem GROUP BY 1, 2""",
+        "lineitem",
+    )
+    cut = X.table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("page_id"))
+    return L.rank_candidates(raw, cut)
+
+
+def nearest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Expected positions 0, 80, ..., 400 against the lines of every page."""
+    lines = X.from_sql(spark, d, X.LINE_SQL, "lineitem")
+    targets = lines.select("page_id").distinct().select(
+        "page_id", F.explode(F.array(*[F.lit(80 * i) for i in range(6)])).alias("target")
+    )
+    return L.nearest_lines(targets, lines, ["page_id"])
+
+
+def line_residuals(spark: SparkSession, d: str) -> DataFrame:
+    return L.line_residuals(nearest_lines(spark, d), ["page_id"], F.lit(5))
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    ok = _estimates(spark, d).filter(F.col("reason") == "")
+    return L.block_shifts(_pages(spark, d), found_lines(spark, d), printed_lines(spark, d), ok)
+
+
+def _tolerance(spark: SparkSession, d: str) -> DataFrame:
+    return printed_lines(spark, d).select("template_id", "face_id", "block_idx", F.lit(2).alias("row_gap")).distinct()
+
+
+def block_residuals(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("page_id", "face_id", "block_idx", "block_votes", "block_expected", "med", "max_abs", "pairs", "unpaired")
+
+
+def snap_plans(spark: SparkSession, d: str) -> DataFrame:
+    return L.snap_plan(_blocks(spark, d), _tolerance(spark, d)).select(
+        "page_id", "face_id", "outcome", "applied",
+        F.array_join(F.transform("blocks", lambda b: b["dy"].cast("string")), ",").alias("dys"),
+    )
+
+
+def _block_rects(spark: SparkSession, d: str) -> DataFrame:
+    """One rect per printed row band, 58 px high, and a single field that does not move."""
+    lines = printed_lines(spark, d).filter(F.col("axis") == "h")
+    rects = lines.select(
+        "template_id", "face_id", "block_idx", F.concat(F.lit("r"), F.lpad(F.col("pos").cast("string"), 3, "0")).alias("field_id"),
+        F.lit(0).alias("x"), F.col("pos").alias("y"), F.lit(100).alias("w"), F.lit(58).alias("h"),
+    )
+    single = lines.select(
+        "template_id", "face_id", F.lit(None).cast("int").alias("block_idx"), F.lit("single").alias("field_id"),
+        F.lit(0).alias("x"), F.lit(720).alias("y"), F.lit(100).alias("w"), F.lit(40).alias("h"),
+    ).distinct()
+    return rects.unionByName(single)
+
+
+def shifted_cells(spark: SparkSession, d: str) -> DataFrame:
+    plan = L.snap_plan(_blocks(spark, d), _tolerance(spark, d))
+    return L.apply_shift(_block_rects(spark, d), plan).select("page_id", "face_id", "field_id", "y", "new_y")
+
+
+def new_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """With a tolerance of four pixels some blocks move into each other."""
+    wide = _tolerance(spark, d).withColumn("row_gap", F.lit(4))
+    return L.new_overlaps(L.apply_shift(_block_rects(spark, d), L.snap_plan(_blocks(spark, d), wide)))
+
+
+def otsu_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return L.otsu_threshold(X.from_sql(spark, d, X.HIST_SQL, "events"), ["grp"])
+
+
+def ink_profile(spark: SparkSession, d: str) -> DataFrame:
+    runs = X.from_sql(spark, d, X.RUN_SQL, "lineitem")
+    return U.profile(runs, ["page_id"], F.lit(100), F.lit(500))
+
+
+def line_positions(spark: SparkSession, d: str) -> DataFrame:
+    return L.line_positions(ink_profile(spark, d), ["page_id"], F.lit(150))
+
+
+PROFILE_SQL = f"""WITH r AS ({X.RUN_SQL}), c AS (SELECT page_id, scan, greatest(s, 100) AS s, least(e + 1, 500) AS e FROM r), d AS (SELECT * FROM c WHERE e > s),
+b AS (SELECT *, max(e) OVER (PARTITION BY page_id, scan ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d),
+i AS (SELECT *, sum(CASE WHEN s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, scan ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM b),
+u AS (SELECT page_id, scan, isle, max(e) - min(s) AS len FROM i GROUP BY 1, 2, 3), prof AS (SELECT page_id, scan, sum(len)::BIGINT AS ink FROM u GROUP BY 1, 2)
+"""
+
+
+def _estimate_ctes(pages: str, printed: str, limit: int = LIMIT) -> str:
+    """CTE est (page_id, template_id, face_id, ...) by comparing every shift with every line."""
+    return f"""
+pg AS ({pages}), pr AS ({printed}), fo AS ({X.FOUND_SQL}),
+det AS (SELECT DISTINCT page_id, face_id, axis, pos FROM fo),
+sh AS (SELECT unnest(range(-{limit}, {limit} + 1))::INT AS s),
+ex AS (SELECT *, row_number() OVER () AS eid FROM pr),
+near0 AS (SELECT p.page_id, p.template_id, e.face_id, e.axis, e.eid, d.pos - e.pos AS diff FROM pg p JOIN ex e USING (template_id)
+  JOIN det d ON d.page_id = p.page_id AND d.face_id = e.face_id AND d.axis = e.axis AND abs(d.pos - e.pos) <= {limit} + 1),
+vote AS (SELECT n.page_id, n.template_id, n.face_id, n.axis, sh.s, count(DISTINCT n.eid) AS votes FROM near0 n JOIN sh ON abs(n.diff - sh.s) <= 1 GROUP BY ALL),
+base AS (SELECT p.page_id, p.template_id, e.face_id, e.axis, count(*) AS n_exp, count(DISTINCT e.pos) AS n_uniq FROM pg p JOIN ex e USING (template_id) GROUP BY ALL),
+best AS (SELECT * FROM vote QUALIFY row_number() OVER (PARTITION BY page_id, template_id, face_id, axis ORDER BY votes DESC, abs(s), s) = 1),
+ax AS (SELECT b.*, coalesce(t.s, 0) AS s, coalesce(t.votes, 0) AS votes,
+  coalesce((SELECT max(v.votes) FROM vote v WHERE v.page_id = b.page_id AND v.template_id = b.template_id AND v.face_id = b.face_id AND v.axis = b.axis AND abs(v.s - coalesce(t.s, 0)) >= 4), 0) AS runner
+  FROM base b LEFT JOIN best t USING (page_id, template_id, face_id, axis)),
+tg AS (SELECT DISTINCT a.page_id, a.template_id, a.face_id, a.axis, a.s, e.pos FROM ax a JOIN ex e ON e.template_id = a.template_id AND e.face_id = a.face_id AND e.axis = a.axis),
+dist AS (SELECT t.*, min(abs(d.pos - t.pos - t.s)) AS ad FROM tg t LEFT JOIN det d ON d.page_id = t.page_id AND d.face_id = t.face_id AND d.axis = t.axis GROUP BY ALL),
+ends AS (SELECT template_id, face_id, axis, block_idx, min(pos) AS pos FROM pr GROUP BY ALL UNION SELECT template_id, face_id, axis, block_idx, max(pos) FROM pr GROUP BY ALL),
+fact AS (SELECT t.page_id, t.template_id, t.face_id, t.axis, count(*) FILTER (ad <= 1) AS mu,
+  bool_and(CASE WHEN t.axis = 'h' AND e.pos IS NOT NULL THEN coalesce(ad <= 2, false) ELSE true END) AS edges
+  FROM dist t LEFT JOIN (SELECT DISTINCT template_id, face_id, axis, pos FROM ends) e USING (template_id, face_id, axis, pos) GROUP BY ALL),
+cnt AS (SELECT page_id, face_id, axis, count(*) AS n FROM det GROUP BY ALL),
+full0 AS (SELECT a.*, f.mu, f.edges, coalesce(c.n, 0) AS n_det, greatest(2, ceil(n_exp * 0.5)) AS need FROM ax a JOIN fact f USING (page_id, template_id, face_id, axis)
+  LEFT JOIN cnt c ON c.page_id = a.page_id AND c.face_id = a.face_id AND c.axis = a.axis),
+est AS (SELECT page_id, template_id, face_id, max(s) FILTER (axis = 'v') AS dx, max(s) FILTER (axis = 'h') AS dy, sum(votes)::BIGINT AS matched,
+  max(n_det) FILTER (axis = 'h') AS det_h, max(n_det) FILTER (axis = 'v') AS det_v, max(n_uniq) FILTER (axis = 'h') AS exp_h, max(n_uniq) FILTER (axis = 'v') AS exp_v,
+  sum(mu)::BIGINT AS matched_uniq, bool_or(abs(s) >= {limit}) AS at_boundary,
+  CASE WHEN bool_or(votes < need) THEN 'few_lines' WHEN bool_or(abs(s) >= {limit}) THEN 'boundary' WHEN bool_or(votes - runner < 2) THEN 'ambiguous'
+   WHEN NOT bool_and(edges) THEN 'edge_mismatch' ELSE '' END AS reason FROM full0 GROUP BY 1, 2, 3),
+verd AS (SELECT *, CASE reason WHEN '' THEN 'match' WHEN 'boundary' THEN 'undecidable' WHEN 'edge_mismatch' THEN 'undecidable' WHEN 'ambiguous' THEN 'mismatch'
+   ELSE CASE WHEN det_h < exp_h * 0.5 OR det_v < exp_v * 0.5 OR at_boundary THEN 'undecidable' ELSE 'mismatch' END END AS verdict,
+  CASE reason WHEN '' THEN '' WHEN 'boundary' THEN 'boundary' WHEN 'edge_mismatch' THEN 'edge' WHEN 'ambiguous' THEN 'ambiguous'
+   ELSE CASE WHEN det_h < exp_h * 0.5 OR det_v < exp_v * 0.5 THEN 'few_lines' WHEN at_boundary THEN 'boundary' ELSE 'lines' END END AS why,
+  matched_uniq::DOUBLE / (exp_h + exp_v) AS score FROM est),
+folded AS (SELECT * FROM verd QUALIFY row_number() OVER (PARTITION BY page_id, template_id ORDER BY CASE verdict WHEN 'mismatch' THEN 0 WHEN 'match' THEN 2 ELSE 1 END, score, face_id DESC) = 1)
+"""
+
+
+_EST = "WITH" + _estimate_ctes(X.PAGE_SQL, X.PRINTED_SQL)
+_CAND = ", ".join(f"('{n}', {p}, {k})" for n, p, k in CANDIDATES)
+_CAND_EST = "WITH" + _estimate_ctes(
+    f"SELECT p.page_id, c.n AS template_id FROM ({X.PAGE_SQL}) p CROSS JOIN (VALUES {_CAND}) c(n, p, k)",
+    f"""SELECT c.n AS template_id, f.face_id, a.axis, 0 AS block_idx, (i.i * c.p)::INT AS pos FROM (VALUES {_CAND}) c(n, p, k), (VALUES ('front'), ('back')) f(face_id),
+ (VALUES ('h'), ('v')) a(axis), (SELECT unnest(range(0, 17)) AS i) i WHERE i.i < c.k""",
+)
+_RANK = """, m AS (SELECT *, list_sort(list(score) FILTER (verdict = 'match') OVER (PARTITION BY page_id), 'DESC') AS ss FROM cand),
+ c AS (SELECT *, NOT cut AND len(ss) > 0 AND coalesce(ss[1] - ss[2] >= 0.1, true) AS clear FROM m)
+ SELECT page_id, name, verdict, score, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN coalesce(clear, false) THEN -score END, name) AS rank,
+  coalesce(clear, false) AND verdict = 'match' AND score = ss[1] AS pick FROM c"""
+_BLOCKS = _EST + f""", okp AS (SELECT page_id, template_id, face_id, dy FROM est WHERE reason = ''),
+ bdet AS (SELECT DISTINCT page_id, face_id, block_idx, pos FROM fo WHERE axis = 'h'),
+ bt AS (SELECT o.page_id, o.template_id, o.face_id, e.block_idx, e.pos, o.dy FROM okp o JOIN pr e ON e.template_id = o.template_id AND e.face_id = o.face_id AND e.axis = 'h'),
+ bd0 AS (SELECT t.*, d.pos - t.pos - t.dy AS diff FROM bt t LEFT JOIN bdet d ON d.page_id = t.page_id AND d.face_id = t.face_id AND d.block_idx = t.block_idx),
+ bd AS (SELECT * FROM bd0 QUALIFY row_number() OVER (PARTITION BY page_id, face_id, block_idx, pos ORDER BY abs(diff), diff DESC) = 1),
+ br AS (SELECT page_id, template_id, face_id, block_idx, list_sort(list(diff) FILTER (abs(diff) <= {LIMIT})) AS ds, count(*) AS n FROM bd GROUP BY ALL),
+ bv0 AS (SELECT t.page_id, t.face_id, t.block_idx, sh.s, count(DISTINCT t.pos) AS votes FROM (SELECT DISTINCT page_id, face_id, block_idx, pos FROM bt) t JOIN sh ON true
+   JOIN bdet d ON d.page_id = t.page_id AND d.face_id = t.face_id AND d.block_idx = t.block_idx AND abs(d.pos - t.pos - sh.s) <= 1 GROUP BY ALL),
+ bv AS (SELECT page_id, face_id, block_idx, max(votes) AS votes FROM bv0 GROUP BY ALL),
+ blk AS (SELECT r.page_id, r.template_id, r.face_id, r.block_idx, coalesce(v.votes, 0) AS block_votes, n AS block_expected, coalesce(ds[((len(ds) + 1) // 2)::INT], 0) AS med,
+  coalesce(list_max(list_transform(ds, lambda q: abs(q))), 0) AS max_abs, coalesce(len(ds), 0) AS pairs, n - coalesce(len(ds), 0) AS unpaired FROM br r LEFT JOIN bv v USING (page_id, face_id, block_idx)),
+ plan AS (SELECT page_id, template_id, face_id, bool_or(block_votes < greatest(2, ceil(block_expected / 2.0)) OR abs(med) > {{tol}}) AS failsafe,
+  string_agg(med::VARCHAR, ',' ORDER BY block_idx) AS dys, list(med ORDER BY block_idx) AS dl FROM blk GROUP BY 1, 2, 3),
+ rect AS (SELECT DISTINCT template_id, face_id, block_idx, 'r' || lpad(pos::VARCHAR, 3, '0') AS field_id, pos AS y, 58 AS h FROM pr WHERE axis = 'h'
+  UNION SELECT DISTINCT template_id, face_id, NULL, 'single', 720, 40 FROM pr),
+ moved AS (SELECT p.page_id, p.face_id, r.field_id, r.y, r.h, r.y + CASE WHEN p.failsafe OR r.block_idx IS NULL THEN 0 ELSE p.dl[r.block_idx + 1] END AS new_y
+  FROM plan p JOIN rect r ON r.template_id = p.template_id AND r.face_id = p.face_id)
+"""
+
+ENTRIES = {
+    "shift_estimates": Entry(
+        shift_estimates, _EST + "SELECT page_id, face_id, dx, dy, matched, det_h, det_v, matched_uniq, at_boundary, reason FROM est"
+    ),
+    "face_verdicts": Entry(face_verdicts, _EST + "SELECT page_id, face_id, verdict, why, score FROM verd"),
+    "page_verdicts": Entry(
+        page_verdicts, _EST + "SELECT page_id, verdict, why, score, det_h + det_v AS detected, exp_h + exp_v AS expected FROM folded"
+    ),
+    "candidate_matches": Entry(
+        candidate_matches, _CAND_EST + ", cand AS (SELECT page_id, template_id AS name, verdict, score, false AS cut FROM folded)" + _RANK
+    ),
+    "ranked_candidates": Entry(
+        ranked_candidates,
+        """WITH cand AS (SELECT l_orderkey AS page_id, 'form-' || l_linenumber AS name, max(l_discount * 10) AS score, CASE WHEN max(l_returnflag) = 'A' THEN 'mismatch' ELSE 'match' END AS verdict,
+  l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') AS cut FROM lineitem GROUP BY ALL)""" + _RANK,
+    ),
+    "nearest_lines": Entry(
+        nearest_lines,
+        f"""WITH l AS ({X.LINE_SQL}), t AS (SELECT DISTINCT page_id, unnest([0, 80, 160, 240, 320, 400]) AS target FROM l)
+ SELECT t.page_id, t.target, l.pos - t.target AS distance FROM t JOIN l USING (page_id) QUALIFY row_number() OVER (PARTITION BY t.page_id, t.target ORDER BY abs(l.pos - t.target), l.pos DESC) = 1""",
+    ),
+    "line_residuals": Entry(
+        line_residuals,
+        f"""WITH l AS ({X.LINE_SQL}), t AS (SELECT DISTINCT page_id, unnest([0, 80, 160, 240, 320, 400]) AS target FROM l),
+ n AS (SELECT t.page_id, t.target, l.pos - t.target AS d FROM t JOIN l USING (page_id) QUALIFY row_number() OVER (PARTITION BY t.page_id, t.target ORDER BY abs(l.pos - t.target), l.pos DESC) = 1),
+ g AS (SELECT page_id, list_sort(list(d) FILTER (abs(d) <= 5)) AS ds, count(*) AS n FROM n GROUP BY 1)
+ SELECT page_id, coalesce(ds[((len(ds) + 1) // 2)::INT], 0) AS med, coalesce(list_max(list_transform(ds, lambda q: abs(q))), 0) AS max_abs, coalesce(len(ds), 0) AS pairs, n - coalesce(len(ds), 0) AS unpaired FROM g""",
+    ),
+    "block_residuals": Entry(
+        block_residuals,
+        _BLOCKS.format(tol=2) + "SELECT page_id, face_id, block_idx, block_votes, block_expected, med, max_abs, pairs, unpaired FROM blk",
+    ),
+    "snap_plans": Entry(
+        snap_plans,
+        _BLOCKS.format(tol=2) + "SELECT page_id, face_id, CASE WHEN failsafe THEN 'failsafe' ELSE 'none' END AS outcome, NOT failsafe AS applied, dys FROM plan",
+    ),
+    "shifted_cells": Entry(shifted_cells, _BLOCKS.format(tol=2) + "SELECT page_id, face_id, field_id, y, new_y FROM moved"),
+    "new_overlaps": Entry(
+        new_overlaps,
+        _BLOCKS.format(tol=4) + """SELECT a.page_id, a.face_id, count(*) AS new_pairs FROM moved a JOIN moved b ON a.page_id = b.page_id AND a.face_id = b.face_id AND a.field_id < b.field_id
+ AND a.new_y < b.new_y + b.h AND b.new_y < a.new_y + a.h AND NOT (a.y < b.y + b.h AND b.y < a.y + a.h) GROUP BY 1, 2""",
+    ),
+    "otsu_thresholds": Entry(
+        otsu_thresholds,
+        f"""WITH h AS ({X.HIST_SQL}), t AS (SELECT grp, sum(n)::DOUBLE AS total, sum(n * bin)::DOUBLE AS m FROM h GROUP BY 1),
+ k AS (SELECT h.grp, h.bin, sum(h.n) OVER w / t.total AS om, sum(h.n * h.bin) OVER w / t.total AS mu, t.m / t.total AS mean FROM h JOIN t USING (grp) WINDOW w AS (PARTITION BY h.grp ORDER BY h.bin)),
+ s AS (SELECT grp, bin, (mean * om - mu) * (mean * om - mu) / (om * (1 - om)) AS sigma FROM k WHERE om * (1 - om) > 0)
+ SELECT grp, coalesce((SELECT bin FROM s WHERE s.grp = t.grp ORDER BY sigma DESC, bin LIMIT 1), 128) AS threshold FROM t""",
+    ),
+    "ink_profile": Entry(ink_profile, PROFILE_SQL + "SELECT page_id, scan, ink FROM prof"),
+    "line_positions": Entry(
+        line_positions,
+        PROFILE_SQL + """, d2 AS (SELECT page_id, scan FROM prof WHERE ink > 150), b2 AS (SELECT *, CASE WHEN scan - lag(scan) OVER (PARTITION BY page_id ORDER BY scan) > 6 THEN 1 ELSE 0 END AS brk FROM d2),
+ g2 AS (SELECT *, sum(brk) OVER (PARTITION BY page_id ORDER BY scan) AS band FROM b2) SELECT page_id, floor(avg(scan))::INT AS pos FROM g2 GROUP BY page_id, band""",
+    ),
+}

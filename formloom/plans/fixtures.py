@@ -69,13 +69,23 @@ SELECT o_orderkey, concat(CAST(year(o_orderdate) AS STRING), CASE CAST(o_orderke
 LINE_SQL = """
 SELECT DISTINCT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CAST((l_partkey * 7) % 420 AS INT) AS pos FROM lineitem"""
 
-# A page prints about half of its expected lines, moved together by up to ten
-# pixels, besides stray positions.
-SHIFTED_LINE_SQL = """
+# Lines found on the faces of a page: the printed ones, all moved by up to twenty
+# pixels, the lower block by up to three more, besides stray positions.
+FOUND_SQL = """
 SELECT DISTINCT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id,
- CASE WHEN l_suppkey % 3 = 0 THEN 'v' ELSE 'h' END AS axis,
- CAST(CASE WHEN l_linenumber >= 2 THEN (l_partkey % 6) * 80 + CAST(floor(l_orderkey / 25) AS BIGINT) % 41 - 20
-  ELSE (l_partkey * 7) % 420 END AS INT) AS pos FROM lineitem"""
+ CASE WHEN l_linestatus = 'O' THEN 'front' ELSE 'back' END AS face_id,
+ CASE WHEN l_suppkey % 4 = 0 THEN 'v' ELSE 'h' END AS axis,
+ CASE WHEN l_suppkey % 4 = 0 THEN 0 ELSE CAST(floor(l_partkey % 12 / 6) AS INT) END AS block_idx,
+ CAST(CASE WHEN l_linenumber >= 2 THEN (l_partkey % 12) * 60 + CAST(floor(l_orderkey / 25) AS BIGINT) % 41 - 20
+   + CASE WHEN l_partkey % 12 >= 6 AND l_suppkey % 4 <> 0 THEN CAST(floor(l_orderkey / 25) AS BIGINT) % 7 - 3 ELSE 0 END
+  ELSE (l_partkey * 7) % 720 END AS INT) AS pos FROM lineitem"""
+
+# Printed lines: twelve per axis in two blocks (one for the vertical ones).
+PRINTED_SQL = """
+SELECT concat('form-', CAST(n_nationkey AS STRING)) AS template_id, f.face_id, a.axis, CASE WHEN a.axis = 'h' AND i.i >= 6 THEN 1 ELSE 0 END AS block_idx,
+ CAST(i.i * 60 AS INT) AS pos FROM nation CROSS JOIN (VALUES ('front'), ('back')) AS f(face_id) CROSS JOIN (VALUES ('h'), ('v')) AS a(axis)
+ CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS i(i)"""
+
 
 RUN_SQL = """
 SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CAST(l_suppkey % 40 AS INT) AS scan,

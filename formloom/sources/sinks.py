@@ -14,6 +14,8 @@ def write_wide_csv(wide: DataFrame, path: str, mode: str = "overwrite") -> None:
     Spark writes one file per partition, each with its header; rows are sorted
     by (source file, page number) inside the files when both columns exist.
     The column list is written beside the data. A byte order mark is not written.
+    Line feeds inside a value are written as CRLF too; Spark's own reader, left
+    to find the line ends itself, turns them back.
     """
     order = [c for c in ("source_file", "page_no") if c in wide.columns]
     ready = wide.select([F.col(f"`{c}`").cast("string").alias(c) for c in wide.columns])
