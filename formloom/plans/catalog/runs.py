@@ -1 +1,251 @@
-ENTRIES = {}
+"""Queries over ink runs and segments."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formloom.operators import runs as U
+from formloom.plans import fixtures as X
+from formloom.plans.catalog import Entry
+from formloom.session import kept
+
+PAGE_W, PAGE_H = 400, 360
+
+
+def _ink(spark: SparkSession, d: str) -> DataFrame:
+    return X.from_sql(spark, d, X.INK_SQL, "lineitem")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return X.from_sql(spark, d, X.SEGMENT_SQL.replace('AS "end"', "AS end"), "lineitem")
+
+
+def bridged_runs(spark: SparkSession, d: str) -> DataFrame:
+    return U.bridged_runs(X.from_sql(spark, d, X.RUN_SQL, "lineitem").withColumn("axis", F.lit("h")))
+
+
+def line_segments(spark: SparkSession, d: str) -> DataFrame:
+    return U.line_segments(_ink(spark, d))
+
+
+def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
+    runs = X.from_sql(spark, d, X.RUN_SQL, "lineitem").select(
+        "page_id", "scan", F.col("s").alias("start"), F.col("e").alias("end"), F.lit(100).alias("lo"), F.lit(450).alias("hi")
+    )
+    return U.interval_coverage(runs, ["page_id", "scan"], "lo", "hi")
+
+
+def rails(spark: SparkSession, d: str) -> DataFrame:
+    return U.rail_table(U.cluster_rails(_segments(spark, d)))
+
+
+def wall_flags(spark: SparkSession, d: str) -> DataFrame:
+    return U.wall_flags(U.cluster_rails(_segments(spark, d)))
+
+
+def grid_components(spark: SparkSession, d: str) -> DataFrame:
+    return U.grid_components(U.wall_flags(U.cluster_rails(_segments(spark, d))))
+
+
+def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    segments = _segments(spark, d)
+    railed = U.cluster_rails(segments)
+    parts = kept(U.grid_components(U.wall_flags(railed)))
+    return U.frame_ledger(segments, railed, parts, U.closed_cells(parts, railed), PAGE_W, PAGE_H)
+
+
+def closed_cells(spark: SparkSession, d: str) -> DataFrame:
+    railed = U.cluster_rails(_segments(spark, d))
+    return U.closed_cells(U.grid_components(U.wall_flags(railed)), railed)
+
+
+def frame_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return _frames(spark, d)[1]
+
+
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return U.table_rows(_frames(spark, d)[0]).select(
+        "page_id", "y1", "y2", "x_first", "cells", "residual",
+        F.array_join(F.transform("bounds", lambda b: F.format_string("%.1f", b)), ",").alias("signature"),
+    )
+
+
+def table_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    return U.table_suggestions(U.table_rows(_frames(spark, d)[0]))
+
+
+def ruled_grid(spark: SparkSession, d: str) -> DataFrame:
+    lines = X.from_sql(spark, d, X.LINE_SQL, "lineitem")
+    return U.fit_ruled_grid(lines.filter(F.col("pos") % 2 == 0), lines.filter(F.col("pos") % 2 == 1))
+
+
+def uniform_grid(spark: SparkSession, d: str) -> DataFrame:
+    parts = X.table(spark, d, "part").select(
+        F.col("p_partkey").alias("region"), (F.col("p_size") * 17 + 100).cast("int").alias("w"), (F.col("p_size") * 11 + 60).cast("int").alias("h"),
+        (F.col("p_partkey") % 6).cast("int").alias("rows"), (F.col("p_partkey") % 9).cast("int").alias("cols"),
+    )
+    return U.uniform_grid(parts)
+
+
+def _candidate_rects(spark: SparkSession, d: str) -> DataFrame:
+    return X.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.concat(F.lit("form-"), (F.col("l_orderkey") % 25).cast("string")).alias("template_id"),
+        ((F.col("l_partkey") * 37) % 1900).cast("int").alias("x"), ((F.col("l_suppkey") * 53 + F.col("l_partkey") * 29) % 1250).cast("int").alias("y"),
+        (20 + F.col("l_quantity")).cast("int").alias("w"), (10 + F.col("l_quantity")).cast("int").alias("h"),
+    )
+
+
+def candidate_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Detected rects placed on the faces of their form and compared with its cells."""
+    tables = X.form_tables(spark, d)
+    faced = U.assign_face(_candidate_rects(spark, d), tables)
+    return U.overlaps_existing(faced, tables, "l_partkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "x", "y", "face", "overlaps"
+    )
+
+
+def option_ink(spark: SparkSession, d: str) -> DataFrame:
+    """Ink in the bands beside the option marks of every page."""
+    tables = X.form_tables(spark, d)
+    runs = X.from_sql(
+        spark, d,
+        """SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, concat('form-', CAST(CAST(floor(l_orderkey / 25) AS BIGINT) % 25 AS STRING)) AS template_id,
+ CAST(95 + l_suppkey % 70 AS INT) AS scan, CAST(980 + l_partkey % 200 AS INT) AS s, CAST(980 + l_partkey % 200 + CAST(l_quantity AS BIGINT) AS INT) AS e FROM lineitem""",
+        "lineitem",
+    )
+    return U.band_ink_ratio(runs, tables.cells.filter(F.size("marks") > 0), 1800, 700)
+
+
+_BRIDGE = """b0 AS (SELECT page_id, axis, scan, s, max(e) AS e FROM ink GROUP BY ALL),
+b1 AS (SELECT *, max(e) OVER (PARTITION BY page_id, axis, scan ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b0),
+b2 AS (SELECT *, sum(CASE WHEN s - reach > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, axis, scan ORDER BY s ROWS UNBOUNDED PRECEDING) AS isle FROM b1),
+b3 AS (SELECT page_id, axis, scan, CASE WHEN min(s) <= 4 THEN 0 ELSE min(s) END AS s, max(e) AS e FROM b2 GROUP BY page_id, axis, scan, isle),
+brid AS (SELECT * FROM b3 WHERE e - s + 1 >= 60)"""
+
+# Greedy joining of collinear pieces as a fold over the ordered bundles; every
+# page and axis is one list.
+_SEGMENTS = f"""WITH RECURSIVE ink AS ({X.INK_SQL}), {_BRIDGE},
+node AS (SELECT *, row_number() OVER (ORDER BY page_id, axis, scan, s) AS id FROM brid),
+edge AS (SELECT a.id AS i, b.id AS j FROM node a JOIN node b ON a.page_id = b.page_id AND a.axis = b.axis AND b.scan = a.scan + 1
+  AND least(a.e, b.e) - greatest(a.s, b.s) + 1 >= 0.5 * least(a.e - a.s + 1, b.e - b.s + 1)),
+both_ways AS (SELECT i, j FROM edge UNION ALL SELECT j, i FROM edge),
+reach(id, lab) AS (SELECT id, id FROM node UNION SELECT r.id, e.j FROM reach r JOIN both_ways e ON e.i = r.lab),
+comp AS (SELECT id, min(lab) AS lab FROM reach GROUP BY id),
+bund AS (SELECT n.page_id, n.axis, c.lab, round_even(sum(n.scan)::DOUBLE / count(*), 1) AS pos, min(n.s)::BIGINT AS start, max(n.e)::BIGINT AS fin, count(DISTINCT n.scan)::BIGINT AS thick
+  FROM node n JOIN comp c USING (id) GROUP BY 1, 2, 3 HAVING count(DISTINCT n.scan) <= 12),
+seq AS (SELECT page_id, axis, list([{{'pos': pos, 'a': start, 'b': fin, 't': thick}}] ORDER BY pos, lab) AS l FROM bund GROUP BY 1, 2),
+fold AS (SELECT page_id, axis, list_reduce(l, lambda acc, x: CASE WHEN list_position(list_transform(acc, lambda m: abs(m.pos - x[1].pos) <= 2 AND greatest(x[1].a - m.b, m.a - x[1].b) - 1 <= 12), true) IS NULL
+   THEN list_concat(acc, x)
+   ELSE list_transform(acc, lambda m, k: CASE WHEN k = list_position(list_transform(acc, lambda q: abs(q.pos - x[1].pos) <= 2 AND greatest(x[1].a - q.b, q.a - x[1].b) - 1 <= 12), true)
+     THEN {{'pos': round_even((m.pos * (m.b - m.a + 1) + x[1].pos * (x[1].b - x[1].a + 1)) / ((m.b - m.a + 1) + (x[1].b - x[1].a + 1)), 1), 'a': least(m.a, x[1].a), 'b': greatest(m.b, x[1].b), 't': greatest(m.t, x[1].t)}}
+     ELSE m END) END) AS l FROM seq),
+flat AS (SELECT page_id, axis, unnest(l) AS m FROM fold)
+SELECT page_id, axis, m.pos AS pos, m.a AS start, m.b AS "end", m.t AS thickness FROM flat"""
+
+_RAILS = f"""seg AS ({X.SEGMENT_SQL}),
+r1 AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY page_id, axis ORDER BY pos) > 2 THEN 1 ELSE 0 END AS brk FROM seg),
+r2 AS (SELECT *, sum(brk) OVER (PARTITION BY page_id, axis ORDER BY pos) AS rail FROM r1),
+r3 AS (SELECT *, round_even(avg(pos) OVER (PARTITION BY page_id, axis, rail), 1) AS rail_pos FROM r2),
+rt AS (SELECT page_id, axis, rail, any_value(rail_pos) AS rail_pos, max(abs(pos - rail_pos)) AS stray FROM r3 GROUP BY 1, 2, 3)"""
+_WALLS = _RAILS + """,
+okp AS (SELECT page_id FROM rt GROUP BY 1 HAVING count(*) FILTER (axis = 'h') BETWEEN 2 AND 200 AND count(*) FILTER (axis = 'v') BETWEEN 2 AND 200),
+rr AS (SELECT * FROM rt JOIN okp USING (page_id)),
+st AS (SELECT page_id, CASE axis WHEN 'h' THEN 'v' ELSE 'h' END AS axis, rail AS gap, rail_pos AS lo, lead(rail_pos) OVER (PARTITION BY page_id, axis ORDER BY rail) AS hi FROM rr),
+wall AS (SELECT r.page_id, r.axis, r.rail, s.gap, s.lo, s.hi FROM rr r JOIN st s USING (page_id, axis) WHERE s.hi IS NOT NULL),
+pc AS (SELECT w.*, greatest(w.lo, g.start) AS a, least(w.hi, g."end") AS b FROM wall w JOIN r3 g USING (page_id, axis, rail) WHERE least(w.hi, g."end") > greatest(w.lo, g.start)),
+pr2 AS (SELECT *, max(b) OVER (PARTITION BY page_id, axis, rail, gap ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM pc),
+cov AS (SELECT page_id, axis, rail, gap, sum(greatest(0, b - greatest(a, coalesce(reach, a)))) AS len FROM pr2 GROUP BY 1, 2, 3, 4),
+flag AS (SELECT w.page_id, w.axis, w.rail, w.gap, coalesce(c.len, 0) / (w.hi - w.lo) >= 0.90 AS closed FROM wall w LEFT JOIN cov c USING (page_id, axis, rail, gap))"""
+_PARTS = _WALLS + """,
+dim AS (SELECT page_id, count(*) FILTER (axis = 'h') - 1 AS nr, count(*) FILTER (axis = 'v') - 1 AS nc FROM rr GROUP BY 1),
+cell AS (SELECT page_id, i, unnest(range(0, nc)) AS j FROM (SELECT page_id, nc, unnest(range(0, nr)) AS i FROM dim) q),
+open AS (SELECT c.page_id, c.i, c.j, c.i AS i2, c.j + 1 AS j2 FROM cell c JOIN flag f ON f.page_id = c.page_id AND f.axis = 'v' AND f.rail = c.j + 1 AND f.gap = c.i AND NOT f.closed JOIN dim d ON d.page_id = c.page_id AND c.j + 1 < d.nc
+  UNION ALL SELECT c.page_id, c.i, c.j, c.i + 1, c.j FROM cell c JOIN flag f ON f.page_id = c.page_id AND f.axis = 'h' AND f.rail = c.i + 1 AND f.gap = c.j AND NOT f.closed JOIN dim d ON d.page_id = c.page_id AND c.i + 1 < d.nr),
+link AS (SELECT page_id, i * 1000 + j AS u, i2 * 1000 + j2 AS v FROM open UNION ALL SELECT page_id, i2 * 1000 + j2, i * 1000 + j FROM open),
+walk(page_id, u, v) AS (SELECT page_id, i * 1000 + j, i * 1000 + j FROM cell UNION SELECT w.page_id, w.u, l.v FROM walk w JOIN link l ON l.page_id = w.page_id AND l.u = w.v),
+lab AS (SELECT page_id, u, min(v) AS c FROM walk GROUP BY 1, 2),
+box AS (SELECT page_id, c, min(u // 1000)::INT AS i0, max(u // 1000)::INT AS i1, min(u % 1000)::INT AS j0, max(u % 1000)::INT AS j1, count(*) AS n FROM lab GROUP BY 1, 2),
+part AS (SELECT b.page_id, CASE WHEN n <> (i1 - i0 + 1) * (j1 - j0 + 1) THEN 'non_rectangular' WHEN EXISTS (SELECT 1 FROM flag f WHERE f.page_id = b.page_id AND NOT f.closed AND
+   ((f.axis = 'h' AND f.rail IN (b.i0, b.i1 + 1) AND f.gap BETWEEN b.j0 AND b.j1) OR (f.axis = 'v' AND f.rail IN (b.j0, b.j1 + 1) AND f.gap BETWEEN b.i0 AND b.i1))) THEN 'not_closed' ELSE 'rect' END AS kind,
+   i0, i1, j0, j1 FROM box b)"""
+_CELLS = _PARTS + """,
+closed AS (SELECT p.page_id, t.rail_pos AS y1, l.rail_pos AS x1, b.rail_pos AS y2, r.rail_pos AS x2, greatest(t.stray, b.stray, l.stray, r.stray) AS residual FROM part p
+ JOIN rt t ON t.page_id = p.page_id AND t.axis = 'h' AND t.rail = p.i0 JOIN rt b ON b.page_id = p.page_id AND b.axis = 'h' AND b.rail = p.i1 + 1
+ JOIN rt l ON l.page_id = p.page_id AND l.axis = 'v' AND l.rail = p.j0 JOIN rt r ON r.page_id = p.page_id AND r.axis = 'v' AND r.rail = p.j1 + 1 WHERE p.kind = 'rect')"""
+_KEPT = _CELLS + f""",
+judged AS (SELECT *, CASE WHEN x2 - x1 >= {PAGE_W} * 0.9 AND y2 - y1 >= {PAGE_H} * 0.9 THEN 'page_outline' WHEN x2 - x1 < 20 OR y2 - y1 < 20 THEN 'too_small' ELSE 'cell' END AS reason FROM closed)"""
+
+
+ENTRIES = {
+    "bridged_runs": Entry(bridged_runs, f"WITH ink AS (SELECT *, 'h' AS axis FROM ({X.RUN_SQL}) r), {_BRIDGE} SELECT page_id, axis, scan, s, e FROM brid"),
+    "line_segments": Entry(line_segments, _SEGMENTS),
+    "interval_coverage": Entry(
+        interval_coverage,
+        f"""WITH r AS ({X.RUN_SQL}), k AS (SELECT DISTINCT page_id, scan FROM r), c AS (SELECT page_id, scan, greatest(s, 100) AS a, least(e, 450) AS b FROM r WHERE least(e, 450) > greatest(s, 100)),
+ m AS (SELECT *, max(b) OVER (PARTITION BY page_id, scan ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+ t AS (SELECT page_id, scan, sum(greatest(0, b - greatest(a, coalesce(reach, a)))) AS len FROM m GROUP BY 1, 2)
+ SELECT page_id, scan, coalesce(len, 0)::DOUBLE / 350 AS coverage FROM k LEFT JOIN t USING (page_id, scan)""",
+    ),
+    "rails": Entry(rails, f"WITH {_RAILS} SELECT page_id, axis, rail, rail_pos, stray FROM rt"),
+    "wall_flags": Entry(wall_flags, f"WITH {_WALLS} SELECT page_id, axis, rail, gap, closed FROM flag"),
+    "grid_components": Entry(grid_components, f"WITH RECURSIVE {_PARTS} SELECT page_id, kind, i0, i1, j0, j1 FROM part"),
+    "closed_cells": Entry(closed_cells, f"WITH RECURSIVE {_CELLS} SELECT page_id, y1, x1, y2, x2, residual FROM closed"),
+    "frame_ledger": Entry(
+        frame_ledger,
+        f"""WITH RECURSIVE {_KEPT}, a AS (SELECT page_id, count(*) FILTER (axis = 'h') AS rails_h, count(*) FILTER (axis = 'v') AS rails_v FROM rt GROUP BY 1),
+ b AS (SELECT page_id, count(*) AS components, count(*) FILTER (kind = 'rect') AS rects, count(*) FILTER (kind = 'non_rectangular') AS non_rectangular, count(*) FILTER (kind = 'not_closed') AS not_closed FROM part GROUP BY 1),
+ c AS (SELECT page_id, count(*) FILTER (reason = 'page_outline') AS page_outline, count(*) FILTER (reason = 'too_small') AS too_small, count(*) FILTER (reason = 'cell') AS cells FROM judged GROUP BY 1),
+ l AS (SELECT page_id, rails_h, rails_v, coalesce(components, 0) AS components, coalesce(rects, 0) AS rects, coalesce(non_rectangular, 0) AS non_rectangular, coalesce(not_closed, 0) AS not_closed,
+  coalesce(page_outline, 0) AS page_outline, coalesce(too_small, 0) AS too_small, coalesce(cells, 0) AS cells FROM a LEFT JOIN b USING (page_id) LEFT JOIN c USING (page_id))
+ SELECT *, CASE WHEN rails_h > 200 OR rails_v > 200 THEN 'too_many_lines' WHEN rects = 0 THEN 'no_rect' WHEN cells = 0 THEN 'all_filtered' END AS zero_reason FROM l""",
+    ),
+    "table_rows": Entry(
+        table_rows,
+        f"""WITH RECURSIVE {_KEPT}, s AS (SELECT *, CASE WHEN x1 - lag(x2) OVER (PARTITION BY page_id, y1, y2 ORDER BY x1) > 2 THEN 1 ELSE 0 END AS brk FROM judged WHERE reason = 'cell'),
+ g AS (SELECT *, sum(brk) OVER (PARTITION BY page_id, y1, y2 ORDER BY x1) AS part FROM s),
+ b AS (SELECT page_id, y1, y2, part, unnest([x1, x2]) AS x, x1, residual FROM g),
+ n AS (SELECT page_id, y1, y2, part, count(*) AS cells FROM g GROUP BY ALL)
+ SELECT b.page_id, b.y1, b.y2, min(b.x1) AS x_first, any_value(n.cells) AS cells, max(residual) AS residual,
+  array_to_string(list_transform(list_sort(list(DISTINCT b.x)), lambda v: printf('%.1f', v)), ',') AS signature FROM b JOIN n USING (page_id, y1, y2, part) GROUP BY b.page_id, b.y1, b.y2, b.part""",
+    ),
+    "table_suggestions": Entry(table_suggestions),
+    "ruled_grid": Entry(
+        ruled_grid,
+        f"""WITH l AS ({X.LINE_SQL}), h AS (SELECT page_id, list_sort(list(DISTINCT pos)) AS h FROM l WHERE pos % 2 = 0 GROUP BY 1 HAVING count(DISTINCT pos) >= 3),
+ v AS (SELECT page_id, list_sort(list(DISTINCT pos)) AS v FROM l WHERE pos % 2 = 1 GROUP BY 1 HAVING count(DISTINCT pos) >= 2),
+ j AS (SELECT *, len(h) - 1 AS rows, (h[-1] - h[1])::DOUBLE / (len(h) - 1) AS pitch FROM h JOIN v USING (page_id))
+ SELECT page_id, v[1] AS origin_x, h[1] AS origin_y, rows, round_even(pitch, 2) AS row_pitch, greatest(1, floor(pitch)::INT - 4) AS row_height, len(v) - 1 AS columns,
+  round_even(list_max(list_transform(h, lambda p, i: abs(p - (h[1] + pitch * (i - 1))))), 2) AS residual FROM j""",
+    ),
+    "uniform_grid": Entry(
+        uniform_grid,
+        """WITH r AS (SELECT p_partkey AS region, p_size * 17 + 100 AS w, p_size * 11 + 60 AS h, p_partkey % 6 AS rows, p_partkey % 9 AS cols FROM part),
+ c AS (SELECT *, unnest(range(0, cols)) AS col FROM r WHERE rows >= 1 AND cols >= 1)
+ SELECT region, w, h, rows, cols, round_even(h::DOUBLE / rows, 2) AS row_pitch, greatest(1, floor(h::DOUBLE / rows)::INT - 4) AS row_height, col,
+  round_even(w::DOUBLE * col / cols, 0)::INT AS x_offset, greatest(1, round_even(w::DOUBLE * (col + 1) / cols, 0)::INT - round_even(w::DOUBLE * col / cols, 0)::INT) AS width FROM c""",
+    ),
+    "candidate_faces": Entry(
+        candidate_faces,
+        X.form_ctes() + """, q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'form-' || (l_orderkey % 25) AS template_id, (l_partkey * 37) % 1900 AS x, (l_suppkey * 53 + l_partkey * 29) % 1250 AS y,
+   (20 + l_quantity)::INT AS w, (10 + l_quantity)::INT AS h FROM lineitem),
+ f AS (SELECT *, row_number() OVER () AS qid, CASE WHEN x + w / 2.0 >= 1800 OR y + h / 2.0 >= 1200 THEN NULL WHEN y + h / 2.0 < 700 THEN CASE WHEN x + w <= 1800 AND y + h <= 700 THEN 'front' ELSE 'straddle' END
+   ELSE CASE WHEN y >= 700 AND x + w <= 1800 AND y + h <= 1200 THEN 'back' ELSE 'straddle' END END AS face FROM q),
+ o AS (SELECT DISTINCT f.qid FROM f JOIN places p ON p.template_id = f.template_id AND p.face_id = f.face AND p.layer = 0 AND f.x < p.x + p.w AND p.x < f.x + f.w
+   AND f.y - CASE f.face WHEN 'back' THEN 700 ELSE 0 END < p.y + p.h AND p.y < f.y - CASE f.face WHEN 'back' THEN 700 ELSE 0 END + f.h)
+ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, face, o.qid IS NOT NULL AS overlaps FROM f LEFT JOIN o USING (qid)""",
+    ),
+    "option_ink": Entry(
+        option_ink,
+        f"""WITH r AS (SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CAST(floor(l_orderkey / 25) AS BIGINT) % 25 AS num, 95 + l_suppkey % 70 AS scan, 980 + l_partkey % 200 AS s, 980 + l_partkey % 200 + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
+ mk(ord, option, mx) AS (VALUES (0, 'A', 1000), (1, 'B', 1040), (2, 'C', 1080)),
+ pg AS (SELECT DISTINCT page_id, num FROM r),
+ band AS (SELECT p.page_id, m.ord, m.option, greatest(1000 + {X.STEP} * num - 4, b.a + {X.STEP} * num) AS a, least(1124 + {X.STEP} * num, b.b + {X.STEP} * num) AS b FROM pg p CROSS JOIN mk m
+   CROSS JOIN LATERAL (VALUES (m.mx - 8, m.mx + 6), (m.mx + 34, m.mx + 48)) b(a, b)),
+ px AS (SELECT DISTINCT page_id, scan, unnest(range(s, e + 1)) AS x FROM r WHERE scan >= 100 AND scan < 160),
+ hit AS (SELECT b.page_id, b.ord, count(*) AS ink FROM band b JOIN px ON px.page_id = b.page_id AND px.x >= b.a AND px.x < b.b GROUP BY 1, 2),
+ area AS (SELECT page_id, ord, option, sum(greatest(0, b - a)) * 60 AS area FROM band GROUP BY 1, 2, 3)
+ SELECT page_id, 'era' AS field_id, option, ord, CASE WHEN area <= 0 THEN 0.0 ELSE coalesce(ink, 0)::DOUBLE / area END AS score FROM area LEFT JOIN hit USING (page_id, ord)""",
+    ),
+}

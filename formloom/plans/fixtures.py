@@ -91,6 +91,22 @@ RUN_SQL = """
 SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CAST(l_suppkey % 40 AS INT) AS scan,
  CAST(l_partkey % 500 AS INT) AS s, CAST(l_partkey % 500 + 40 + CAST(l_quantity AS BIGINT) AS INT) AS e FROM lineitem"""
 
+# Ink of a ruled grid on every page: five by five lines drawn piece by piece.
+INK_SQL = """
+SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS axis,
+ CAST(CASE WHEN l_linenumber % 2 = 0 THEN 20 + (l_partkey % 5) * 70 ELSE 50 + (l_partkey % 5) * 60 END + CAST(l_quantity AS BIGINT) % 2 AS INT) AS scan,
+ CAST(CASE WHEN l_linenumber % 2 = 0 THEN 50 + (l_suppkey % 4) * 60 ELSE 20 + (l_suppkey % 4) * 70 END AS INT) AS s,
+ CAST(CASE WHEN l_linenumber % 2 = 0 THEN 50 + (l_suppkey % 4) * 60 + 58 + CAST(l_quantity AS BIGINT) % 5 ELSE 20 + (l_suppkey % 4) * 70 + 68 + CAST(l_quantity AS BIGINT) % 5 END AS INT) AS e
+FROM lineitem"""
+
+# Segments of the same grid, as they come out of the ink.
+SEGMENT_SQL = """
+SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS axis,
+ CASE WHEN l_linenumber % 2 = 0 THEN 20 + (l_partkey % 5) * 70 ELSE 50 + (l_partkey % 5) * 60 END + CAST(CAST(l_quantity AS BIGINT) % 4 AS DOUBLE) / CAST(2 AS DOUBLE) AS pos,
+ CAST(CASE WHEN l_linenumber % 2 = 0 THEN 48 + (l_suppkey % 4) * 60 ELSE 18 + (l_suppkey % 4) * 70 END AS BIGINT) AS start,
+ CAST(CASE WHEN l_linenumber % 2 = 0 THEN 48 + (l_suppkey % 4) * 60 + 64 ELSE 18 + (l_suppkey % 4) * 70 + 74 END AS BIGINT) AS "end",
+ CAST(1 AS BIGINT) AS thickness FROM lineitem"""
+
 STATE_SQL = """
 SELECT o_orderkey AS page_id, concat('scan_', lpad(CAST(o_custkey AS STRING), 6, '0'), '.pdf') AS source_file,
  CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'expanded' ELSE 'failed' END AS state,
