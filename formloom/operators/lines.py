@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from formloom.operators.islands import number_chains
 from formloom.operators.ranges import overlapping_pairs
 from formloom.operators.sizing import broadcast_if_small
+from formloom.session import kept
 
 # Fixed values, px at 300 dpi and ratios.
 LINE_GAP = 6
@@ -275,7 +276,8 @@ def match_lines(pages: DataFrame, detected: DataFrame, expected: DataFrame) -> D
     base = pages.select("page_id", "template_id").join(small, "template_id")
     lines = detected.select("page_id", "face_id", "axis", "pos").distinct().join(pages, "page_id").select(*keys, *tkeys, "pos")
     every = [*keys, *tkeys]
-    shifts = axis_shift(axis_votes(lines, stats, keys, tkeys), base, every)
+    # one row per page, face and axis, read by the residuals and the estimate
+    shifts = kept(axis_shift(axis_votes(lines, stats, keys, tkeys), base, every))
     # the first and last line of every block must be found, on the y axis only
     ends = expected.filter(F.col("axis") == "h").groupBy("template_id", "face_id", "block_idx").agg(
         F.min("pos").alias("lo"), F.max("pos").alias("hi")

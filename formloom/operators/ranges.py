@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.operators.sizing import BROADCAST_ROWS, HOT_ROWS, SALTS, broadcast_if_small, fits_broadcast
+from formloom.session import kept
 
 
 def _cells(start: Column, extent: Column, bucket: int) -> Column:
@@ -119,24 +120,25 @@ def overlapping_pairs(
     """
     keys = list(keys)
     self_join = right is None
-    other = rects if self_join else right
     body = F.struct(ident, "x", "y", "w", "h", *payload)
     cell = [*keys, "bx", "by"]
-    left_cells = bucketed(rects, bucket).select(*cell, body.alias("a"))
-    right_cells = bucketed(other, bucket).select(*cell, body.alias("b"))
-    if not fits_broadcast(right_cells):
-        heavy = left_cells.groupBy(*cell).count().filter(F.col("count") > hot_rows)
+    # written once: both sides, the size and the hot buckets read it from there
+    left = kept(bucketed(rects, bucket).select(*cell, body.alias("a")))
+    other = left if self_join else kept(bucketed(right, bucket).select(*cell, body.alias("a")))
+    right_cells = other.withColumnRenamed("a", "b")
+    if fits_broadcast(other):
+        joined = left.join(F.broadcast(right_cells), cell)
+    else:
+        heavy = left.groupBy(*cell).count().filter(F.col("count") > hot_rows)
         heavy = broadcast_if_small(heavy.select(*cell, F.lit(True).alias("_hot")))
-        left_cells = left_cells.join(heavy, cell, "left").withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
+        spread = F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int")
+        left_cells = left.join(heavy, cell, "left").withColumn(
+            "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
         ).drop("_hot")
         right_cells = right_cells.join(heavy, cell, "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0)))
         ).drop("_hot")
         joined = left_cells.join(right_cells, [*cell, "_salt"])
-    else:
-        joined = left_cells.join(F.broadcast(right_cells), cell)
     a, b = F.col("a"), F.col("b")
     x0, y0 = F.greatest(a["x"], b["x"]), F.greatest(a["y"], b["y"])
     keep = (

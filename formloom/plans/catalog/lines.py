@@ -9,6 +9,7 @@ from formloom.operators import lines as L
 from formloom.operators import runs as U
 from formloom.plans import fixtures as X
 from formloom.plans.catalog import Entry
+from formloom.session import kept
 
 LIMIT = 20
 
@@ -94,7 +95,7 @@ def line_residuals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    ok = _estimates(spark, d).filter(F.col("reason") == "")
+    ok = kept(_estimates(spark, d).filter(F.col("reason") == ""))
     return L.block_shifts(_pages(spark, d), found_lines(spark, d), printed_lines(spark, d), ok)
 
 

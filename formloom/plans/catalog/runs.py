@@ -48,31 +48,28 @@ def grid_components(spark: SparkSession, d: str) -> DataFrame:
     return U.grid_components(U.wall_flags(U.cluster_rails(_segments(spark, d))))
 
 
-def _frames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    segments = _segments(spark, d)
-    railed = U.cluster_rails(segments)
-    parts = kept(U.grid_components(U.wall_flags(railed)))
-    return U.frame_ledger(segments, railed, parts, U.closed_cells(parts, railed), PAGE_W, PAGE_H)
+def _frames(spark: SparkSession, d: str) -> U.Frames:
+    return U.detect_frames(_segments(spark, d), PAGE_W, PAGE_H)
 
 
 def closed_cells(spark: SparkSession, d: str) -> DataFrame:
-    railed = U.cluster_rails(_segments(spark, d))
+    railed = kept(U.cluster_rails(_segments(spark, d)))
     return U.closed_cells(U.grid_components(U.wall_flags(railed)), railed)
 
 
 def frame_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return _frames(spark, d)[1]
+    return _frames(spark, d).ledger
 
 
 def table_rows(spark: SparkSession, d: str) -> DataFrame:
-    return U.table_rows(_frames(spark, d)[0]).select(
+    return U.table_rows(_frames(spark, d).cells).select(
         "page_id", "y1", "y2", "x_first", "cells", "residual",
         F.array_join(F.transform("bounds", lambda b: F.format_string("%.1f", b)), ",").alias("signature"),
     )
 
 
 def table_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return U.table_suggestions(U.table_rows(_frames(spark, d)[0]))
+    return U.table_suggestions(U.table_rows(_frames(spark, d).cells))
 
 
 def ruled_grid(spark: SparkSession, d: str) -> DataFrame:

@@ -122,19 +122,20 @@ def document_responses(spark: SparkSession, d: str) -> DataFrame:
     boolean confidence, so the robust paths are met on real text. One row stays
     one row: the response is built inside the row.
     """
-    chars = F.regexp_extract_all(F.col("w"), F.lit(r"(?s)."), F.lit(0))
 
     def symbol(ch, i):
-        text = F.when(ch.rlike("^[0-9]$"), ch).otherwise(F.to_json(F.array(ch)))
-        text = F.when(ch.rlike("^[0-9]$"), ch).otherwise(F.regexp_replace(text, r"(?s)^\[(.*)\]$", "$1"))
-        conf = F.when(ch.rlike("^[aeiou]$"), "true").otherwise("0.75")
+        quoted = F.when(ch.isin('"', "\\"), F.concat(F.lit("\"\\"), ch, F.lit('"'))).when(
+            ch < " ", F.regexp_replace(F.to_json(F.array(ch)), r"[\[\]]", "")
+        ).otherwise(F.concat(F.lit('"'), ch, F.lit('"')))
         x = (i * 37) % 1800
-        box = F.when(ch == ".", "[]").otherwise(
-            F.concat(F.lit('[{"x":'), x.cast("string"), F.lit('},{"x":'), (x + 9).cast("string"), F.lit(',"y":7}]'))
-        )
         return F.concat(
-            F.lit('{"text":'), text, F.lit(',"confidence":'), conf,
-            F.lit(',"boundingBox":{"vertices":'), box, F.lit("}}"),
+            F.lit('{"text":'), F.when(ch.between("0", "9"), ch).otherwise(quoted),
+            F.when(ch.isin(*"aeiou"), ',"confidence":true').otherwise(',"confidence":0.75'),
+            F.when(ch == ".", ',"boundingBox":{"vertices":[]}}').otherwise(
+                F.concat(
+                    F.lit(',"boundingBox":{"vertices":[{"x":'), x.cast("string"), F.lit('},{"x":'), (x + 9).cast("string"), F.lit(',"y":7}]}}')
+                )
+            ),
         )
 
     def word(w):
@@ -142,7 +143,7 @@ def document_responses(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(F.lit('{"symbols":['), F.array_join(parts, ","), F.lit("]}"))
 
     words = F.transform(F.split("text", " "), word)
-    return X.table(spark, d, "documents").select(
+    return X.widened(X.table(spark, d, "documents")).select(
         "doc_id",
         F.concat(
             F.lit('{"fullTextAnnotation":{"pages":[{"blocks":[{"paragraphs":[{"words":['),
