@@ -108,6 +108,7 @@ def overlapping_pairs(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     right: DataFrame | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Pairs of overlapping rects (positive area) with the same ``keys``.
 
@@ -126,7 +127,7 @@ def overlapping_pairs(
     left = kept(bucketed(rects, bucket).select(*cell, body.alias("a")))
     other = left if self_join else kept(bucketed(right, bucket).select(*cell, body.alias("a")))
     right_cells = other.withColumnRenamed("a", "b")
-    if fits_broadcast(other):
+    if fits_broadcast(other, broadcast_rows):
         joined = left.join(F.broadcast(right_cells), cell)
     else:
         heavy = left.groupBy(*cell).count().filter(F.col("count") > hot_rows)
