@@ -104,14 +104,21 @@ def missing_inputs(pages: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def cascade_delete(pages: DataFrame, derived: dict[str, DataFrame], names: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Pages of the named sources and all rows derived from them go."""
-    gone = pages.join(names.select(F.col("name").alias("source_file")), "source_file", "left_semi").select("page_id")
-    kept = pages.join(names.select(F.col("name").alias("source_file")), "source_file", "left_anti")
-    return kept, {k: df.join(gone, "page_id", "left_anti") for k, df in derived.items()}
+    files = broadcast_if_small(names.select(F.col("name").alias("source_file")))
+    gone = broadcast_if_small(pages.join(files, "source_file", "left_semi").select("page_id"))
+    left = pages.join(files, "source_file", "left_anti")
+    return left, {k: df.join(gone, "page_id", "left_anti") for k, df in derived.items()}
 
 
 def upsert_page_rows(old: DataFrame, new: DataFrame, touched: DataFrame) -> DataFrame:
-    """C17: all rows of the touched pages are replaced; keys not written again vanish."""
-    return old.join(touched.select("page_id").distinct(), "page_id", "left_anti").unionByName(new)
+    """C17: all rows of the touched pages are replaced; keys not written again vanish.
+
+    ``touched`` is one batch of pages. If its size allows, the old rows are
+    filtered in place; otherwise they meet the pages in a shuffle whose skewed
+    partitions adaptive execution splits (an anti join may split its left side).
+    """
+    pages = broadcast_if_small(touched.select("page_id").distinct())
+    return old.join(pages, "page_id", "left_anti").unionByName(new)
 
 
 @dataclass(frozen=True)

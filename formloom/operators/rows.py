@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from formloom.functions import scalars as S
 from formloom.operators.sizing import broadcast_if_small
+from formloom.session import kept
 from formloom.sources.templates import TemplateTables
 
 DECIDE_GAP = 0.05
@@ -238,13 +239,15 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 def first_diffs(diff: DataFrame, limit: int = 200) -> DataFrame:
     """The first differing cells in order, with the total and a truncated flag.
 
+    The differing cells are written once; their count is one number, and
     ``orderBy().limit()`` keeps ``limit`` rows per task before merging.
     """
-    changed = diff.filter("differs").select("page_id", "column")
-    total = changed.agg(F.count(F.lit(1)).alias("total"))
-    top = changed.orderBy("page_id", "column").limit(limit)
-    # both sides are bounded: ``limit`` rows and one row
-    return top.join(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)
+    changed = kept(diff.filter("differs").select("page_id", "column"))
+    total = changed.count()
+    return (
+        changed.orderBy("page_id", "column").limit(limit)
+        .withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > limit))
+    )
 
 
 def run_summary(pages: DataFrame) -> DataFrame:

@@ -43,23 +43,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     nothing is set (a local run) is a temporary one made.
     """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
     current = context.getCheckpointDir()
     if current:
         return current
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        named = tempfile.mkdtemp(prefix="formloom-checkpoint-")
-    context.setCheckpointDir(named)
-    return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="formloom-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back.
 
     Unlike ``checkpoint()`` this runs the plan a single time, and readers prune
-    columns of the written table. A lost executor only re-reads it.
+    columns of the written table. A lost executor only re-reads it. The tables
+    stay until the folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
