@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formloom.functions.scalars import page_size_verdict
 from formloom.operators.islands import number_chains
+from formloom.operators.lint import template_profile
 from formloom.operators.ranges import overlapping_pairs
 from formloom.operators.sizing import broadcast_if_small
 from formloom.session import kept
+from formloom.sources.templates import TEMPLATE_SCHEMA, expand_templates
 
 # Fixed values, px at 300 dpi and ratios.
 LINE_GAP = 6
@@ -24,6 +27,9 @@ EDGE_SLACK = 2
 DETECT_RATIO = 0.5
 SNAP_MIN_LINES = 4
 CLEAR_LEAD = 0.1
+CANDIDATE_LIMIT = 20
+CANDIDATE_BYTES = 5_000_000
+ASPECT_BUCKET = 0.0102
 
 
 def otsu_threshold(hist: DataFrame, keys: list[str]) -> DataFrame:
@@ -262,6 +268,52 @@ def fold_verdicts(faces: DataFrame, keys: list[str], order: str = "face_ord") ->
     )
 
 
+def screen_candidates(templates: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    """C11: candidate templates (name, body) with the reason to leave one out, or NULL.
+
+    size: document too large; parse: not a JSON object; schema: no template, no
+    output columns or duplicate names; limit: beyond the first ``limit`` usable
+    candidates by name.
+    """
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"), F.lit(False))
+    rough = F.when(F.octet_length("body") > CANDIDATE_BYTES, "size").when(~is_object, "parse")
+    judged = templates.select("name", "body", rough.alias("rough"))
+    # documents are told apart by the name of the candidate, not by the id inside
+    doc = F.from_json("body", TEMPLATE_SCHEMA)
+    named = judged.filter(F.col("rough").isNull()).select(
+        F.to_json(doc.withField("template_id", F.col("name"))).alias("body")
+    )
+    good = template_profile(expand_templates(named)).filter("usable").select(F.col("template_id").alias("name"))
+    first = F.broadcast(good.orderBy("name").limit(limit).withColumn("taken", F.lit(True)))
+    return (
+        judged.drop("body")
+        .join(good.withColumn("usable", F.lit(True)), "name", "left")
+        .join(first, "name", "left")
+        .select(
+            "name",
+            F.coalesce("rough", F.when(F.col("usable").isNull(), "schema"), F.when(F.col("taken").isNull(), "limit")).alias("reason"),
+        )
+    )
+
+
+def candidate_pairs(pages: DataFrame, candidates: DataFrame) -> DataFrame:
+    """C11: pages (page_id, w, h) with the candidates (template_id, image_w, image_h) of their aspect.
+
+    The one per cent of tolerance is a range join on the logarithm of the
+    aspect through buckets a little wider than it; pairs that differ more are a
+    mismatch by size and never built.
+    """
+    def bucket(w: Column, h: Column) -> Column:
+        return F.floor(F.log(w / h) / ASPECT_BUCKET)
+
+    sized = pages.filter((F.col("w") > 0) & (F.col("h") > 0)).withColumn("_b", bucket(F.col("w"), F.col("h")))
+    near = candidates.filter((F.col("image_w") > 0) & (F.col("image_h") > 0)).withColumn(
+        "_b", F.explode(F.sequence(bucket(F.col("image_w"), F.col("image_h")) - 1, bucket(F.col("image_w"), F.col("image_h")) + 1))
+    )
+    fits = page_size_verdict(F.col("w"), F.col("h"), F.col("image_w"), F.col("image_h")) == "ok"
+    return sized.join(broadcast_if_small(near), "_b").filter(fits).select("page_id", "template_id")
+
+
 def match_lines(pages: DataFrame, detected: DataFrame, expected: DataFrame) -> DataFrame:
     """C11 up to the faces: estimates per (page, template, face).
 

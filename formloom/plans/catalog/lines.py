@@ -69,6 +69,31 @@ def candidate_matches(spark: SparkSession, d: str) -> DataFrame:
     return L.rank_candidates(folded.select("page_id", F.col("template_id").alias("name"), "verdict", "score"))
 
 
+def screened_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of all parts as candidates; some documents are cut short, empty or without output."""
+    p = F.col("p_partkey")
+    body = (
+        F.when(p % 7 == 0, F.expr("left(body, length(body) - 5)"))
+        .when(p % 7 == 1, F.lit('{"faces": []}'))
+        .when(p % 7 == 2, F.regexp_replace("body", '"field_id": "total"', '"field_id": "name"'))
+        .otherwise(F.col("body"))
+    )
+    docs = X.part_templates(spark, d).select(F.format_string("c%08d", p).alias("name"), body.alias("body"))
+    return L.screen_candidates(docs)
+
+
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Sheets of various sizes with the forms of their aspect."""
+    pages = X.table(spark, d, "part").select(
+        F.col("p_partkey").alias("page_id"), (F.col("p_partkey") % 50 * 6 + 1650).alias("w"),
+        F.when(F.col("p_partkey") % 97 == 0, 0).otherwise(F.col("p_size") * 2 + 1150).alias("h"),
+    )
+    forms = X.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("template_id"), (F.col("n_nationkey") * 20 + 1600).alias("image_w"), F.lit(1200).alias("image_h")
+    )
+    return L.candidate_pairs(pages, forms)
+
+
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Orders as pages, their customers' markets as candidates with scores from the order."""
     raw = X.from_sql(
@@ -238,6 +263,17 @@ ENTRIES = {
     "candidate_matches": Entry(
         candidate_matches, _CAND_EST + ", cand AS (SELECT page_id, template_id AS name, verdict, score, false AS cut FROM folded)" + _RANK
     ),
+    "screened_candidates": Entry(
+        screened_candidates,
+        """WITH c AS (SELECT printf('c%08d', p_partkey) AS name, CASE p_partkey % 7 WHEN 0 THEN 'parse' WHEN 1 THEN 'schema' WHEN 2 THEN 'schema' END AS bad FROM part)
+ SELECT name, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY bad ORDER BY name) > 20 THEN 'limit' END) AS reason FROM c""",
+    ),
+    "candidate_pairs": Entry(
+        candidate_pairs,
+        """WITH p AS (SELECT p_partkey AS page_id, p_partkey % 50 * 6 + 1650 AS w, CASE WHEN p_partkey % 97 = 0 THEN 0 ELSE p_size * 2 + 1150 END AS h FROM part),
+ f AS (SELECT n_nationkey AS template_id, n_nationkey * 20 + 1600 AS image_w, 1200 AS image_h FROM nation)
+ SELECT page_id, template_id FROM p JOIN f ON h > 0 AND abs(w::DOUBLE / h - image_w::DOUBLE / image_h) / (image_w::DOUBLE / image_h) <= 0.01""",
+    ),
     "ranked_candidates": Entry(
         ranked_candidates,
         """WITH cand AS (SELECT l_orderkey AS page_id, 'form-' || l_linenumber AS name, max(l_discount * 10) AS score, CASE WHEN max(l_returnflag) = 'A' THEN 'mismatch' ELSE 'match' END AS verdict,

@@ -147,3 +147,25 @@ def test_page_edge_holes(spark):
     df = spark.createDataFrame([(1, "h", 5, 3, 80, 90), (2, "h", 5, 3, 80, 84)], SCHEMA + ", width INT")
     got = {r["page_id"]: (r["s"], r["e"]) for r in U.bridged_runs(df, extent="width").collect()}
     assert got == {1: (0, 80), 2: (0, 83)}
+
+
+def test_option_bands(spark):
+    import json
+
+    from formloom.sources.templates import expand_templates
+    from test_forms import rect, template
+
+    doc = template([
+        {"field_id": "era", "kind": "choice", "rect": rect(100, 100, 60, 40),
+         "choice_marks": [{"value": "A", "rect": rect(105, 100, 50, 20)}, {"value": "B", "rect": rect(105, 120, 50, 20)}]},
+        {"field_id": "next", "kind": "text", "rect": rect(161, 100, 50, 40)},
+    ], tid="o")
+    cells = expand_templates(spark.createDataFrame([(json.dumps(doc),)], "body STRING")).cells
+    # full ink right of the first mark, from 149 to the end of the slack and beyond
+    runs = spark.createDataFrame([(1, "o", y, 149, 180) for y in range(100, 120)] + [(1, "o", 110, 149, 150)],
+                                 "page_id LONG, template_id STRING, scan INT, s INT, e INT")
+    plain = {r["option"]: r["score"] for r in U.band_ink_ratio(runs, cells.filter("size(marks) > 0"), 1800, 1200).collect()}
+    cut = {r["option"]: r["score"] for r in U.band_ink_ratio(runs, U.with_occluders(cells), 1800, 1200).collect()}
+    # left band 97..111, right band 149..163; with the neighbour at 161 the right one ends there
+    assert plain == {"A": 14 / 28, "B": 0.0}
+    assert cut == {"A": 12 / 26, "B": 0.0}
