@@ -283,7 +283,7 @@ def screen_candidates(templates: DataFrame, limit: int = CANDIDATE_LIMIT) -> Dat
     named = judged.filter(F.col("rough").isNull()).select(
         F.to_json(doc.withField("template_id", F.col("name"))).alias("body")
     )
-    good = template_profile(expand_templates(named)).filter("usable").select(F.col("template_id").alias("name"))
+    good = kept(template_profile(expand_templates(named)).filter("usable").select(F.col("template_id").alias("name")))
     first = F.broadcast(good.orderBy("name").limit(limit).withColumn("taken", F.lit(True)))
     return (
         judged.drop("body")
@@ -326,7 +326,10 @@ def match_lines(pages: DataFrame, detected: DataFrame, expected: DataFrame) -> D
     stats = expected_stats(expected, tkeys)
     small = broadcast_if_small(stats)
     base = pages.select("page_id", "template_id").join(small, "template_id")
-    lines = detected.select("page_id", "face_id", "axis", "pos").distinct().join(pages, "page_id").select(*keys, *tkeys, "pos")
+    # the raw rows are read once; votes, distances and counts use the distinct positions
+    lines = kept(
+        detected.select("page_id", "face_id", "axis", "pos").distinct().join(pages, "page_id").select(*keys, *tkeys, "pos")
+    )
     every = [*keys, *tkeys]
     # one row per page, face and axis, read by the residuals and the estimate
     shifts = kept(axis_shift(axis_votes(lines, stats, keys, tkeys), base, every))
@@ -353,7 +356,7 @@ def block_shifts(pages: DataFrame, detected: DataFrame, expected: DataFrame, fac
     only_h = expected.filter(F.col("axis") == "h")
     stats = expected_stats(only_h, tkeys)
     base = pages.select("page_id", "template_id").join(broadcast_if_small(stats), "template_id")
-    lines = (
+    lines = kept(
         detected.filter(F.col("axis") == "h").select("page_id", "face_id", "axis", "block_idx", "pos").distinct()
         .join(pages, "page_id").select(*every, "pos")
     )
