@@ -1,7 +1,8 @@
 """Form extraction on Spark: from recognised symbols to trustworthy rows.
 
-Every public operator takes and returns DataFrames and only declares a plan;
-nothing here pulls page data to the driver.
+Every public operator takes and returns DataFrames. Some measure the size of a
+side or write a shared intermediate table first; none pulls page data to the
+driver.
 """
 
 import sys

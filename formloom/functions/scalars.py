@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from formloom.operators.sizing import broadcast_if_small
+
 # The mark for a value that is not trusted, and the statuses.
 UNCLEAR = "〓"
 STATUS_OK = "正常"
@@ -144,11 +146,11 @@ def page_size_verdict(w: Column, h: Column, expected_w: Column, expected_h: Colu
 def expected_digits(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """Text cells without subfields whose name says how many digits they hold.
 
-    ``rules`` (pattern, digits, rule) is data and small; it is broadcast.
+    ``rules`` (pattern, digits, rule) is a short table, one row per naming rule.
     """
     return (
         cells.filter((F.col("kind") == "text") & (F.size("subfields") == 0))
-        .join(F.broadcast(rules), F.expr("field_id rlike pattern"))
+        .join(broadcast_if_small(rules, 1_000), F.expr("field_id rlike pattern"))
         .drop("pattern")
     )
 
