@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from formloom.llm import mixing
+from formloom.llm import mixing, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op10_mix": mixing.op10_mix,
 }
 
