@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from formloom.llm import mixing, pii
+from formloom.llm import mixing, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_quality": quality.op2_quality,
     "op10_mix": mixing.op10_mix,
 }
 
