@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from formloom.llm import mixing, pii, quality
+from formloom.llm import mixing, pieces, pii, quality
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality": quality.op2_quality,
+    "op7_pieces": pieces.op7_pieces,
     "op10_mix": mixing.op10_mix,
 }
 
