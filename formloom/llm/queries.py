@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from formloom.llm import mixing, pieces, pii, quality
+from formloom.llm import mixing, pieces, pii, quality, syncmers
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality": quality.op2_quality,
+    "op6_fingerprints": syncmers.op6_fingerprints,
     "op7_pieces": pieces.op7_pieces,
     "op10_mix": mixing.op10_mix,
 }
