@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from formloom.llm import mixing, pieces, pii, quality, syncmers
+from formloom.llm import mixing, pieces, pii, quality, revisits, syncmers
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality": quality.op2_quality,
     "op6_fingerprints": syncmers.op6_fingerprints,
     "op7_pieces": pieces.op7_pieces,
+    "op9_revisits": revisits.op9_revisits,
     "op10_mix": mixing.op10_mix,
 }
 
 ORACLES = {
+    "op9_revisits": revisits.ORACLE,
     "op10_mix": mixing.ORACLE,
 }
