@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from formloom.llm import mixing, pieces, pii, quality, revisits, syncmers
+from formloom.llm import jaccard, mixing, pieces, pii, quality, revisits, syncmers, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality": quality.op2_quality,
+    "op4_jaccard": jaccard.op4_jaccard,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_fingerprints": syncmers.op6_fingerprints,
     "op7_pieces": pieces.op7_pieces,
     "op9_revisits": revisits.op9_revisits,
