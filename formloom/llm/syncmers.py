@@ -145,52 +145,56 @@ def _told(text: str):
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one sorted range: each with its follower. The first and the last text of the range go along."""
-    before, part, first = None, None, None
+    """Rows of sorted stretches, each with its follower; the last row of a stretch only follows."""
+    before = None
     for batch in batches:
         rows = []
-        for doc_id, text, part in zip(batch["doc_id"], batch["text"], batch["part"], strict=True):
+        for doc_id, text, stretch in zip(batch["doc_id"], batch["text"], batch["stretch"], strict=True):
             own = _told(text)
-            if before is None:
-                first = (doc_id, text)
-            else:
-                rows.append((*_row(before[0], before[1], before[2], text, own), part, None, None))
-            before = (doc_id, text, own)
-        yield pd.DataFrame(rows, columns=[*COLUMNS, "part", "head", "tail"])
-    if before is not None:
-        ends = [(before[0], *[None] * 6, part, first[1], before[1])]
-        yield pd.DataFrame(ends, columns=[*COLUMNS, "part", "head", "tail"]).astype({"n_chars": "Int64", "near_edited": "Float64", "near_next": "Float64"})
-
-
-def _joint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [_row(i, t, _told(t), n, _told(n)) for i, t, n in zip(batch["doc_id"], batch["tail"], batch["following"], strict=True)]
+            if before is not None and before[0] == stretch:
+                rows.append(_row(*before[1:], text, own))
+            before = (stretch, doc_id, text, own)
         yield pd.DataFrame(rows, columns=COLUMNS)
 
 
+def stretches(ids: DataFrame, n: int) -> list:
+    """Bounds that cut the ids into ``n`` stretches of about equal counts: one number per task, not per row."""
+    shares = [i / n for i in range(1, n)]
+    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n)).alias("b")).first()["b"] if shares else None
+    return sorted(set(found or []))
+
+
 def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    Rows are dealt by ranges of (doc_id descending, nulls last; then text), so each range is a stretch of that order;
-    only one row per range, its last, waits for the first text of the next range that has rows. Null texts are empty;
-    equal ids follow each other by text; a single row follows itself; an empty table gives an empty result; further
-    columns are left out.
+    The order is doc_id descending, nulls last, then text. It is cut into stretches by bounds on the id; texts move
+    once, to their stretch. A copy of the first text of the next stretch with rows is added to each stretch (after the
+    last one: of the very first), so a text always meets its follower. These copies are one row per task.
+
+    Null texts are empty; equal ids follow each other by text; a single row follows itself; an empty table gives an
+    empty result; further columns are left out. doc_id must be a number.
     """
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    bounds = np.array(stretches(docs.select("doc_id"), n), np.float64 if docs.schema["doc_id"].dataType.typeName() in ("double", "float") else np.int64)
+
+    @F.pandas_udf("int")
+    def stretch_of(doc_id: pd.Series) -> pd.Series:
+        known = doc_id.notna()
+        at = len(bounds) - np.searchsorted(bounds, doc_id.where(known, 0).to_numpy().astype(bounds.dtype), side="left")
+        return pd.Series(np.where(known, at, len(bounds) + 1).astype(np.int32))
+
     kind = docs.schema["doc_id"].dataType
-    rows = docs.select(F.col("doc_id"), text_of().alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
-    done = kept(rows.mapInPandas(_chain, f"{OUT}, part int, head string, tail string"))
-    ends = done.filter(F.col("head").isNotNull()).select("doc_id", "part", "tail", "head")
-    # One row per range; the window moves only their numbers, the texts are joined by them.
-    parts = ends.select("part").withColumn("after", F.lead("part").over(Window.orderBy("part")))
-    parts = parts.withColumn("after", F.coalesce("after", F.min("part").over(Window.partitionBy())))
-    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("following"))
-    open_rows = ends.select("doc_id", "part", "tail").join(parts, "part").join(heads, "after")
-    joints = open_rows.select("doc_id", "tail", "following").mapInPandas(_joint, OUT)
-    out = done.filter(F.col("head").isNull()).select(*COLUMNS).unionByName(joints)
+    rows = docs.select("doc_id", text_of().alias("text"))
+    numbers = docs.select("doc_id").withColumn("stretch", stretch_of("doc_id"))
+    tops = numbers.groupBy("stretch").agg(F.max("doc_id").alias("top"))  # a row per stretch
+    tops = kept(tops.withColumn("to", F.lag("stretch").over(Window.orderBy("stretch"))).withColumn("to", F.coalesce("to", F.max("stretch").over(Window.partitionBy()))))
+    heads = rows.join(F.broadcast(tops), rows["doc_id"].eqNullSafe(tops["top"])).groupBy("to").agg(F.min("text").alias("text"))
+    heads = heads.select(F.lit(None).cast(kind).alias("doc_id"), "text", F.col("to").alias("stretch"), F.lit(1).alias("last"))
+    every = rows.withColumn("stretch", stretch_of("doc_id")).withColumn("last", F.lit(0)).unionByName(heads)
+    order = ["stretch", "last", F.col("doc_id").desc_nulls_last(), "text"]
+    dealt = every.repartitionByRange(n, "stretch").sortWithinPartitions(*order)
+    out = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "stretch").mapInPandas(_chain, OUT)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

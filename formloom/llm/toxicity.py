@@ -28,7 +28,9 @@ WINDOW, STRIDE = 32, 24
 ROWS_PER_CLASS, WINDOWS_PER_ROW = 1500, 12
 WORD_SLOTS, GRAM_SLOTS = 1 << 15, 1 << 13
 WORD_DIMS, GRAM_DIMS, HIDDEN, ATTENTION = 12, 12, 8, 8
-PASSES, BATCH, RATE = 5, 256, 0.01
+PASSES, BATCH, RATE, DECAY = 5, 256, 0.01, 0.002
+#: Training texts that a word needs for an embedding of its own; a rarer one is known by its trigrams only.
+MIN_TEXTS = 5
 CUT = 0.3
 CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 4096
 
@@ -145,13 +147,16 @@ def train(windows: list[list[str]], labels: np.ndarray, texts: np.ndarray, seed:
     m, rng = fresh_model(seed), np.random.default_rng(seed)
     mean, square, t = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    pairs = np.unique(np.stack([own[ids.ravel()], np.repeat(texts, WINDOW)])[:, ids.ravel() > 0], axis=1)
+    common = np.bincount(pairs[0], minlength=WORD_SLOTS) >= MIN_TEXTS
+    m["words"][~common] = 0
     use = np.ones(len(ids), bool)
     for turn in range(PASSES):
         if turn:
             scores = score_windows(m, embedded(m, feats) @ m["input"] + m["bias"], ids)
             worst = np.full(texts.max() + 1, -np.inf)
             np.maximum.at(worst, texts, scores)
-            use = (labels == 0) | (sigmoid(scores) >= 0.7 * sigmoid(worst[texts])) & (scores > -2.0)
+            use = (labels == 0) | (sigmoid(scores) >= 0.7 * sigmoid(worst[texts])) & (scores > 0)
         weight = np.where(labels == 1, 0.5 / max(1, (use & (labels == 1)).sum()), 0.5 / max(1, (use & (labels == 0)).sum())).astype(np.float32)
         order = rng.permutation(np.flatnonzero(use))
         for a in range(0, len(order), BATCH):
@@ -173,6 +178,8 @@ def train(windows: list[list[str]], labels: np.ndarray, texts: np.ndarray, seed:
             np.add.at(g["words"], own[words], d_x[:, :WORD_DIMS])
             which = np.searchsorted(words, gram_word[part])
             np.add.at(g["grams"], grams[part], (d_x[:, WORD_DIMS:] / sizes[words][:, None])[which])
+            g["words"][~common] = 0
+            g["grams"] += DECAY * m["grams"]
             t += 1
             for k, d in g.items():
                 mean[k] += 0.1 * (d - mean[k])
