@@ -1,19 +1,20 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as two vectors: an embedding of its hash, and the mean embedding of its character trigrams. Texts are
-cut into windows of 32 words that overlap by 8; all windows of a text are scored and the largest logit counts, mapped
+A word enters as two vectors: an embedding of its own, and the summed embeddings of its character runs, which are all
+trigrams and the starts of up to six characters. Texts are cut into windows of 32 words that overlap by 8; all windows of a text are scored and the largest logit counts, mapped
 to a probability by a logistic curve.
 
-Training runs on the driver, on a sample with documented bounds: at most ``ROWS_PER_CLASS`` labelled rows per class,
-at most ``WINDOWS_PER_ROW`` windows of each. The model has a fixed size of about 2 MB. Scoring maps over all rows.
-A window is labelled like its text at first; from the second pass on, windows of toxic texts that look much less toxic
-than the worst of their text are left out, since most windows of a toxic text are harmless.
+Training runs on the driver, on a sample with documented bounds: at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows
+and ``WINDOWS`` windows, alike many of each text unless it has fewer. The model has embeddings for words and runs that occur in several contexts
+of these windows, so its size is bounded by the sample; it is a few MB. Scoring maps over all rows.
+A window is labelled like its text in the first pass; later only the ``TOP`` worst windows of a toxic text count, since
+most of its windows are harmless, and the loss allows for a share ``NOISE`` of toxic labels that the text doesn't bear out.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,42 +26,58 @@ from pyspark.sql import functions as F
 from formloom.llm.common import WORD, fresh, table, text_of
 
 WINDOW, STRIDE = 32, 24
-ROWS_PER_CLASS, WINDOWS_PER_ROW = 1500, 12
-WORD_SLOTS, GRAM_SLOTS = 1 << 15, 1 << 13
+TOXIC_ROWS, CLEAN_ROWS, WINDOWS = 1200, 3600, 38_400
 WORD_DIMS, GRAM_DIMS, HIDDEN, ATTENTION = 12, 12, 8, 8
-PASSES, BATCH, RATE, DECAY = 5, 256, 0.01, 0.002
-#: Training texts that a word needs for an embedding of its own; a rarer one is known by its trigrams only.
-MIN_TEXTS = 5
+PASSES, BATCH, RATE, DECAY = 4, 128, 0.01, 0.002
+TOP, NOISE = 2, 0.02
+#: Different neighbours that a word or a run needs in the sample for an embedding; rarer ones count as zero.
+MIN_CONTEXTS = 8
 CUT = 0.3
 CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 4096
 
-Model = dict[str, np.ndarray]
+Model = dict  # arrays by name, and the numbers of words and runs
 
 
 def plain(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]{}*#$%&|<>-_") or word
 
 
-def slots(word: str) -> tuple[int, list[int]]:
-    """Slot of the word and of its character trigrams, its ends marked."""
-    own = f"<{plain(word)}>".encode("utf-8", "surrogatepass")
-    return zlib.crc32(own) % WORD_SLOTS, [zlib.crc32(own[i : i + 3]) % GRAM_SLOTS for i in range(max(1, len(own) - 2))]
+def runs_of(word: str) -> list[str]:
+    """Character runs of a word with its ends marked; of a very long word the first 60 trigrams."""
+    own = f"<{plain(word)}>"
+    return [own[i : i + 3] for i in range(min(60, max(1, len(own) - 2)))] + [own[:n] for n in (4, 5, 6, 7) if n < len(own)]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word slots, and the trigram slots of all words with the number of trigrams of each."""
+def features(words: list[str], known: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each word, and the numbers of the runs of all words with the number of runs of each; 0 is unknown."""
+    word_of, run_of = known["word_of"], known["run_of"]
     own, grams, sizes = np.zeros(len(words), np.int64), [], np.zeros(len(words), np.int64)
     for i, w in enumerate(words):
-        own[i], some = slots(w)
+        own[i] = word_of.get(plain(w), 0)
+        some = [n for r in runs_of(w) if (n := run_of.get(r))] or [0]
         grams += some
         sizes[i] = len(some)
     return own, np.array(grams, np.int64), sizes
 
 
+def vocabulary(windows: list[list[str]]) -> tuple[dict[str, int], dict[str, int]]:
+    """Numbers, from 1, of the words and of the character runs that occur between ``MIN_CONTEXTS`` pairs of neighbours.
+
+    Copies of a text repeat its neighbours too, so they don't make a chance word look common.
+    """
+    contexts = Counter(w for _, w, _ in {t for ws in windows for t in zip(["", *ws], ws, [*ws[1:], ""], strict=False)})
+    n_word, n_run = Counter(), Counter()
+    for w, n in contexts.items():
+        n_word[plain(w)] += n
+        for r in set(runs_of(w)):
+            n_run[r] += n
+    return tuple({x: i for i, x in enumerate(sorted(x for x, n in c.items() if n >= MIN_CONTEXTS), start=1)} for c in (n_word, n_run))
+
+
 def embedded(m: Model, feats) -> np.ndarray:
     own, grams, sizes = feats
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    chars = np.add.reduceat(m["grams"][grams], starts, axis=0) / sizes[:, None].astype(np.float32)
+    chars = np.add.reduceat(m["grams"][grams], starts, axis=0) * np.float32(0.3)
     return np.concatenate([m["words"][own], chars], axis=1)
 
 
@@ -72,12 +89,14 @@ def tanh(x: np.ndarray) -> np.ndarray:
     return 2 * sigmoid(2 * x) - 1
 
 
-def fresh_model(seed: int = 7) -> Model:
+def fresh_model(word_of: dict[str, int], run_of: dict[str, int], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     d, h = WORD_DIMS + GRAM_DIMS, HIDDEN
     normal = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
+    words, runs = normal(len(word_of) + 1, WORD_DIMS, s=0.1), normal(len(run_of) + 1, GRAM_DIMS, s=0.1)
+    words[0] = runs[0] = 0
     return {
-        "words": normal(WORD_SLOTS, WORD_DIMS, s=0.1), "grams": normal(GRAM_SLOTS, GRAM_DIMS, s=0.1),
+        "words": words, "grams": runs,
         "input": normal(d, 6 * h, s=d**-0.5), "bias": np.zeros(6 * h, np.float32), "state": normal(2, h, 3 * h, s=h**-0.5),
         "look": normal(2 * h, ATTENTION, s=(2 * h) ** -0.5), "look_bias": np.zeros(ATTENTION, np.float32), "query": normal(ATTENTION, s=0.5),
         "out": normal(2 * h, s=0.5), "out_bias": np.zeros(1, np.float32),
@@ -137,26 +156,26 @@ def backward(m: Model, inputs: np.ndarray, kept, slope: np.ndarray) -> tuple[Mod
 
 def train(windows: list[list[str]], labels: np.ndarray, texts: np.ndarray, seed: int = 7) -> Model:
     """Fit to windows of words; ``texts`` numbers the text of each. Plain Adam on logistic loss, classes weighted alike."""
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in windows for w in ws), start=1)}
-    feats = features(["", *vocabulary])
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in windows for w in ws), start=1)}
+    known = dict(zip(("word_of", "run_of"), vocabulary(windows), strict=True))
+    feats = features(["", *number], known)
     own, grams, sizes = feats
     gram_word = np.repeat(np.arange(len(own)), sizes)
     ids = np.zeros((len(windows), WINDOW), np.int64)
     for k, ws in enumerate(windows):
-        ids[k, : len(ws)] = [vocabulary[w] for w in ws]
-    m, rng = fresh_model(seed), np.random.default_rng(seed)
+        ids[k, : len(ws)] = [number[w] for w in ws]
+    m, rng = fresh_model(**known, seed=seed), np.random.default_rng(seed)
     mean, square, t = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, 0
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    pairs = np.unique(np.stack([own[ids.ravel()], np.repeat(texts, WINDOW)])[:, ids.ravel() > 0], axis=1)
-    common = np.bincount(pairs[0], minlength=WORD_SLOTS) >= MIN_TEXTS
-    m["words"][~common] = 0
     use = np.ones(len(ids), bool)
     for turn in range(PASSES):
         if turn:
             scores = score_windows(m, embedded(m, feats) @ m["input"] + m["bias"], ids)
-            worst = np.full(texts.max() + 1, -np.inf)
-            np.maximum.at(worst, texts, scores)
-            use = (labels == 0) | (sigmoid(scores) >= 0.7 * sigmoid(worst[texts])) & (scores > 0)
+            order = np.lexsort((-scores, texts))
+            first = np.concatenate([[0], np.flatnonzero(np.diff(texts[order])) + 1])
+            rank = np.empty(len(ids), np.int64)
+            rank[order] = np.arange(len(ids)) - np.repeat(first, np.diff([*first, len(ids)]))
+            use = (labels == 0) | (rank < TOP)
         weight = np.where(labels == 1, 0.5 / max(1, (use & (labels == 1)).sum()), 0.5 / max(1, (use & (labels == 0)).sum())).astype(np.float32)
         order = rng.permutation(np.flatnonzero(use))
         for a in range(0, len(order), BATCH):
@@ -168,7 +187,9 @@ def train(windows: list[list[str]], labels: np.ndarray, texts: np.ndarray, seed:
             projected = x @ m["input"] + m["bias"]
             inputs, real = projected[at], ids[some] > 0
             logit, kept = forward(m, inputs, real, keep=True)
-            slope = ((sigmoid(logit) - labels[some]) * weight[some] * len(order)).astype(np.float32) / len(some)
+            p, noise = sigmoid(logit), NOISE if turn else 0.0
+            slope = np.where(labels[some] == 1, (noise - 1) * p * (1 - p) / (noise + (1 - noise) * p), p)
+            slope = (slope * weight[some] * len(order)).astype(np.float32) / len(some)
             g, d_inputs = backward(m, inputs, kept, slope)
             d_word = np.zeros_like(projected)
             np.add.at(d_word, at.ravel(), d_inputs.reshape(-1, projected.shape[1]))
@@ -177,8 +198,9 @@ def train(windows: list[list[str]], labels: np.ndarray, texts: np.ndarray, seed:
             g["words"], g["grams"] = np.zeros_like(m["words"]), np.zeros_like(m["grams"])
             np.add.at(g["words"], own[words], d_x[:, :WORD_DIMS])
             which = np.searchsorted(words, gram_word[part])
-            np.add.at(g["grams"], grams[part], (d_x[:, WORD_DIMS:] / sizes[words][:, None])[which])
-            g["words"][~common] = 0
+            np.add.at(g["grams"], grams[part], (d_x[:, WORD_DIMS:] * np.float32(0.3))[which])
+            g["words"][0] = 0
+            g["grams"][0] = 0
             g["grams"] += DECAY * m["grams"]
             t += 1
             for k, d in g.items():
@@ -190,18 +212,19 @@ def train(windows: list[list[str]], labels: np.ndarray, texts: np.ndarray, seed:
     np.maximum.at(worst, texts, scores)
     told = np.zeros(texts.max() + 1)
     told[texts] = labels
-    m["curve"] = np.array(logistic(worst, told), np.float64)
-    return m
+    m["curve"] = np.array(curve(worst, told), np.float64)
+    return m | known
+
 
+def curve(worst: np.ndarray, told: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve from the largest logit of a text to its score.
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 500) -> tuple[float, float]:
-    """Slope and place of the curve that maps the largest logit of a text to its probability."""
-    shift, scale = float(x.mean()), float(x.std()) or 1.0
-    v, a, b = (x - shift) / scale, 1.0, 0.0
-    for _ in range(steps):
-        p = sigmoid(a * v + b)
-        a, b = max(0.05, a - 0.5 * (float(((p - y) * v).mean()) + 0.01 * (a - 1))), b - 0.5 * float((p - y).mean())
-    return a / scale, b - a * shift / scale
+    Training texts are set wide apart, so their likelihood doesn't tell where between them the curve should rise: it
+    crosses 0.5 half-way from where 99 % of the clean ones end to where 90 % of the toxic ones begin.
+    """
+    clean, toxic = np.quantile(worst[told == 0], 0.99), np.quantile(worst[told == 1], 0.1)
+    slope = 8 / max(1.0, toxic - clean)
+    return slope, -slope * (clean + toxic) / 2
 
 
 def score_windows(m: Model, projected: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -224,7 +247,7 @@ class Scorer:
         self.table = self._project([""])
 
     def _project(self, words: list[str]) -> np.ndarray:
-        return embedded(self.m, features(words)) @ self.m["input"] + self.m["bias"]
+        return embedded(self.m, features(words, self.m)) @ self.m["input"] + self.m["bias"]
 
     def ids(self, words: list[str]) -> np.ndarray:
         if new := [w for w in dict.fromkeys(words) if w not in self.known]:
@@ -264,15 +287,15 @@ class Scorer:
 
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Up to WINDOWS_PER_ROW windows of a text, spread evenly over it."""
+    """Up to ``most`` windows of a text, spread evenly over it."""
     word = re.compile(WORD)
     for df in batches:
         rows = []
-        for toxic, text in zip(df["toxic"], df["text"], strict=True):
+        for toxic, most, text in zip(df["toxic"], df["most"], df["text"], strict=True):
             words = word.findall(text)
             if words:
                 last = max(0, len(words) - WINDOW)
-                starts = sorted({round(s) for s in np.linspace(0, last, min(WINDOWS_PER_ROW, last // STRIDE + 1))})
+                starts = sorted({round(s) for s in np.linspace(0, last, min(most, last // STRIDE + 1))})
                 rows.append((toxic, [" ".join(words[s : s + WINDOW]) for s in starts]))
         yield pd.DataFrame(rows, columns=["toxic", "windows"])
 
@@ -281,13 +304,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learned(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model | float:
+def learned(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model | float:
     """The model, or a constant score where the labels of the training rows have fewer than two classes."""
     usable = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    chosen = usable.filter("toxic = 0").orderBy(*order).limit(rows_per_class).unionByName(usable.filter("toxic = 1").orderBy(*order).limit(rows_per_class))
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * rows_per_class rows
-    rows = texts.select("toxic", "text").mapInPandas(_sampled, "toxic int, windows array<string>").collect()
+    chosen = usable.filter("toxic = 0").orderBy(*order).limit(clean_rows).unionByName(usable.filter("toxic = 1").orderBy(*order).limit(toxic_rows))
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # a bounded number of rows
+    most = min(64, WINDOWS // max(1, chosen.count()))
+    rows = texts.select("toxic", F.lit(most).alias("most"), "text").mapInPandas(_sampled, "toxic int, windows array<string>").collect()
     rows.sort(key=lambda r: (r.windows, r.toxic))
     classes = {r.toxic for r in rows}
     if len(classes) < 2:
