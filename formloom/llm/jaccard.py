@@ -37,6 +37,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 40, 1e-7
 #: Nodes in a block of a cluster; members up to which a bucket with a dropped tie is looked through.
 BLOCK, BUCKET = 1024, 20_000
+#: Pairs of signatures held side by side.
+PAIRS = 1 << 14
 _rng = np.random.default_rng(20240607)
 _MULTIPLY = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -119,9 +121,9 @@ def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         agreed += a[:, k, None] == b[None, :, k]
     i, j = np.nonzero(agreed >= needed(STEP))
     out = np.zeros(agreed.shape, bool)
-    for s in range(0, len(i), 1 << 18):
-        on = stay(a[i[s : s + (1 << 18)]], b[j[s : s + (1 << 18)]])
-        out[i[s : s + (1 << 18)][on], j[s : s + (1 << 18)][on]] = True
+    for s in range(0, len(i), PAIRS):
+        on = stay(a[i[s : s + PAIRS]], b[j[s : s + PAIRS]])
+        out[i[s : s + PAIRS][on], j[s : s + PAIRS][on]] = True
     return out
 
 
@@ -173,13 +175,15 @@ def _untangled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Ties within buckets where one to the head was dropped: the components of the pairs that stay."""
     for df in groups_of(batches, "key"):
         nodes, signs = list(df["node"]), np.frombuffer(b"".join(df["sign"]), np.uint16).reshape(-1, HASHES)
-        ties, open_nodes = [], list(range(len(nodes)))
-        while open_nodes:
-            at = open_nodes[0]
+        head = nodes.index(min(nodes))
+        hangs = stay(np.broadcast_to(signs[head], signs.shape), signs)  # these are tied to the head already
+        ties = []
+        for at in np.flatnonzero(~hangs).tolist():
+            # A node that doesn't hang on the head is held against every node. Those that hang on the head are one
+            # component, so one tie to them is enough; of the others, pairs count once.
             on = stay(np.broadcast_to(signs[at], signs.shape), signs)
-            ties += [(nodes[i], nodes[at]) for i in np.flatnonzero(on).tolist() if i != at]
-            # All that hang on this node are joined by it; what is left must be held against every node.
-            open_nodes = [i for i in open_nodes[1:] if not on[i]]
+            ties += [(nodes[i], nodes[at]) for i in [*np.flatnonzero(on & hangs)[:1].tolist(), *np.flatnonzero(on & ~hangs).tolist()] if i != at]
+            hangs[at] |= (on & hangs).any()
         yield pd.DataFrame(ties, columns=["node", "head"])
 
 
