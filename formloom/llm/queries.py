@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formloom.llm import jaccard, mixing, pieces, pii, quality, revisits, syncmers, toxicity
+from formloom.llm import jaccard, mixing, pieces, pii, quality, repeats, revisits, syncmers, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_fingerprints": syncmers.op6_fingerprints,
     "op7_pieces": pieces.op7_pieces,
+    "op8_repeats": repeats.op8_repeats,
     "op9_revisits": revisits.op9_revisits,
     "op10_mix": mixing.op10_mix,
 }
