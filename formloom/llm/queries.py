@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from formloom.llm import jaccard, mixing, pieces, pii, quality, repeats, revisits, syncmers, toxicity
+from formloom.llm import htmltext, jaccard, mixing, pieces, pii, quality, repeats, revisits, syncmers, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_quality": quality.op2_quality,
+    "op3_main_text": htmltext.op3_main_text,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_fingerprints": syncmers.op6_fingerprints,

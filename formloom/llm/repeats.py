@@ -3,14 +3,18 @@
 A byte is removed if a 50-byte string that covers it also starts in a document with a smaller id. All such strings of
 all texts are judged, on the input. The steps:
 
-1. Each 50-byte string has one anchor, its 20-byte string with the smallest hash, so equal strings have equal anchors.
+1. Each 50-byte string has one anchor, its 16-byte string with the smallest hash, so equal strings have equal anchors.
    Anchors go to a shard by their hash. Only anchors that two documents share can lie in a repeated string; which
-   ones these are goes back to the documents. Within a lot of a task, an anchor that several documents have is sent once.
+   ones these are goes back to the documents.
 2. Around each shared anchor, the run of bytes that the strings with this anchor cover is cut out. Runs go to shards by
-   anchor, equal ones of a lot once, with their smallest and largest document.
+   anchor.
 3. A shard joins its runs, builds their suffix array by induced sorting, and finds strings of 50 bytes that neighbours in
-   the array share through permuted common prefixes. Each string gets the smallest document that has it.
-4. That goes back to every document that has the run; covered bytes are joined to spans and removed.
+   the array share through permuted common prefixes. Each string gets the smallest document that has it, and documents
+   after that one get the span to remove.
+4. Spans are joined to the texts and merged.
+
+Shards get packed columns of a lot of texts at a time, so little is written. A passage that a third of all documents
+has costs a shard one row per lot, not one per document: what documents of one lot share is settled in the lot.
 """
 
 from __future__ import annotations
@@ -21,15 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.llm.common import table, text_of
 from formloom.llm.suffixes import common_at_least, suffix_array
-from formloom.session import kept
 
-SIZE, GRAM = 50, 20
+SIZE, GRAM = 50, 16
 #: Bytes of a text that are handled at a time, bytes of texts in a lot, bytes of runs in one suffix array.
 PIECE, LOT, ARRAY = 1 << 23, 1 << 24, 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -47,8 +50,8 @@ def runs_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         padded = np.concatenate([part, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(part),), "<u8", padded, strides=(1,)).copy()
         grams = len(part) - GRAM + 1
-        h = eight[:grams] * _A ^ eight[8 : 8 + grams] * _B
-        h ^= eight[GRAM - 8 : GRAM - 8 + grams] * _C + (h >> np.uint64(29))
+        h = eight[:grams] * _A ^ eight[GRAM - 8 : GRAM - 8 + grams] * _C
+        h ^= h >> np.uint64(29)
         h *= _B
         h ^= h >> np.uint64(32)
         h *= _A
@@ -80,178 +83,212 @@ def _lots(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple
         yield lot
 
 
-SUSPECTS = "doc bigint, anchor bigint, first int, last int"
+def packed(columns: list[np.ndarray], rest: bytes = b"") -> bytes:
+    """Columns of 64-bit numbers, byte by byte so that equal high bytes lie together, and further bytes; compressed."""
+    flat = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(flat + rest)
+
+
+def unpacked(pack: bytes, width: int) -> tuple[list[np.ndarray], bytes]:
+    n, flat = int.from_bytes(pack[:8], "little"), zstandard.ZstdDecompressor().decompress(pack[8:])
+    columns = [np.frombuffer(flat, np.uint8, 8 * n, 8 * n * i).reshape(8, n).T.copy().view("<i8").ravel() for i in range(width)]
+    return columns, flat[8 * n * width :]
+
+
+PACKS = "part int, known boolean, pack binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "known", "pack"]
+    )
+
+
+def _by_part(anchor: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards and the rows of each, in their order."""
+    part = (anchor.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[by], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, by[cut[p] : cut[p + 1]]
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of groups of equal keys in sorted columns."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    start = np.flatnonzero(new)
+    return start, np.diff([*start, len(new)])
 
 
 def _anchored(parts: int):
-    """Per lot: suspects that the lot knows itself, and for each shard a row of packed anchors."""
+    """Per lot: a pack of anchors for each shard, and one of suspects that the lot knows itself.
+
+    An anchor that several documents of the lot have makes them suspects; a shard gets it once, marked by width -1, so
+    that other lots learn of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in _lots(batches, 1):
+        for k, lot in enumerate(_lots(batches, 1)):
             told = [runs_of(data) for _, data in lot]
-            h = np.concatenate([t[0] for t in told])
-            if not len(h):
+            anchor = np.concatenate([t[0] for t in told]).view(np.int64)
+            if not len(anchor):
                 continue
-            first, last = (np.concatenate([t[i] for t in told]).astype(np.int32) for i in (1, 2))
+            first, last = (np.concatenate([t[i] for t in told]) for i in (1, 2))
             doc = np.repeat(np.array([d for d, _ in lot], np.int64), [len(t[0]) for t in told])
-            order = np.lexsort((doc, h))
-            h, first, last, doc = h[order], first[order], last[order], doc[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            start = np.flatnonzero(new)
-            size = np.diff([*start, len(h)])
+            order = np.lexsort((doc, anchor))
+            anchor, first, width, doc = anchor[order], first[order], (last - first)[order], doc[order]
+            start, size = _groups(anchor)
             many = np.repeat(doc[start] != doc[start + size - 1], size)
-            own = np.flatnonzero(many)
-            sent = np.flatnonzero(~many | new)  # of a known anchor only one row, marked by last = -1
-            last_sent = np.where(many[sent], -1, last[sent]).astype(np.int32)
-            part = (h[sent] % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[by], np.arange(parts + 1))
-            pack = np.zeros(len(sent), np.dtype([("h", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("last", "<i4")]))
-            pack["h"], pack["doc"], pack["first"], pack["last"] = h[sent], doc[sent], first[sent], last_sent
-            pack = pack[by]
-            filled = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(filled, pa.int32()), pa.array([pack[cut[p] : cut[p + 1]].tobytes() for p in filled], pa.binary()),
-                    pa.nulls(len(filled), pa.list_(pa.int64())), pa.nulls(len(filled), pa.list_(pa.int64())),
-                    pa.nulls(len(filled), pa.list_(pa.int32())), pa.nulls(len(filled), pa.list_(pa.int32())),
-                ],
-                ["part", "pack", "doc", "anchor", "first", "last"],
-            )
+            opens = np.zeros(len(anchor), bool)
+            opens[start] = True
+            sent, own = np.flatnonzero(~many | opens), np.flatnonzero(many)
+            told_width = np.where(many, -1, width)
+            rows = [(p, False, packed([c[sent[at]] for c in (anchor, doc, first, told_width)])) for p, at in _by_part(anchor[sent], parts)]
             if len(own):
-                lists = [pa.ListArray.from_arrays([0, len(own)], pa.array(c)) for c in (doc[own], h[own].view(np.int64), first[own], last[own])]
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *lists], ["part", "pack", "doc", "anchor", "first", "last"])
+                rows.append((int(lot[0][0] + k) % parts, True, packed([c[own] for c in (anchor, doc, first, width)])))
+            yield _batch(rows)
 
     return run
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Suspects of a shard: rows of anchors that another document or another lot has too. One shard is held at a time."""
-    kind = np.dtype([("h", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("last", "<i4")])
-
-    def told(packs: list[bytes]) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(packs), kind)
-        rows = rows[np.argsort(rows["h"], kind="stable")]
-        start = np.flatnonzero(np.concatenate([[True], rows["h"][1:] != rows["h"][:-1]]))
-        size = np.diff([*start, len(rows)])
-        low, high = np.minimum.reduceat(rows["doc"], start), np.maximum.reduceat(rows["doc"], start)
-        known = np.minimum.reduceat(rows["last"], start) < 0
-        on = np.repeat((low != high) | known, size) & (rows["last"] >= 0)
-        out = rows[on]
-        return pd.DataFrame({"doc": out["doc"], "anchor": out["h"].astype(np.uint64).view(np.int64), "first": out["first"], "last": out["last"]})
-
-    part, packs = None, []
+def _of_parts(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
+    """Columns of all packs of one shard after the other, and their further bytes; known packs come singly."""
+    part, held, rests = None, [], []
+
+    def joined() -> tuple[list[np.ndarray], list[bytes]]:
+        return [np.concatenate([h[i] for h in held]) for i in range(width)], rests
+
     for df in batches:
-        for p, pack in zip(df["part"], df["pack"], strict=True):
-            if packs and p != part:
-                yield told(packs)
-                packs = []
+        for p, known, pack in df.itertuples(index=False):
+            columns, rest = unpacked(pack, width)
+            if known:
+                yield columns, []
+                continue
+            if held and p != part:
+                yield joined()
+                held, rests = [], []
             part = p
-            packs.append(pack)
-    if packs:
-        yield told(packs)
+            held.append(columns)
+            rests.append(rest)
+    if held:
+        yield joined()
 
 
-def _cut(send: bool):
-    """Runs of suspects: to the shards with their bytes (equal ones of a lot once), or as places in their texts."""
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Suspects: rows of anchors that another document has too. Packs of known suspects have no bytes and pass."""
+    for (anchor, doc, first, width), rests in _of_parts(batches, 4):
+        if rests:
+            order = np.lexsort((doc, anchor))
+            anchor, doc, first, width = anchor[order], doc[order], first[order], width[order]
+            start, size = _groups(anchor)
+            known = np.minimum.reduceat(width, start) < 0
+            on = np.repeat((doc[start] != doc[start + size - 1]) | known, size) & (width >= 0)
+            anchor, doc, first, width = anchor[on], doc[on], first[on], width[on]
+        yield pd.DataFrame({"doc": doc, "anchor": anchor, "first": first.astype(np.int32), "width": width.astype(np.int32)})
+
+
+def merged(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document, those that touch or overlap joined."""
+    order = np.lexsort((first, doc))
+    doc, first, end = doc[order], first[order], end[order]
+    if not len(doc):
+        return doc, first, end
+    start, size = _groups(doc)
+    # A running maximum within each document: documents are lifted apart by more than any end.
+    lift = np.repeat(np.arange(len(start)), size) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + lift) - lift
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], first[at], reach[np.append(at[1:], len(doc)) - 1]
+
+
+def _cut(parts: int):
+    """Runs of suspects, packed for their shards. Of equal runs in a lot, only the one of the smallest document is sent:
+    the others are spans to remove, since that document has every string of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in _lots(batches, 2):
-            seen: dict[tuple[int, int], list] = {}
-            anchors, ids, docs, hashes, places = [], [], [], [], []
-            for doc, text_hash, data, some in lot:
+        for k, lot in enumerate(_lots(batches, 1)):
+            seen: dict[bytes, int] = {}
+            anchor, doc, first, size, runs, spans = [], [], [], [], [], []
+            for d, data, some in sorted(lot, key=lambda r: r[0]):
                 for s in some:
-                    bytes_of = data[s["first"] : s["last"] + SIZE]
-                    key = (s["anchor"], xxhash.xxh64_intdigest(bytes_of) - (1 << 63))
-                    if send:
-                        if key in seen:
-                            seen[key][1:] = min(seen[key][1], doc), max(seen[key][2], doc)
-                        else:
-                            seen[key] = [bytes_of, doc, doc]
-                    else:
-                        anchors.append(key[0])
-                        ids.append(key[1])
-                        docs.append(doc)
-                        hashes.append(text_hash)
-                        places.append(s["first"])
-            if send:
-                keys, rows = list(seen), list(seen.values())
-                columns = [
-                    pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([r[0] for r in rows], pa.binary()),
-                    pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                ]
-                names = ["anchor", "run", "bytes", "least", "most"]
-            else:
-                columns = [*[pa.array(c, pa.int64()) for c in (anchors, ids, docs, hashes)], pa.array(places, pa.int32())]
-                names = ["anchor", "run", "doc", "text_hash", "first"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    a, end = s["first"], s["first"] + s["width"] + SIZE
+                    if end > len(data):  # of another text with this id
+                        continue
+                    at = seen.setdefault(body := data[a:end], len(runs))
+                    if at < len(runs) and doc[at] < d:
+                        spans.append((d, a, end))
+                        continue
+                    for column, x in zip((anchor, doc, first, size, runs), (s["anchor"], d, a, end - a, body), strict=True):
+                        column.append(x)
+            columns = [np.array(c, np.int64) for c in (anchor, doc, first, size)]
+            rows = []
+            if runs:
+                rows = [(p, False, packed([c[at] for c in columns], b"".join([runs[i] for i in at.tolist()]))) for p, at in _by_part(columns[0], parts)]
+            if spans:
+                d, a, e = merged(*np.array(spans, np.int64).T)
+                rows.append((int(d[0] + k) % parts, True, packed([np.zeros(len(d), np.int64), d, a, e])))
+            yield _batch(rows)
 
     return run
 
 
-def least_documents(runs: list[bytes], least: np.ndarray) -> list[np.ndarray]:
-    """For each run, the smallest document that has each of its 50-byte strings, from one suffix array of all runs."""
-    sizes = np.array([len(r) for r in runs])
-    codes = np.frombuffer(b"".join(runs), np.uint8)
-    owner = np.repeat(np.arange(len(runs)), sizes)
-    ends = np.cumsum(sizes)
+def repeated(codes: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and place of each 50-byte string that a smaller document has, from one suffix array of all runs."""
+    owner = np.repeat(np.arange(len(size)), size)
+    ends = np.cumsum(size)
     inside = np.arange(len(codes)) + SIZE <= ends[owner]  # strings that don't reach into the next run
     array = suffix_array(codes)
-    alike = common_at_least(codes, array, SIZE)
-    group = np.cumsum(~alike) - 1
+    group = np.cumsum(~common_at_least(codes, array, SIZE)) - 1
     whole = inside[array]
-    best = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, group[whole], least[owner[array[whole]]])
-    out = np.empty(len(codes), np.int64)
-    out[array] = best[group]
-    return [out[e - s : e - SIZE + 1] for e, s in zip(ends, sizes, strict=True)]
+    array, group = array[whole], group[whole]
+    least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc[owner[array]])
+    at = np.sort(array[least[group] < doc[owner[array]]])
+    return owner[at], at - (ends - size)[owner[at]]
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shards sorted by anchor: whole anchors are gathered up to a bound, then one suffix array judges their runs."""
-    held: dict[tuple[int, int], list] = {}
-    size, anchor = 0, None
-
-    def told() -> pd.DataFrame:
-        keys, rows = list(held), list(held.values())
-        least, most = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
-        found = least_documents([r[0] for r in rows], least)
-        # A string whose smallest document is also the largest of its run is no repeat for any of them.
-        on = [i for i, f in enumerate(found) if f.min() < most[i]]
-        return pd.DataFrame({
-            "anchor": np.array([keys[i][0] for i in on], np.int64), "run": np.array([keys[i][1] for i in on], np.int64),
-            "earliest": [found[i].tobytes() for i in on],
-        })
-
-    for df in batches:
-        for row in df.itertuples(index=False):
-            if size > ARRAY and row.anchor != anchor:
-                yield told()
-                held, size = {}, 0
-            anchor, key = row.anchor, (row.anchor, row.run)
-            if key in held:
-                held[key][1:] = min(held[key][1], row.least), max(held[key][2], row.most)
-            else:
-                held[key] = [row.bytes, row.least, row.most]
-                size += len(row.bytes)
-    if held:
-        yield told()
+    """Spans to remove. The runs of a shard are taken by anchor, whole anchors up to a bound in one suffix array."""
+    for (anchor, doc, first, size), rests in _of_parts(batches, 4):
+        if not rests:  # known spans: document, first, end
+            yield pd.DataFrame({"doc": doc, "first": first.astype(np.int32), "end": size.astype(np.int32)})
+            continue
+        flat = np.frombuffer(b"".join(rests), np.uint8)
+        begin = np.cumsum(size) - size
+        order = np.argsort(anchor, kind="stable")
+        start, many = _groups(anchor[order])
+        filled = np.cumsum(np.add.reduceat(size[order], start))
+        lots = np.searchsorted(filled, np.arange(0, filled[-1] + ARRAY, ARRAY), side="right")
+        lots = np.unique([0, *lots, len(start)])
+        for a, b in zip(lots, lots[1:], strict=False):
+            some = order[start[a] : start[b - 1] + many[b - 1]]
+            n = size[some]
+            codes = flat[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            run, place = repeated(codes, n, doc[some])
+            d, f, e = merged(doc[some][run], first[some][run] + place, first[some][run] + place + SIZE)
+            yield pd.DataFrame({"doc": d, "first": f.astype(np.int32), "end": e.astype(np.int32)})
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, data, hits in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+        for data, spans in zip(*[batch.column(i).to_pylist() for i in (1, 2)], strict=True):
             gone = np.zeros(len(data) + 1, np.int32)
-            for hit in hits:
-                first = hit["first"] + np.flatnonzero(np.frombuffer(hit["earliest"], np.int64) < doc)
-                np.add.at(gone, first, 1)
-                np.add.at(gone, first + SIZE, -1)
+            for s in spans or ():
+                if s["end"] <= len(data):
+                    gone[s["first"]] += 1
+                    gone[s["end"]] -= 1
             off = np.cumsum(gone[:-1]) > 0
-            rest = np.frombuffer(data, np.uint8)[~off].tobytes()
-            spans = int(np.count_nonzero(off[1:] & ~off[:-1])) + int(off[:1].sum())
-            rows.append((len(data), int(off.sum()), spans, hashlib.sha256(rest).hexdigest(), rest))
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            rest = np.frombuffer(data, np.uint8)[~off].tobytes() if spans else data
+            n_spans = int(np.count_nonzero(off[1:] & ~off[:-1])) + int(off[:1].sum())
+            rows.append((len(data), int(off.sum()), n_spans, hashlib.sha256(rest).hexdigest(), rest))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"])
 
 
@@ -261,42 +298,24 @@ LAST_ID = (1 << 63) - 1
 def removed(docs: DataFrame, with_rest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row, and the remaining bytes if ``with_rest``.
 
-    Null texts are empty. A null id counts as larger than every other, and nulls as equal. Rows of one id have no smaller
-    document in each other, so equal rows keep the same bytes. Texts under 50 bytes lose nothing. An empty table gives an
-    empty result; further columns are left out.
+    Ids must be unique, as in any table of documents; rows that share an id still give a result each, but a span of one
+    may be removed from another. Null texts are empty. Null ids count as one id larger than every other. Texts under
+    50 bytes lose nothing. An empty table gives an empty result; further columns are left out.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    text = F.encode(text_of(), "UTF-8")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), text.alias("data"))
-    packed = "part int, pack binary, doc array<bigint>, anchor array<bigint>, first array<int>, last array<int>"
-    sent = kept(rows.mapInArrow(_anchored(parts), packed))
-    shards = sent.filter("part IS NOT NULL").select("part", "pack").repartition(parts, "part").sortWithinPartitions("part")
-    suspects = shards.mapInPandas(_shared, SUSPECTS)
-    own = sent.filter("part IS NULL").select(F.inline(F.arrays_zip("doc", "anchor", "first", "last")))
-    runs = suspects.unionByName(own).groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
-    marked = rows.join(runs, "doc", "left").select(
-        "doc", F.xxhash64("data").alias("text_hash"), F.octet_length("data").cast("long").alias("n_bytes"), "runs",
-        F.when(F.col("runs").isNull(), F.sha2("data", 256)).alias("sha"), F.when(F.col("runs").isNotNull() | F.lit(with_rest), F.col("data")).alias("data"),
-    )
-    marked = kept(marked)
-    # Of rows with one id, a run of another row's text may not fit: it is cut to this text.
-    fits = F.filter("runs", lambda r: r["last"] + SIZE <= F.col("n_bytes"))
-    held = marked.filter(F.col("runs").isNotNull()).select("doc", "text_hash", "data", fits.alias("runs"))
-    bytes_of = held.mapInArrow(_cut(True), "anchor bigint, run bigint, bytes binary, least bigint, most bigint")
-    judged = bytes_of.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(_judged, "anchor bigint, run bigint, earliest binary")
-    places = held.mapInArrow(_cut(False), "anchor bigint, run bigint, doc bigint, text_hash bigint, first int")
-    hits = places.join(judged, ["anchor", "run"]).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "earliest")).alias("hits"))
-    met = held.select("doc", "text_hash", "data").join(hits, ["doc", "text_hash"], "left")
-    none = F.array().cast("array<struct<first:int,earliest:binary>>")
-    done = met.select("doc", "data", F.coalesce("hits", none).alias("hits")).mapInArrow(
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.encode(text_of(), "UTF-8").alias("data"))
+    anchors = rows.mapInArrow(_anchored(parts), PACKS).repartition(parts, "part").sortWithinPartitions("part")
+    suspects = anchors.mapInPandas(_shared, "doc bigint, anchor bigint, first int, width int")
+    runs = suspects.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "width")).alias("runs"))
+    # Texts move once: both joins below read the same exchange by doc.
+    cut = rows.join(runs, "doc", "left").filter(F.col("runs").isNotNull()).mapInArrow(_cut(parts), PACKS)
+    spans = cut.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_judged, "doc bigint, first int, end int")
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    out = rows.join(spans, "doc", "left").mapInArrow(
         _removed, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary"
     )
-    zero = F.lit(0).cast("long")
-    clean = marked.filter(F.col("runs").isNull()).select(
-        "doc", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("data").alias("rest")
-    )
-    out = done.unionByName(clean).withColumn("doc_id", F.nullif("doc", F.lit(LAST_ID)))
+    out = out.withColumn("doc_id", F.nullif("doc", F.lit(LAST_ID)))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["rest"] if with_rest else []))
 
 
