@@ -37,6 +37,7 @@ def first_hit(
     broadcast_rows: int | None = None,
     known_rows: int | None = None,
     salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Attach to every point the containing rect of lowest ``priority`` (or NULL).
 
@@ -47,56 +48,41 @@ def first_hit(
     decides who is compared, never the result. ``known_rows`` is an upper bound
     on the (rect, bucket) rows, if the caller has measured one.
 
-    If the rect table is small enough, each bucket becomes one row holding its
-    candidates in priority order and the join is a broadcast look-up: no
-    shuffle and one output row per point. Otherwise both sides meet in a
-    salted equi-join on (keys, bucket) and the best candidate is reduced per
-    point; for that path the columns of ``points`` must identify a point.
+    Each bucket is one row holding its candidates in priority order, so a point
+    meets at most one row: equal points stay as many as they were, and nothing
+    is grouped afterwards. If the rect table is small enough the join is a
+    broadcast look-up without a shuffle. Otherwise both sides meet in an
+    equi-join on (keys, bucket); points of buckets with more than ``hot_rows``
+    of them are spread over ``salts`` tasks, and only those buckets are copied.
     """
     keys = list(keys)
     fields = ["x", "y", "w", "h", *payload]
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    cell = [*keys, "bx", "by"]
     spots = points.withColumn("bx", F.floor(F.col("x") / bucket)).withColumn(
         "by", F.floor(F.col("y") / bucket)
     )
     cells = bucketed(rects.select(*keys, priority, *fields), bucket)
+    index = cells.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct(priority, *fields))).alias("_cand"))
     if (known_rows is not None and known_rows <= limit) or fits_broadcast(cells, limit):
-        index = cells.groupBy(*keys, "bx", "by").agg(
-            F.sort_array(F.collect_list(F.struct(priority, *fields))).alias("_cand")
-        )
-        px, py = F.col("x"), F.col("y")
-        found = F.filter(
-            "_cand",
-            lambda c: (px >= c["x"]) & (px < c["x"] + c["w"]) & (py >= c["y"]) & (py < c["y"] + c["h"]),
-        )
-        joined = spots.join(F.broadcast(index), [*keys, "bx", "by"], "left").withColumn("_cand", found)
-        joined = joined.withColumn(out, F.get("_cand", F.lit(0)))
-        if also:
-            joined = joined.withColumn(also[0], F.get(F.filter("_cand", also[1]), F.lit(0)))
-        return joined.drop("_cand", "bx", "by")
-    names = points.columns
-    spots = spots.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[c for c in names if c not in keys]), F.lit(salts)).cast("int")
-    )
-    index = cells.select(
-        *keys, "bx", "by", F.struct(priority, *fields).alias("_cand"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
-    )
-    hit = F.when(
-        (F.col("x") >= F.col("_cand.x"))
-        & (F.col("x") < F.col("_cand.x") + F.col("_cand.w"))
-        & (F.col("y") >= F.col("_cand.y"))
-        & (F.col("y") < F.col("_cand.y") + F.col("_cand.h")),
-        F.col("_cand"),
+        joined = spots.join(F.broadcast(index), cell, "left")
+    else:
+        heavy = spots.groupBy(*cell).count().filter(F.col("count") > hot_rows)
+        heavy = broadcast_if_small(heavy.select(*cell, F.lit(True).alias("_hot")))
+        spread = F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int")
+        copies = F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0))
+        spots = spots.join(heavy, cell, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+        index = index.join(heavy, cell, "left").withColumn("_salt", F.explode(copies))
+        joined = spots.drop("_hot").join(index.drop("_hot"), [*cell, "_salt"], "left").drop("_salt")
+    px, py = F.col("x"), F.col("y")
+    found = F.filter(
+        "_cand",
+        lambda c: (px >= c["x"]) & (px < c["x"] + c["w"]) & (py >= c["y"]) & (py < c["y"] + c["h"]),
     )
-    best = [F.min(hit).alias(out)]
+    joined = joined.withColumn("_cand", found).withColumn(out, F.get("_cand", F.lit(0)))
     if also:
-        best.append(F.min(F.when(also[1](F.col("_cand")), hit)).alias(also[0]))
-    return (
-        spots.join(index, [*keys, "bx", "by", "_salt"], "left")
-        .groupBy(*names)
-        .agg(*best)
-    )
+        joined = joined.withColumn(also[0], F.get(F.filter("_cand", also[1]), F.lit(0)))
+    return joined.drop("_cand", "bx", "by")
 
 
 def overlapping_pairs(

@@ -38,6 +38,18 @@ def test_first_hit_is_the_first_containing_rect(spark, bucket, limit):
         assert got[k] == (all_hits[0] if all_hits else None, odds[0] if odds else None)
 
 
+@pytest.mark.parametrize("hot", [1, 10**6])
+def test_first_hit_keeps_equal_points_on_both_paths(spark, hot):
+    points = spark.createDataFrame([("t", p[1], p[2]) for p in POINTS for _ in range(1 + p[0] % 3)], "t STRING, x DOUBLE, y DOUBLE")
+    rects = spark.createDataFrame([("t", *r) for r in RECTS], "t STRING, priority INT, x INT, y INT, w INT, h INT")
+    both = [
+        sorted(((r["x"], r["y"], r["hit"] and r["hit"]["priority"]) for r in out.collect()), key=repr)
+        for out in (first_hit(points, rects, ["t"], []), first_hit(points, rects, ["t"], [], broadcast_rows=0, hot_rows=hot, salts=3))
+    ]
+    assert len(both[0]) == points.count()
+    assert repr(both[0]) == repr(both[1])
+
+
 @pytest.mark.parametrize("bucket,limit,hot", [(128, 200_000, 1_000_000), (16, 200_000, 1), (64, 0, 1), (64, 0, 10**6)])
 def test_overlapping_pairs(spark, bucket, limit, hot):
     rects = spark.createDataFrame([("t", *r) for r in RECTS], "t STRING, id INT, x INT, y INT, w INT, h INT")
