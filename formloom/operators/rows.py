@@ -186,7 +186,9 @@ def wide_rows(values: DataFrame, pages: DataFrame, columns: list[str], rules: Ro
     """One row per page of one template: six meta columns, then the values in column order.
 
     The column list is explicit, so the pivot needs no extra pass. ``pages``
-    has source_file, page_no, status, below and processed.
+    has source_file, page_no, status, below and processed. Pages that were not
+    processed, or have no values, become failure rows (H9): every column is
+    unclear, whatever was read on them, and there is no confidence.
     """
     masked = F.contains("value", F.lit(S.UNCLEAR)) if rules.char_level else F.col("value") == S.UNCLEAR
     picks = [F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
@@ -194,10 +196,12 @@ def wide_rows(values: DataFrame, pages: DataFrame, columns: list[str], rules: Ro
         F.count_if(masked).alias("unclear_count"), F.min("kept_conf").alias("_conf"), *picks
     )
     status = S.compose_status(F.coalesce("status", F.lit("")), F.coalesce("below", F.lit(0)), F.col("processed"))
-    return pages.join(packed, "page_id").select(
-        "page_id", "source_file", "page_no", status.alias("status"), "unclear_count",
-        F.coalesce(S.format_conf(F.col("_conf")), F.lit("")).alias("min_conf"),
-        *[F.col(f"`{c}`") for c in columns],
+    failed = ~F.coalesce("processed", F.lit(False)) | F.col("unclear_count").isNull()
+    return pages.join(packed, "page_id", "left").select(
+        "page_id", "source_file", "page_no", status.alias("status"),
+        F.when(failed, F.lit(len(columns))).otherwise(F.col("unclear_count")).cast("long").alias("unclear_count"),
+        F.when(failed, "").otherwise(F.coalesce(S.format_conf(F.col("_conf")), F.lit(""))).alias("min_conf"),
+        *[F.when(failed, S.UNCLEAR).otherwise(F.col(f"`{c}`")).alias(c) for c in columns],
     )
 
 

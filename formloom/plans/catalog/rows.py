@@ -11,7 +11,7 @@ from formloom.operators import rows as R
 from formloom.plans import fixtures as X
 from formloom.plans.catalog import Entry
 from formloom.plans.catalog.symbols import COUNTERS_SQL, CTE
-from formloom.plans.extraction import extract, form_values
+from formloom.plans.extraction import checked_rows, extract, form_values
 from formloom.sources.templates import TemplateTables, output_columns
 
 
@@ -70,21 +70,7 @@ def wide_names() -> list[str]:
 
 def wide_rows(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: symbols and templates in, one trustworthy row per page out."""
-    tables = X.form_tables(spark, d)
-    symbols = X.symbols(spark, d)
-    found = extract(symbols, tables, keep=True)
-    pages = X.pages(spark, d)
-    keyed = pages.select("page_id", "template_id")
-    values = R.build_rows(A.page_contents(keyed, found.cells), tables, choices=page_choices(spark, d))
-    counters = A.page_counters(pages, found.counts, found.contents, found.holes, tables)
-    totals = counters.select("page_id", F.col("in_face").alias("page_total"))
-    bad = A.format_mismatch(counters, totals, tables).select("page_id", "mismatch")
-    status = counters.join(bad, "page_id").select(
-        "page_id", "source_file", "page_no", "below",
-        F.when(F.col("mismatch"), F.lit("様式不一致")).otherwise("").alias("status"),
-        (~F.col("mismatch")).alias("processed"),
-    )
-    return R.wide_rows(values, status, wide_names())
+    return checked_rows(X.symbols(spark, d), X.pages(spark, d), X.form_tables(spark, d), wide_names(), page_choices(spark, d))
 
 
 def version_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -163,13 +149,15 @@ def values_sql(threshold: float = 0.85, name: str = "vals", char_level: bool = F
 
 
 def _wide_sql() -> str:
-    picks = ", ".join(f"max(value) FILTER (\"column\" = '{c}') AS \"{c}\"" for c in wide_names())
+    # A page that fails the form check shows nothing that was read on it.
+    picks = ", ".join(f"CASE WHEN any_value(mismatch) THEN '〓' ELSE max(value) FILTER (\"column\" = '{c}') END AS \"{c}\"" for c in wide_names())
     return (
         CTE + COUNTERS_SQL + values_sql()
         + f""", area AS (SELECT template_id, CAST(sum(w * h) FILTER (layer < 2) AS DOUBLE) / 2160000 AS coverage FROM places GROUP BY 1),
  ratio AS (SELECT template_id, CASE WHEN coverage >= 0.35 THEN 0.55 ELSE 0.55 + (0.70 - 0.55) * (1.0 - coverage / 0.35) END AS ratio FROM area),
  fit AS (SELECT page_id, below, in_face = 0 OR CAST(other AS DOUBLE) / in_face > ratio AS mismatch FROM counters JOIN ratio USING (template_id)),
- wide AS (SELECT page_id, count(*) FILTER (value = '〓') AS unclear_count, coalesce(printf('%.3f', min(kept_conf)), '') AS min_conf, {picks} FROM vals GROUP BY 1)
+ wide AS (SELECT page_id, CASE WHEN any_value(mismatch) THEN {len(wide_names())} ELSE count(*) FILTER (value = '〓') END AS unclear_count,
+   CASE WHEN any_value(mismatch) THEN '' ELSE coalesce(printf('%.3f', min(kept_conf)), '') END AS min_conf, {picks} FROM vals JOIN fit USING (page_id) GROUP BY 1)
  SELECT w.*, p.source_file, p.page_no, CASE WHEN mismatch THEN '様式不一致' WHEN below >= 3 THEN '超過あり' ELSE '正常' END AS status
  FROM wide w JOIN page p USING (page_id) JOIN fit USING (page_id)"""
     )

@@ -13,6 +13,9 @@ from formloom.session import kept
 from formloom.sources.templates import TemplateTables, output_columns
 
 
+MISMATCH = "様式不一致"  # fixed value
+
+
 @dataclass(frozen=True)
 class Extraction:
     local: DataFrame
@@ -49,8 +52,31 @@ def form_values(symbols: DataFrame, pages: DataFrame, tables: TemplateTables,
     return R.build_rows(paged, tables, choices=choices, rules=rules)
 
 
+def checked_rows(symbols: DataFrame, pages: DataFrame, tables: TemplateTables, columns: list[str],
+                 choices: DataFrame | None = None, rules: R.RowRules = R.RowRules()) -> DataFrame:
+    """The whole job for pages of one set of columns: contents, counters, form check, status, and one row per page.
+
+    ``pages`` has page_id, template_id, source_file and page_no; ``choices`` is
+    the packed scores of choice cells. A page that fails the form check (D7) is
+    a failure row. As many rows come out as pages go in.
+    """
+    pages = pages.select("page_id", "template_id", "source_file", "page_no")
+    found = extract(symbols, tables, keep=True)
+    values = R.build_rows(A.page_contents(pages.select("page_id", "template_id"), found.cells), tables, choices=choices, rules=rules)
+    counters = A.page_counters(pages, found.counts, found.contents, found.holes, tables)
+    totals = counters.select("page_id", F.col("in_face").alias("page_total"))
+    bad = A.format_mismatch(counters, totals, tables).select("page_id", "mismatch")
+    checked = counters.select("page_id", "below").join(bad, "page_id").withColumnRenamed("page_id", "_page")
+    status = pages.join(checked, F.col("page_id") == F.col("_page"), "left").select(
+        "page_id", "source_file", "page_no", "below",
+        F.when(F.col("mismatch"), MISMATCH).otherwise("").alias("status"),
+        (~F.coalesce("mismatch", F.lit(True))).alias("processed"),
+    )
+    return R.wide_rows(values, status, columns, rules)
+
+
 def form_rows(symbols: DataFrame, pages: DataFrame, tables: TemplateTables, template_id,
-              rules: R.RowRules = R.RowRules()) -> DataFrame:
+              choices: DataFrame | None = None, rules: R.RowRules = R.RowRules()) -> DataFrame:
     """The wide table of one template."""
     ours = pages.filter(F.col("template_id") == template_id)
     names = [
@@ -60,7 +86,4 @@ def form_rows(symbols: DataFrame, pages: DataFrame, tables: TemplateTables, temp
         .orderBy("col_ord")
         .collect()  # the columns of one template
     ]
-    values = form_values(
-        symbols.filter(F.col("template_id") == template_id), ours.select("page_id", "template_id"), tables, rules=rules
-    )
-    return R.wide_rows(values, ours, names, rules)
+    return checked_rows(symbols.filter(F.col("template_id") == template_id), ours, tables, names, choices, rules)
