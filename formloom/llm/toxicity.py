@@ -33,7 +33,7 @@ TOP, NOISE = 2, 0.02
 #: Different neighbours that a word or a run needs in the sample for an embedding; rarer ones count as zero.
 MIN_CONTEXTS = 8
 CUT = 0.3
-CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 4096
+CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 1024
 
 Model = dict  # arrays by name, and the numbers of words and runs
 
@@ -227,11 +227,45 @@ def curve(worst: np.ndarray, told: np.ndarray) -> tuple[float, float]:
     return slope, -slope * (clean + toxic) / 2
 
 
+def squashed(x: np.ndarray, scale: float) -> np.ndarray:
+    """1 / (1 + exp(-scale * x)) in place of ``x``."""
+    x *= -scale
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def score_windows(m: Model, projected: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The logits of forward() without what training needs: blocks of windows, one place at a time, in small buffers."""
+    h, n_places = HIDDEN, ids.shape[1]
+    sides = [np.ascontiguousarray(projected[:, :3 * h], np.float32), np.ascontiguousarray(projected[:, 3 * h :], np.float32)]
     out = np.zeros(len(ids), np.float32)
     for a in range(0, len(ids), BLOCK):
-        some = ids[a : a + BLOCK]
-        out[a : a + BLOCK] = forward(m, projected[some], some > 0)
+        some = np.ascontiguousarray(ids[a : a + BLOCK].T)
+        n = some.shape[1]
+        states = np.empty((n_places, n, 2 * h), np.float32)
+        for way in (0, 1):
+            now, u = np.zeros((n, h), np.float32), m["state"][way]
+            for i in range(n_places) if way == 0 else range(n_places - 1, -1, -1):
+                x, s = sides[way].take(some[i], axis=0), now @ u
+                gates = squashed(x[:, : 2 * h] + s[:, : 2 * h], 1.0)
+                g = s[:, 2 * h :] * gates[:, h:]
+                g += x[:, 2 * h :]
+                g = squashed(g, 2.0)
+                g *= 2
+                g -= 1
+                g -= now
+                g *= gates[:, :h]
+                now = now + g
+                states[i, :, way * h : (way + 1) * h] = now
+        look = squashed(states.reshape(-1, 2 * h) @ m["look"] + m["look_bias"], 2.0)
+        score = ((look @ m["query"]) * 2 - m["query"].sum()).reshape(n_places, n)
+        score[some == 0] = -1e9
+        score -= score.max(axis=0)
+        share = np.exp(score, out=score)
+        value = (states.reshape(-1, 2 * h) @ m["out"]).reshape(n_places, n)
+        out[a : a + BLOCK] = (share * value).sum(axis=0) / share.sum(axis=0) + m["out_bias"]
     return out
 
 
@@ -250,40 +284,41 @@ class Scorer:
         return embedded(self.m, features(words, self.m)) @ self.m["input"] + self.m["bias"]
 
     def ids(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
         if new := [w for w in dict.fromkeys(words) if w not in self.known]:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.table = np.concatenate([self.table, self._project(new)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def windows(self, ids: np.ndarray) -> np.ndarray:
-        """All windows of a text; the last one ends with the text."""
-        if len(ids) <= WINDOW:
-            return np.pad(ids, (0, WINDOW - len(ids)))[None]
-        starts = np.append(np.arange(0, len(ids) - WINDOW, STRIDE), len(ids) - WINDOW)
-        return ids[starts[:, None] + np.arange(WINDOW)]
-
     def largest(self, texts: list[str]) -> np.ndarray:
-        """The largest logit of each text, -inf for one without words."""
-        out, at, lot, size = np.full(len(texts), -np.inf), [], [], 0
+        """The largest logit of each text, -inf for one without words. Texts are taken in lots of bounded size."""
+        out, lot, size = np.full(len(texts), -np.inf), [], 0
         for k, text in enumerate(texts):
-            words = self.word.findall(text)
-            if words:
-                lot.append(self.windows(self.ids(words)))
-                at.append(k)
-                size += len(text)
-            if lot and (size > CHUNK_CHARS or k == len(texts) - 1):
-                self._flush(out, at, lot)
-                at, lot, size = [], [], 0
-                if len(self.known) > CACHE_WORDS:
-                    self.forget()
-        if lot:
-            self._flush(out, at, lot)
+            lot.append(k)
+            size += len(text)
+            if size > CHUNK_CHARS or k == len(texts) - 1:
+                self._score([texts[i] for i in lot], out, np.array(lot))
+                lot, size = [], 0
         return out
 
-    def _flush(self, out: np.ndarray, at: list[int], lot: list[np.ndarray]) -> None:
-        scores = score_windows(self.m, self.table, np.concatenate(lot))
-        sizes = np.array([len(w) for w in lot])
-        out[at] = np.maximum.reduceat(scores, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    def _score(self, texts: list[str], out: np.ndarray, at: np.ndarray) -> None:
+        words = [self.word.findall(t) for t in texts]
+        sizes = np.array([len(w) for w in words])
+        if not sizes.any():
+            return
+        ids = np.append(self.ids([w for ws in words for w in ws]), np.zeros(WINDOW, np.int64))
+        begin = np.cumsum(sizes) - sizes
+        # All windows of all texts: every STRIDE words, the last one ending with the text; short texts have one.
+        many = np.where(sizes > WINDOW, -((WINDOW - sizes) // STRIDE) + 1, (sizes > 0).astype(np.int64))
+        owner = np.repeat(np.arange(len(sizes)), many)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        first = np.minimum(nth * STRIDE, np.maximum(sizes - WINDOW, 0)[owner])
+        place = first[:, None] + np.arange(WINDOW)
+        windows = np.where(place < sizes[owner][:, None], ids[begin[owner][:, None] + place], 0)
+        scores = score_windows(self.m, self.table, windows)
+        filled = np.flatnonzero(many)
+        out[at[filled]] = np.maximum.reduceat(scores, (np.cumsum(many) - many)[filled])
 
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
