@@ -191,7 +191,7 @@ def repeated(bodies: list[bytes], least: np.ndarray, most: np.ndarray) -> list[n
     sizes = np.array([len(r) for r in runs])
     flat = np.concatenate(runs)
     _, names = np.unique(flat, return_inverse=True)
-    array = named_order(names.astype(np.int64))
+    array = named_order(names.astype(np.int64), SIZE)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(runs)), sizes)
     inside = np.arange(len(flat)) + SIZE <= ends[owner]

@@ -3,7 +3,7 @@
 A byte is removed if a 50-byte string that covers it also starts in a document with a smaller id. All such strings of
 all texts are judged, on the input. The steps:
 
-1. Each 50-byte string has one anchor, its 16-byte string with the smallest hash, so equal strings have equal anchors.
+1. Each 50-byte string has one anchor, its 28-byte string with the smallest hash, so equal strings have equal anchors.
    Anchors go to a shard by their hash. Only anchors that two documents share can lie in a repeated string; which
    ones these are goes back to the documents.
 2. Around each shared anchor, the run of bytes that the strings with this anchor cover is cut out. Runs go to shards by
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from formloom.llm.common import table, text_of
 from formloom.llm.suffixes import common_at_least, suffix_array
 
-SIZE, GRAM = 50, 16
+SIZE, GRAM = 50, 28
 #: Bytes of a text that are handled at a time, bytes of texts in a lot, bytes of runs in one suffix array.
 PIECE, LOT, ARRAY = 1 << 23, 1 << 24, 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def runs_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,9 +50,11 @@ def runs_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         padded = np.concatenate([part, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(part),), "<u8", padded, strides=(1,)).copy()
         grams = len(part) - GRAM + 1
-        h = eight[:grams] * _A ^ eight[GRAM - 8 : GRAM - 8 + grams] * _C
-        h ^= h >> np.uint64(29)
-        h *= _B
+        h = np.zeros(grams, np.uint64)
+        for k in (0, 8, 16, GRAM - 8):  # four words of eight bytes cover the gram
+            h ^= eight[k : k + grams]
+            h *= _B
+            h ^= h >> np.uint64(29)
         h ^= h >> np.uint64(32)
         h *= _A
         least = (h & ~_PLACE) | np.arange(grams, dtype=np.uint64)
@@ -242,7 +244,7 @@ def repeated(codes: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.n
     owner = np.repeat(np.arange(len(size)), size)
     ends = np.cumsum(size)
     inside = np.arange(len(codes)) + SIZE <= ends[owner]  # strings that don't reach into the next run
-    array = suffix_array(codes)
+    array = suffix_array(codes, SIZE)
     group = np.cumsum(~common_at_least(codes, array, SIZE)) - 1
     whole = inside[array]
     array, group = array[whole], group[whole]

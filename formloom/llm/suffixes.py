@@ -74,25 +74,28 @@ def induced(codes: np.ndarray, small: np.ndarray, seeds: np.ndarray) -> np.ndarr
     return out
 
 
-def named_order(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names: pairs get names of their own until all differ."""
+def named_order(names: np.ndarray, size: int | None = None) -> np.ndarray:
+    """Order of the suffixes of a string of names: pairs get names of their own until all differ, or cover ``size`` names."""
     if len(names) == 0 or names.max() + 1 == len(names):
         return np.argsort(names, kind="stable")
-    return _order(names, 1)
+    return _order(names, 1, size or len(names))
 
 
-def _order(ranks: np.ndarray, step: int) -> np.ndarray:
+def _order(ranks: np.ndarray, step: int, size: int) -> np.ndarray:
     second = np.full(len(ranks), 0, np.int64)
     second[:-step] = ranks[step:] + 1
     key = ranks * (len(ranks) + 2) + second
     by = np.argsort(key, kind="stable")
     new = np.empty(len(ranks), np.int64)
     new[by] = np.cumsum(np.concatenate([[0], key[by][1:] != key[by][:-1]]))
-    return by if new.max() + 1 == len(new) or 2 * step >= len(ranks) else _order(new, 2 * step)
+    return by if new.max() + 1 == len(new) or 2 * step >= size else _order(new, 2 * step, size)
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """Suffix array of an array of bytes."""
+def suffix_array(codes: np.ndarray, size: int | None = None) -> np.ndarray:
+    """Suffix array of an array of bytes; with ``size``, suffixes that share so many bytes are in any order.
+
+    A substring between leftmost smaller suffixes has two bytes or more, so half as many names cover ``size`` bytes.
+    """
     n = len(codes)
     if n < 2:
         return np.arange(n)
@@ -120,7 +123,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         live = live[~differ]
     names = np.empty(n, np.int64)
     names[by] = np.cumsum(np.concatenate([[0], ~same]))
-    return induced(codes, small, left[named_order(names[left])])
+    return induced(codes, small, left[named_order(names[left], size and size // 2 + 2)])
 
 
 def common_at_least(codes: np.ndarray, array: np.ndarray, size: int) -> np.ndarray:
