@@ -24,10 +24,6 @@ MISMATCH_CAP = 0.70
 COVERAGE_BASE = 0.35
 
 
-def bucket_for(dpi: int) -> int:
-    return max(1, round(BUCKET * dpi / BASE_DPI))
-
-
 def to_face_local(symbols: DataFrame, tables: TemplateTables) -> DataFrame:
     """B1: symbols whose centre lies in a face, in face coordinates, outside its exclusions.
 

@@ -27,8 +27,6 @@ EDGE_SLACK = 2
 DETECT_RATIO = 0.5
 SNAP_MIN_LINES = 4
 CLEAR_LEAD = 0.1
-CANDIDATE_LIMIT = 20
-CANDIDATE_BYTES = 5_000_000
 ASPECT_BUCKET = 0.0102
 
 
@@ -268,15 +266,16 @@ def fold_verdicts(faces: DataFrame, keys: list[str], order: str = "face_ord") ->
     )
 
 
-def screen_candidates(templates: DataFrame, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+def screen_candidates(templates: DataFrame, limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """C11: candidate templates (name, body) with the reason to leave one out, or NULL.
 
-    size: document too large; parse: not a JSON object; schema: no template, no
-    output columns or duplicate names; limit: beyond the first ``limit`` usable
-    candidates by name.
+    size: more than ``max_bytes``; parse: not a JSON object; schema: no template,
+    no output columns or duplicate names; limit: beyond the first ``limit``
+    usable candidates by name. Neither limit holds unless it is given.
     """
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT"), F.lit(False))
-    rough = F.when(F.octet_length("body") > CANDIDATE_BYTES, "size").when(~is_object, "parse")
+    large = F.lit(False) if max_bytes is None else F.octet_length("body") > max_bytes
+    rough = F.when(large, "size").when(~is_object, "parse")
     judged = templates.select("name", "body", rough.alias("rough"))
     # documents are told apart by the name of the candidate, not by the id inside
     doc = F.from_json("body", TEMPLATE_SCHEMA)
@@ -284,7 +283,8 @@ def screen_candidates(templates: DataFrame, limit: int = CANDIDATE_LIMIT) -> Dat
         F.to_json(doc.withField("template_id", F.col("name"))).alias("body")
     )
     good = kept(template_profile(expand_templates(named)).filter("usable").select(F.col("template_id").alias("name")))
-    first = F.broadcast(good.orderBy("name").limit(limit).withColumn("taken", F.lit(True)))
+    first = good if limit is None else good.orderBy("name").limit(limit)
+    first = first.withColumn("taken", F.lit(True))
     return (
         judged.drop("body")
         .join(good.withColumn("usable", F.lit(True)), "name", "left")

@@ -147,7 +147,7 @@ r2 AS (SELECT *, sum(brk) OVER (PARTITION BY page_id, axis ORDER BY pos) AS rail
 r3 AS (SELECT *, round_even(avg(pos) OVER (PARTITION BY page_id, axis, rail), 1) AS rail_pos FROM r2),
 rt AS (SELECT page_id, axis, rail, any_value(rail_pos) AS rail_pos, max(abs(pos - rail_pos)) AS stray FROM r3 GROUP BY 1, 2, 3)"""
 _WALLS = _RAILS + """,
-okp AS (SELECT page_id FROM rt GROUP BY 1 HAVING count(*) FILTER (axis = 'h') BETWEEN 2 AND 200 AND count(*) FILTER (axis = 'v') BETWEEN 2 AND 200),
+okp AS (SELECT page_id FROM rt GROUP BY 1 HAVING count(*) FILTER (axis = 'h') >= 2 AND count(*) FILTER (axis = 'v') >= 2),
 rr AS (SELECT * FROM rt JOIN okp USING (page_id)),
 st AS (SELECT page_id, CASE axis WHEN 'h' THEN 'v' ELSE 'h' END AS axis, rail AS gap, rail_pos AS lo, lead(rail_pos) OVER (PARTITION BY page_id, axis ORDER BY rail) AS hi FROM rr),
 wall AS (SELECT r.page_id, r.axis, r.rail, s.gap, s.lo, s.hi FROM rr r JOIN st s USING (page_id, axis) WHERE s.hi IS NOT NULL),
@@ -196,7 +196,7 @@ ENTRIES = {
  c AS (SELECT page_id, count(*) FILTER (reason = 'page_outline') AS page_outline, count(*) FILTER (reason = 'too_small') AS too_small, count(*) FILTER (reason = 'cell') AS cells FROM judged GROUP BY 1),
  l AS (SELECT page_id, rails_h, rails_v, coalesce(components, 0) AS components, coalesce(rects, 0) AS rects, coalesce(non_rectangular, 0) AS non_rectangular, coalesce(not_closed, 0) AS not_closed,
   coalesce(page_outline, 0) AS page_outline, coalesce(too_small, 0) AS too_small, coalesce(cells, 0) AS cells FROM a LEFT JOIN b USING (page_id) LEFT JOIN c USING (page_id))
- SELECT *, CASE WHEN rails_h > 200 OR rails_v > 200 THEN 'too_many_lines' WHEN rects = 0 THEN 'no_rect' WHEN cells = 0 THEN 'all_filtered' END AS zero_reason FROM l""",
+ SELECT *, CASE WHEN rects = 0 THEN 'no_rect' WHEN cells = 0 THEN 'all_filtered' END AS zero_reason FROM l""",
     ),
     "table_rows": Entry(
         table_rows,

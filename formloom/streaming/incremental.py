@@ -54,14 +54,6 @@ def incremental_extract(symbols: DataFrame, tables: TemplateTables, out: str, ch
     return write_batches(symbols, out, checkpoint, work)
 
 
-def page_states(log: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The state of every page, updated as events arrive."""
-    return (
-        fold_page_state(log).writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
 def page_state_table(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Changed page states per batch, appended as versions below ``out``."""
 

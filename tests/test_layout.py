@@ -69,11 +69,19 @@ def test_tables_and_headings(spark):
 def test_too_many_rails(spark):
     rows = [(1, "h", float(i * 10), 0, 500, 1) for i in range(205)] + [(1, "v", float(i * 100), 0, 2100, 1) for i in range(3)]
     segments = spark.createDataFrame(rows, U.SEGMENT_SCHEMA)
-    out = U.detect_frames(segments, 3000, 3000)
+    out = U.detect_frames(segments, 3000, 3000, max_rails=200)
     assert [r["zero_reason"] for r in out.ledger.collect()] == ["too_many_lines"]
     assert out.cells.count() == 0
 
 
+def test_no_rail_limit_by_default(spark):
+    """A page of 301 by 3 rails has all its 300 by 2 cells."""
+    rows = [(1, "h", float(i * 30), 0, 200, 1) for i in range(301)] + [(1, "v", float(i * 100), 0, 9000, 1) for i in range(3)]
+    out = U.detect_frames(spark.createDataFrame(rows, U.SEGMENT_SCHEMA), 10_000, 10_000)
+    assert out.cells.count() == 600
+    assert [r["zero_reason"] for r in out.ledger.collect()] == [None]
+
+
 def brute_segments(runs):
     """Runs of one page and axis: bridge, link, drop blobs, join collinear pieces."""
     ink = {}
