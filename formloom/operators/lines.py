@@ -333,16 +333,18 @@ def match_lines(pages: DataFrame, detected: DataFrame, expected: DataFrame) -> D
     every = [*keys, *tkeys]
     # one row per page, face and axis, read by the residuals and the estimate
     shifts = kept(axis_shift(axis_votes(lines, stats, keys, tkeys), base, every))
-    # the first and last line of every block must be found, on the y axis only
-    ends = expected.filter(F.col("axis") == "h").groupBy("template_id", "face_id", "block_idx").agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi")
-    ).groupBy("template_id", "face_id").agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("edges"))
+    # A face with tables must find the first and last line of every block, on the y axis; one without must find its
+    # outermost lines on both axes, else a shift by one pitch would pass.
+    span = [F.min("pos").alias("lo"), F.max("pos").alias("hi")]
+    blocks = expected.filter((F.col("axis") == "h") & F.col("block_idx").isNotNull()).groupBy(*tkeys, "block_idx").agg(*span)
+    outer = expected.join(blocks.select("template_id", "face_id").distinct(), ["template_id", "face_id"], "left_anti").groupBy(*tkeys).agg(*span)
+    ends = blocks.drop("block_idx").unionByName(outer).groupBy(*tkeys).agg(F.flatten(F.collect_list(F.array("lo", "hi"))).alias("edges"))
     targets = (
-        shifts.join(broadcast_if_small(ends), ["template_id", "face_id"], "left")
+        shifts.join(broadcast_if_small(ends), tkeys, "left")
         .select(*every, "shift", "edges", F.explode(F.array_distinct("lines")).alias("e"))
         .select(
             *every, (F.col("e") + F.col("shift")).alias("target"),
-            ((F.col("axis") == "h") & F.coalesce(F.array_contains("edges", F.col("e")), F.lit(False))).alias("is_edge"),
+            F.coalesce(F.array_contains("edges", F.col("e")), F.lit(False)).alias("is_edge"),
         )
     )
     near = nearest_lines(targets, lines, every)

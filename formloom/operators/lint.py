@@ -242,7 +242,11 @@ def disabled_runs(cells: DataFrame) -> DataFrame:
 
 
 def subtract_rect(main: Column, cut: Column) -> Column:
-    """``main`` without ``cut`` as up to four bands (above, below, left, right)."""
+    """``main`` without ``cut`` as up to four bands (above, below, left, right).
+
+    Bands above and below have the full width of ``main`` and need the least
+    height only; those beside ``cut`` need it in both directions.
+    """
     x0, y0 = F.greatest(main["x"], cut["x"]), F.greatest(main["y"], cut["y"])
     x1 = F.least(main["x"] + main["w"], cut["x"] + cut["w"])
     y1 = F.least(main["y"] + main["h"], cut["y"] + cut["h"])
@@ -250,15 +254,15 @@ def subtract_rect(main: Column, cut: Column) -> Column:
     def band(x: Column, y: Column, w: Column, h: Column) -> Column:
         return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
-    bands = F.array(
-        band(main["x"], main["y"], main["w"], y0 - main["y"]),
-        band(main["x"], y1, main["w"], main["y"] + main["h"] - y1),
-        band(main["x"], y0, x0 - main["x"], y1 - y0),
-        band(x1, y0, main["x"] + main["w"] - x1, y1 - y0),
+    whole = F.array(
+        band(main["x"], main["y"], main["w"], y0 - main["y"]), band(main["x"], y1, main["w"], main["y"] + main["h"] - y1)
+    )
+    beside = F.array(
+        band(main["x"], y0, x0 - main["x"], y1 - y0), band(x1, y0, main["x"] + main["w"] - x1, y1 - y0)
     )
     apart = (x1 <= x0) | (y1 <= y0)
     return F.when(apart, F.array(band(main["x"], main["y"], main["w"], main["h"]))).otherwise(
-        F.filter(bands, lambda r: F.least(r["w"], r["h"]) >= BAND_MIN)
+        F.concat(F.filter(whole, lambda r: r["h"] >= BAND_MIN), F.filter(beside, lambda r: F.least(r["w"], r["h"]) >= BAND_MIN))
     )
 
 

@@ -277,7 +277,7 @@ ENTRIES = {
         _RECT + """, c AS (SELECT *, 560 + template_id % 90 AS cx, 90 + template_id % 70 AS cy FROM r),
  i AS (SELECT *, greatest(x, cx) AS x0, greatest(y, cy) AS y0, least(x + w, cx + 500) AS x1, least(y + h, cy + 60) AS y1 FROM c),
  b AS (SELECT *, x1 <= x0 OR y1 <= y0 AS apart, y0 - y AS top, y + h - y1 AS bottom, x0 - x AS lft, x + w - x1 AS rgt, y1 - y0 AS ih FROM i),
- q AS (SELECT *, CASE WHEN apart THEN [{'w': w, 'h': h}] ELSE list_filter([{'w': w, 'h': top}, {'w': w, 'h': bottom}, {'w': lft, 'h': ih}, {'w': rgt, 'h': ih}], lambda v: v.w >= 6 AND v.h >= 6) END AS ps FROM b),
+ q AS (SELECT *, CASE WHEN apart THEN [{'w': w, 'h': h}] ELSE list_concat(list_filter([{'w': w, 'h': top}, {'w': w, 'h': bottom}], lambda v: v.h >= 6), list_filter([{'w': lft, 'h': ih}, {'w': rgt, 'h': ih}], lambda v: v.w >= 6 AND v.h >= 6)) END AS ps FROM b),
  a AS (SELECT *, coalesce(list_sum(list_transform(ps, lambda v: v.w * v.h)), 0) AS left_area FROM q),
  m AS (SELECT *, list_filter(ps, lambda v: v.w * v.h = list_max(list_transform(ps, lambda u: u.w * u.h)))[1] AS big, floor((1 - left_area::DOUBLE / (w * h)) * 100 + 0.5) AS lost FROM a)
  SELECT template_id, ord, len(ps) AS pieces, left_area::BIGINT AS left_area, CASE WHEN field_id = 'zip' OR len(ps) = 0 OR big.w < 27 OR big.h < 36 OR lost >= 30 THEN 'skip' WHEN lost >= 10 THEN 'warn' ELSE 'auto' END AS verdict FROM m""",
