@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from formloom.functions.scalars import UNCLEAR
 from formloom.operators.ranges import first_hit
-from formloom.operators.sizing import broadcast_if_small, inside
+from formloom.operators.sizing import inside
 from formloom.sources.templates import BASE_DPI, GRID, TemplateTables, receptors
 
 # Fixed values, px at 300 dpi or plain ratios.

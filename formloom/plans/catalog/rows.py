@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.functions import scalars as S
 from formloom.operators import assignment as A
 from formloom.operators import rows as R
 from formloom.plans import fixtures as X
