@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word enters as two vectors: an embedding of its own, and the summed embeddings of its character runs, which are all
-trigrams and the starts of up to six characters. Texts are cut into windows of 32 words that overlap by 8; all windows of a text are scored and the largest logit counts, mapped
+trigrams and the starts of up to six characters. A run without white space of more than ``LONGEST`` characters (a text
+of a script without spaces, an address, encoded data) is many words: overlapping pieces that share no trigram and miss
+none, so every character reaches some window. Texts are cut into windows of 32 words that overlap by 8; all windows of a text are scored and the largest logit counts, mapped
 to a probability by a logistic curve.
 
 Training runs on the driver, on a sample with documented bounds: at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows
@@ -33,19 +35,42 @@ TOP, NOISE = 2, 0.02
 #: Different neighbours that a word or a run needs in the sample for an embedding; rarer ones count as zero.
 MIN_CONTEXTS = 8
 CUT = 0.3
+#: Characters of a word that stays whole, and of each piece of a longer one; pieces overlap by two.
+LONGEST, PIECE = 62, 10
 CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 1024
 
+FIND = re.compile(WORD).findall
+
 Model = dict  # arrays by name, and the numbers of words and runs
 
 
+def pieces_of(word: str) -> list[str]:
+    """A long word in pieces; a space in front or behind tells a cut from an end of the word."""
+    step = PIECE - 2
+    starts = range(0, len(word) - 2, step)
+    return [f"{' ' if i else ''}{word[i : i + PIECE]}{' ' if i + step < len(word) - 2 else ''}" for i in starts]
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in order, long ones as their pieces."""
+    words = FIND(text)
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [p for w in words for p in ((w,) if len(w) <= LONGEST else pieces_of(w))]
+
+
 def plain(word: str) -> str:
-    return word.lower().strip(".,;:!?\"'()[]{}*#$%&|<>-_") or word
+    low = word.lower()
+    if low[:1] == " " or low[-1:] == " ":
+        return low
+    return low.strip(".,;:!?\"'()[]{}*#$%&|<>-_") or word
 
 
 def runs_of(word: str) -> list[str]:
-    """Character runs of a word with its ends marked; of a very long word the first 60 trigrams."""
-    own = f"<{plain(word)}>"
-    return [own[i : i + 3] for i in range(min(60, max(1, len(own) - 2)))] + [own[:n] for n in (4, 5, 6, 7) if n < len(own)]
+    """Character runs of a word with its ends marked; a piece has marks only where its word ends."""
+    own = plain(word)
+    own = f"{'' if own[:1] == ' ' else '<'}{own.strip(' ')}{'' if own[-1:] == ' ' else '>'}"
+    return [own[i : i + 3] for i in range(max(1, len(own) - 2))] + [own[:n] for n in (4, 5, 6, 7) if n < len(own)]
 
 
 def features(words: list[str], known: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +298,7 @@ class Scorer:
     """Scores texts of one worker; remembers the projections of words it has seen, within a bound."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.word = model, re.compile(WORD)
+        self.m = model
         self.forget()
 
     def forget(self) -> None:
@@ -303,7 +328,7 @@ class Scorer:
         return out
 
     def _score(self, texts: list[str], out: np.ndarray, at: np.ndarray) -> None:
-        words = [self.word.findall(t) for t in texts]
+        words = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in words])
         if not sizes.any():
             return
@@ -323,15 +348,14 @@ class Scorer:
 
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Up to ``most`` windows of a text, spread evenly over it."""
-    word = re.compile(WORD)
     for df in batches:
         rows = []
         for toxic, most, text in zip(df["toxic"], df["most"], df["text"], strict=True):
-            words = word.findall(text)
+            words = words_of(text)
             if words:
                 last = max(0, len(words) - WINDOW)
                 starts = sorted({round(s) for s in np.linspace(0, last, min(most, last // STRIDE + 1))})
-                rows.append((toxic, [" ".join(words[s : s + WINDOW]) for s in starts]))
+                rows.append((toxic, ["\n".join(words[s : s + WINDOW]) for s in starts]))
         yield pd.DataFrame(rows, columns=["toxic", "windows"])
 
 
@@ -351,8 +375,7 @@ def learned(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cl
     classes = {r.toxic for r in rows}
     if len(classes) < 2:
         return float(classes.pop()) if classes else 0.0
-    word = re.compile(WORD)
-    windows = [word.findall(w) for r in rows for w in r.windows]
+    windows = [w.split("\n") for r in rows for w in r.windows]
     labels_of = np.array([r.toxic for r in rows for _ in r.windows], np.float32)
     return train(windows, labels_of, np.repeat(np.arange(len(rows)), [len(r.windows) for r in rows]))
 

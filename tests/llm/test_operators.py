@@ -266,6 +266,31 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), marks.limit(0))[0].count() == 0
 
 
+def test_toxicity_long_words(spark):
+    """Every trigram of an overlong word stands in exactly one piece, and a late toxic passage of an unspaced text counts."""
+    for n in (62, 63, 64, 70, 71, 72, 73, 200, 10_001):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.words_of(word)
+        want = {f"<{word}>"[i : i + 3] for i in range(n)}
+        got = [r for p in parts for r in toxicity.runs_of(p) if len(r) == 3]
+        assert sorted(got) == sorted(want) and max(map(len, parts)) <= 62
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7)))
+    bad = ["zqidiot", "vwscum", "kjtrash"]
+    rows, labels = [], []
+    for i in range(800):
+        words = [word() for _ in range(rng.randint(60, 90))]
+        toxic = i % 2
+        if toxic:
+            words[40:40] = [rng.choice(bad) for _ in range(6)]
+        rows.append((i, ("", "_", "\u3000", "\u00a0")[i // 2 % 4].join(words)))
+        labels.append((i, toxic))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    scored, name = toxicity.scored(docs, marks)
+    out = scored.filter(toxicity.held_out(F.col("doc_id"))).collect()
+    assert sum((r[name] >= toxicity.CUT) == bool(r.doc_id % 2) for r in out) / len(out) > 0.9
+
+
 def test_network_gradient():
     """The slopes that training uses, against differences of the loss."""
     rng = np.random.default_rng(1)
