@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is taken if the smallest hash among its inner s-mers lies at its first or last place. Whether it
-is taken depends on its own characters only, so an edit elsewhere never moves an anchor. The fingerprint keeps the
-anchors with the smallest hashes, each with its place in the text; two fingerprints are alike by the share of anchors
-that both have among the smallest of either, counted along the longest chain in which places grow in both texts.
+is taken depends on its own characters only, so an edit elsewhere never moves an anchor. The fingerprint has
+all anchors, each with its place in the text, so it grows with the text (about two anchors in 13 characters). Two
+fingerprints are alike by the share of different anchors that both have among those of either, counted along the
+longest chain in which their first places grow in both texts.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from formloom.llm.common import table, text_of
 from formloom.session import kept
 
 K, S = 20, 8
-#: Anchors in a fingerprint.
-ANCHORS = 96
+#: Characters of texts whose rows are sent on together: their fingerprints are several times as long.
+LOT = 2_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,39 +75,39 @@ def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     return at, h
 
 
-def smallest(at: np.ndarray, h: np.ndarray, size: int = ANCHORS) -> tuple[np.ndarray, np.ndarray]:
-    """The ``size`` smallest different hashes, ascending, each at its first place."""
-    if len(h) > 8 * size:
-        near = np.argpartition(h, 4 * size)[: 4 * size]
-        if len(np.unique(h[near])) >= size:  # else repeated anchors fill the front: take all
-            limit = np.sort(np.unique(h[near]))[size - 1]
-            inside = np.flatnonzero(h <= limit)
-            at, h = at[inside], h[inside]
-    order = np.lexsort((at, h))
-    h, at = h[order], at[order]
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    return at[first][:size], h[first][:size]
+def smallest(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors, the smallest hashes first, equal ones by place."""
+    order = np.argsort(h, kind="stable")  # places come in ascending order
+    return at[order], h[order]
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = ANCHORS) -> float:
+def _first(fp: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different anchors of a fingerprint, each at its first place."""
+    first = np.ones(len(fp[1]), bool)
+    first[1:] = fp[1][1:] != fp[1][:-1]
+    return fp[0][first], fp[1][first]
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """0 to 1; two empty fingerprints are alike, an empty and another one aren't."""
     if not len(a[1]) or not len(b[1]):
         return float(len(a[1]) == len(b[1]))
-    union = np.union1d(a[1], b[1])[:size]
+    a, b = _first(a), _first(b)
     common, ia, ib = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
-    inside = common <= union[-1]
-    order = np.argsort(a[0][ia[inside]], kind="stable")
-    tops: list[int] = []
-    for place in b[0][ib[inside]][order].tolist():
-        i = bisect_left(tops, place)
-        tops[i : i + 1] = [place]
-    return len(tops) / len(union)
+    places = b[0][ib][np.argsort(a[0][ia], kind="stable")]
+    length = len(common)
+    if (places[1:] <= places[:-1]).any():
+        tops: list[int] = []
+        for place in places.tolist():
+            i = bisect_left(tops, place)
+            tops[i : i + 1] = [place]
+        length = len(tops)
+    return length / (len(a[1]) + len(b[1]) - len(common))
 
 
 def printed(fp: tuple[np.ndarray, np.ndarray]) -> str:
     """Anchors as hash@place in hexadecimal, ascending, joined by spaces."""
-    return " ".join(f"{h:016x}@{a:x}" for a, h in zip(fp[0].tolist(), fp[1].tolist(), strict=True))
+    return " ".join([f"{h:016x}@{a:x}" for a, h in zip(fp[0].tolist(), fp[1].tolist(), strict=True)])
 
 
 def _row(doc_id, text: str, own, following: str, other) -> tuple:
@@ -146,14 +147,18 @@ def _told(text: str):
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of sorted stretches, each with its follower; the last row of a stretch only follows."""
-    before = None
+    before, rows, size = None, [], 0
     for batch in batches:
-        rows = []
         for doc_id, text, stretch in zip(batch["doc_id"], batch["text"], batch["stretch"], strict=True):
             own = _told(text)
             if before is not None and before[0] == stretch:
                 rows.append(_row(*before[1:], text, own))
+                size += len(before[2]) + len(text)
             before = (stretch, doc_id, text, own)
+            if size > LOT:
+                yield pd.DataFrame(rows, columns=COLUMNS)
+                rows, size = [], 0
+    if rows:
         yield pd.DataFrame(rows, columns=COLUMNS)
 
 

@@ -332,6 +332,20 @@ def test_anchors_have_no_context():
     assert set(zip((at + 7).tolist(), h.tolist(), strict=True)) <= set(zip(moved.tolist(), other.tolist(), strict=True))
 
 
+def test_whole_fingerprints():
+    """All anchors of a long text are printed, a passage shared by long texts is seen, and a small edit changes the fingerprint."""
+    rng = random.Random(7)
+    f = lambda t: syncmers.smallest(*syncmers.anchors(syncmers.codes_of(t)))
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two, passage = text(100_000), text(100_000), text(300)
+    at, h = syncmers.anchors(syncmers.codes_of(one))
+    assert set(syncmers.printed(f(one)).split(" ")) == {f"{x:016x}@{a:x}" for a, x in zip(at.tolist(), h.tolist(), strict=True)}
+    assert syncmers.likeness(f(one[:50_000] + passage), f(two[:70_000] + passage)) > 0
+    assert 0.99 < syncmers.likeness(f(one), f(one[:60_000] + "edited" + one[60_006:])) < 1
+    assert syncmers.likeness(f(one), f(one[50_000:] + one[:50_000])) < 0.51
+    assert len(syncmers.printed(f("a" * 100)).split(" ")) == 81
+
+
 # --- pieces
 
 
