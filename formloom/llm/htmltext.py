@@ -45,6 +45,18 @@ MARKS = frozenset(
     "cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices popup promo promotion related "
     "respond search share sharing sidebar social sponsor sponsored subscribe widget".split()
 )
+# Elements of a page's head; elements that end an open paragraph; table parts and options with what each
+# ends; ends that don't reach an element outside; block elements that can't be in a list of options or in a button.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+END_P = BREAKS - frozenset("body caption html legend optgroup option tbody td tfoot th thead tr".split())
+CELLS, GROUPS = frozenset(("td", "th")), frozenset("caption tbody tfoot thead".split())
+ENDS = {
+    "li": frozenset(("li",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt")), "option": frozenset(("option",)),
+    "optgroup": frozenset(("option", "optgroup")), "td": CELLS, "th": CELLS, "tr": CELLS | {"tr"} | {"caption"},
+    **{g: CELLS | {"tr"} | GROUPS for g in GROUPS},
+}
+SCOPE = frozenset("caption html object table td template th".split())
+OUTSIDE = {"select": BREAKS - {"hr", "optgroup", "option"} | {"button", "input", "select", "textarea"}, "button": frozenset("article body button form main section".split())}
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
@@ -63,15 +75,48 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     return any(p.lower() in MARKS for m in NAMES.finditer(attributes) for p in PIECES.findall(m[1] or m[2] or m[3] or ""))
 
 
+def _still_open(stack: list[str], tag: str, closes: bool) -> int:
+    """How many of the open elements stay open at a tag, by the rules for end tags that may be omitted."""
+    n = len(stack)
+    if closes:
+        table_part = tag in CELLS or tag in GROUPS or tag in ("tr", "table")
+        for i in range(n - 1, -1, -1):
+            s = stack[i]
+            if s == tag:
+                return i
+            if s == "table" if table_part else s in SCOPE or (s in BREAKS if tag not in BREAKS else tag == "li" and s in ("ul", "ol")):
+                break
+        return n
+    if ends := ENDS.get(tag):
+        in_table = tag not in ("li", "dd", "dt", "option", "optgroup")
+        for i in range(n - 1, -1, -1):
+            if stack[i] in ends:
+                n = i
+                if not in_table and tag != "optgroup":
+                    break
+            elif stack[i] == "table" if in_table else stack[i] in BREAKS and stack[i] not in ("address", "div", "p"):
+                break
+    if tag in END_P:
+        for i in range(n - 1, -1, -1):
+            if stack[i] == "p":
+                return i
+            if stack[i] in SCOPE or stack[i] == "button":
+                break
+    return n
+
+
 def blocks_of(source: str) -> list[tuple[str, str]]:
     """(kind, text) of each block in page order; kind is text (of an article), chrome, or open (to be judged).
 
-    An element that is left out ends with its own end tag, or where an article begins. Line breaks inside a block are
+    An element that is left out ends with its own end tag, where HTML ends it without one, or where an article begins;
+    a head without end tag ends at the first text or element that can't be in it. Line breaks inside a block are
     white space. Character references are decoded once, after the markup is gone.
     """
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    at, left_out, depth, article, silent = 0, "", 0, 0, ""
+    at, left_out, left_at, article, silent = 0, "", 0, 0, ""
+    stack: list[str] = []
+    inner: list[str] = []
 
     def end_block() -> None:
         if parts:
@@ -80,7 +125,28 @@ def blocks_of(source: str) -> list[tuple[str, str]]:
                 out.append(("chrome" if left_out else "text" if article else "open", text))
             parts.clear()
 
+    def silent_after(tag: str, closes: bool, alone: bool) -> str:
+        """The silent element after a tag inside it: the same, none, or none with the tag still to be read ("-")."""
+        if silent == "head":
+            if closes:
+                return "" if tag in ("head", "html", "body") else silent
+            return silent if tag in HEAD else "-"
+        if closes:
+            if tag == silent:
+                return ""
+            if tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                return silent
+            return "-" if tag in BREAKS and _still_open(stack, tag, True) < len(stack) else silent
+        if not inner and tag in OUTSIDE.get(silent, ()) or silent == "select" and tag in OUTSIDE["select"]:
+            return "-"
+        if not alone:
+            inner.append(tag)
+        return silent
+
     for m in TAG.finditer(source):
+        if silent == "head" and source[at : m.start()].strip():
+            silent = ""
         if m.start() > at and not silent:
             parts.append(source[at : m.start()])
         at = m.end()
@@ -88,11 +154,15 @@ def blocks_of(source: str) -> list[tuple[str, str]]:
         if not tag:
             continue
         closes = bool(m[2])
+        alone = tag in VOID or m[4].endswith("/")
         if silent:
-            silent = "" if closes and tag == silent else silent
-            continue
+            silent = silent_after(tag, closes, alone)
+            if silent != "-":
+                continue
+            silent = ""
         if tag in SILENT:
             silent = "" if closes or m[4].endswith("/") else tag
+            inner.clear()
             if tag == "head" or tag == "body":
                 end_block()
             continue
@@ -100,24 +170,29 @@ def blocks_of(source: str) -> list[tuple[str, str]]:
             parts.append(" ")
         if tag in BREAKS:
             end_block()
-        if tag in ("article", "main") and left_out != tag:
+        own = left_out == tag and closes and tag not in stack[left_at + 1 :]
+        n = left_at if own else _still_open(stack, tag, closes)
+        if left_out and n <= left_at:
+            end_block()
+            left_out = "" if tag not in ("article", "main") or own else left_out
+        within = bool(left_out) or own and tag in ("article", "main")
+        del stack[n:]
+        if not closes and not alone:
+            stack.append(tag)
+        if tag in ("article", "main") and not (within and (left_out == tag or own)):
             if not closes and article and not left_out and _is_chrome("div", m[4], True):
-                left_out, depth = tag, 1  # a comment or advert that is an article of its own
+                left_out, left_at = tag, len(stack) - 1  # a comment or advert that is an article of its own
                 continue
             if not closes:
-                left_out, depth = ("", 0) if not article else (left_out, depth)
+                left_out = "" if not article or left_at >= n else left_out
             article = max(0, article + (-1 if closes else 1))
-            if closes and not article:
-                left_out, depth = "", 0
-        elif left_out:
-            if tag == left_out and not m[4].endswith("/"):
-                depth += -1 if closes else 1
-                if depth == 0:
-                    end_block()
-                    left_out = ""
-        elif not closes and tag not in VOID and not m[4].endswith("/") and _is_chrome(tag, m[4], article > 0):
+            if closes and (not article or left_at >= n):
+                left_out = ""
+        elif not left_out and not own and not closes and not alone and _is_chrome(tag, m[4], article > 0):
             end_block()
-            left_out, depth = tag, 1
+            left_out, left_at = tag, len(stack) - 1
+    if silent == "head" and source[at:].strip():
+        silent = ""
     if at < len(source) and not silent:
         parts.append(source[at:])
     end_block()

@@ -149,6 +149,22 @@ def test_blocks():
     ]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<head><title>t</title><meta charset=x><body><article><p>main text</article>", ["main text"]),
+    ("<html><head><title>t</title><link rel=x><p>main text", ["main text"]), ("<head><title>t</title>main text", ["main text"]),
+    ('<article><p class="notice">x<p>main <b>text</b><p>more</article>', ["main text", "more"]),
+    ('<article><ul><li class="ad">x<li>one<li class="ad">y</ul>main text</article>', ["one", "main text"]),
+    ('<article><ul><li class="ad"><ul><li>in<li>in</ul>x<li>one</ul></article>', ["one"]),
+    ('<article><dl><dt class="ad">x<dd>one<dt class="ad">y</dl>main text</article>', ["one", "main text"]),
+    ('<article><table><tr class="ad"><td>x<td>y<tr><td class="ad">z<td>one</table>main text</article>', ["one", "main text"]),
+    ('<article><div><p class="ad">x</div>main text</article>', ["main text"]), ("<article><div><button>x</div>main text</article>", ["main text"]),
+    ("<article><form><select><option>x<option>y</form><p>main text</article>", ["main text"]),
+    ("<article><button>x<div>y</div>z</button>main text</article>", ["main text"]), ('<article><b><div class="ad">x</b>y</div>main text</article>', ["main text"]),
+])
+def test_omitted_end_tags(page, want):
+    assert [text for kind, text in htmltext.blocks_of(page) if kind != "chrome"] == want
+
+
 def test_main_text(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in htmltext.extracted(pages).collect()}
