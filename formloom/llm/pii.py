@@ -3,11 +3,12 @@
 1. One pass over the whole texts finds the base entities (email, ip, card, phone) and every other token that looks
    like an identifier (it has a digit or an @). Each of them becomes a mention: its value, and the two words before
    it as its lexical pattern.
-2. Mentions are reduced to a graph of (pattern, value) edges with counts. Base values are the seeds. In each round
-   Spark scores a pattern by the share of its distinct values that are known for a kind, and a value by the patterns
-   that it occurs with; only patterns with enough different seeds and a high share count.
-3. Values that reach the threshold in the last round become spans of that kind, wherever they occur in such a
-   pattern. Base spans always stay.
+2. Mentions are reduced to a graph of (pattern, value) edges. Base values are the seeds. In each round Spark scores
+   a pattern by the share of its distinct values that are known for a kind, and a value by the patterns that it occurs
+   with; only patterns with enough different known values and a high share count. Values found in one round are known
+   in the next, so they make further patterns count; rounds end when scores stand still.
+3. Values that reach the threshold become spans of that kind, wherever they occur in a pattern that counts for it.
+   Base spans always stay.
 
 Hot patterns and values (a word pair that a third of all texts has) are reduced to edges before any shuffle joins
 them; a join whose side of patterns is hot only copies that side, never the rows of a group.
@@ -27,11 +28,12 @@ from formloom.llm.common import fresh, table, text_of
 from formloom.session import kept
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A pattern needs so many different seeds of a kind and such a share of all its values; a value such a score.
+#: A pattern needs so many different known values of a kind and such a share of all its values; a value such a score.
 MIN_SEEDS = 5
 MIN_SHARE = 0.6
 MIN_SCORE = 0.9
+#: Rounds end when no score has risen by more.
+STILL = 1e-4
 
 # The base patterns of the four kinds.
 BASE = {
@@ -137,37 +139,41 @@ def scan(docs: DataFrame) -> DataFrame:
     return kept(rows.mapInPandas(_scan, f"doc_id string, digest string, spans array<{SPAN}>, mentions array<{MENTION}>"))
 
 
-def learned(mentions: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE) -> DataFrame:
+def learned(mentions: DataFrame, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE, min_score: float = MIN_SCORE) -> DataFrame:
     """(pattern, value, kind) edges of identifiers that aren't base entities but are scored as such.
 
-    Only patterns with seeds and values of such patterns can ever score, so the graph is cut to them first. The score
-    of a pattern for a kind is known / distinct values with known the sum of its values' scores (seeds have 1); the
-    score of a value is 1 - product(1 - share) over its patterns that qualify.
+    The score of a pattern for a kind is known / distinct values with known the sum of its values' scores (seeds have
+    1); the score of a value is 1 - product(1 - share) over its patterns that qualify. A pattern qualifies by
+    ``min_seeds`` seeds or values that had ``min_score`` in the last round, and by its share. Scores never fall from
+    round to round, so the rounds come to an end.
     """
     edges = kept(mentions.groupBy("pattern", "value").agg(F.max("kind").alias("seed")))
-    seeded = edges.groupBy("pattern").agg(
-        F.count("*").alias("values"), *[F.count_if(F.col("seed") == k).alias(k) for k in KINDS]
-    )
-    strong = seeded.filter(F.greatest(*KINDS) >= min_seeds)
-    graph = kept(edges.join(strong.select("pattern", "values", *KINDS), "pattern"))
-    scores = graph.filter(F.col("seed").isNull()).select("value", F.lit(None).cast("string").alias("kind"), F.lit(0.0).alias("score")).limit(0)
-    for _ in range(rounds):
-        gained = graph.join(scores, "value").filter(F.col("seed").isNull())
-        gained = gained.groupBy("pattern", "kind").agg(F.sum("score").alias("gain"))
-        shares = (
-            strong.select("pattern", "values", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds")) for k in KINDS])).alias("k"))
-            .select("pattern", "values", "k.kind", "k.seeds")
-            .filter(F.col("seeds") >= min_seeds)
-            .join(gained, ["pattern", "kind"], "left")
-            .withColumn("share", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("values"))
-            .filter(F.col("share") >= min_share)
-        )
-        open_edges = graph.filter(F.col("seed").isNull()).select("pattern", "value")
-        reached = open_edges.join(shares.select("pattern", "kind", "share"), "pattern")
-        lacking = F.sum(F.log(F.lit(1.0) - F.least("share", F.lit(0.999999))))
-        scores = kept(reached.groupBy("value", "kind").agg((F.lit(1.0) - F.exp(lacking)).alias("score")))
+    seeded = edges.groupBy("pattern").agg(F.count("*").alias("values"), *[F.count_if(F.col("seed") == k).alias(k) for k in KINDS])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds")) for k in KINDS]))
+    sizes = seeded.select("pattern", "values")
+    seeds = kept(seeded.filter(F.greatest(*KINDS) > 0).select("pattern", each.alias("k")).select("pattern", "k.kind", "k.seeds").filter("seeds > 0"))
+    open_edges = edges.filter(F.col("seed").isNull()).select("pattern", "value")
+    lacking = F.sum(F.log(F.lit(1.0) - F.least("share", F.lit(0.999999))))
+    sums, scores, shares = seeds.select("pattern", "kind", F.col("seeds").alias("known"), F.col("seeds").cast("double").alias("gain")), None, None
+    while True:
+        enough = sums.groupBy("pattern", "kind").agg(F.sum("known").alias("known"), F.sum("gain").alias("gain")).filter(F.col("known") >= min_seeds)
+        shares = enough.join(sizes, "pattern").withColumn("share", F.col("gain") / F.col("values")).filter(F.col("share") >= min_share)
+        shares = kept(shares.select("pattern", "kind", "share"))
+        now = kept(open_edges.join(shares, "pattern").groupBy("value", "kind").agg((F.lit(1.0) - F.exp(lacking)).alias("score")))
+        if scores is None:
+            moved = now
+        else:
+            before = scores.withColumnRenamed("score", "before")
+            moved = now.join(before, ["value", "kind"], "left").filter(F.col("score") - F.coalesce("before", F.lit(0.0)) > STILL)
+        scores = now
+        if moved.isEmpty():
+            break
+        gained = open_edges.join(scores, "value").groupBy("pattern", "kind")
+        gained = gained.agg(F.count_if(F.col("score") >= min_score).alias("known"), F.sum("score").alias("gain"))
+        sums = seeds.select("pattern", "kind", F.col("seeds").alias("known"), F.col("seeds").cast("double").alias("gain")).unionByName(gained)
     best = scores.filter(F.col("score") >= min_score).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("found"))
-    return graph.filter(F.col("seed").isNull()).join(best, "value").select("pattern", "value", "found").distinct()
+    sure = shares.select("pattern", F.col("kind").alias("found"))
+    return open_edges.join(best, "value").join(sure, ["pattern", "found"], "left_semi").select("pattern", "value", "found")
 
 
 def rank_of(kind: Column) -> Column:

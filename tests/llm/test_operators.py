@@ -100,6 +100,17 @@ def test_pii_learns(spark):
     assert got[99] == "card:23:33" and got[100] == ""
 
 
+def test_pii_second_hop(spark):
+    """Identifiers found beside seeds make the next context count, and those found there the one after it."""
+    card = lambda i: next(c for d in range(10) if pii.luhn(c := f"41111111{i:07d}{d}"))
+    texts = [f"use card number {card(i)}" for i in range(30)] + [f"use card number AA-{i:05d}" for i in range(8)]
+    texts += [f"see member code AA-{i:05d}" for i in range(8)] + [f"see member code BB-{i:05d}" for i in range(5)]
+    texts += [f"old account key BB-{i:05d}" for i in range(5)] + ["old account key CC-00001", "some other word CC-00001"]
+    rows, base, every = pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r.text: r.e for r in rows.select("text", pii.joined(F.col(every)).alias("e")).collect()}
+    assert all(got[t] == ("" if "other" in t else f"card:16:{len(t)}") for t in texts)
+
+
 # --- quality
 
 
