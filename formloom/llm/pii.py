@@ -1,8 +1,8 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts add.
 
-1. One pass over the whole texts finds the base entities (email, ip, card, phone) and every other token that looks
-   like an identifier (it has a digit or an @). Each of them becomes a mention: its value, and the two words before
-   it as its lexical pattern.
+1. One pass over the whole texts finds the base entities (email, ip, card, phone) and every other token that has a
+   digit or an @. Each of them becomes a mention: its value, and the two words before it as its lexical pattern.
+   Where the text begins, an empty word stands for a missing one; long words go by their hash.
 2. Mentions are reduced to a graph of (pattern, value) edges. Base values are the seeds. In each round Spark scores
    a pattern by the share of its distinct values that are known for a kind, and a value by the patterns that it occurs
    with; only patterns with enough different known values and a high share count. Values found in one round are known
@@ -16,7 +16,9 @@ them; a join whose side of patterns is hot only copies that side, never the rows
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import takewhile
 
@@ -34,6 +36,8 @@ MIN_SHARE = 0.6
 MIN_SCORE = 0.9
 #: Rounds end when no score has risen by more.
 STILL = 1e-4
+#: A word of a pattern that has so many characters goes by its hash, which has one more.
+LONG_WORD = 40
 
 # The base patterns of the four kinds.
 BASE = {
@@ -61,8 +65,8 @@ def _passes(kind: str, found: str) -> bool:
 def _finder():
     """A function from a text to its base spans and its mentions; patterns are compiled once per batch stream."""
     base = {kind: re.compile(p) for kind, p in BASE.items()}
-    digit, token, word = re.compile("[0-9@]"), re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"\w+")
-    local, edges = re.compile(r"[A-Za-z0-9._%+-]*\Z"), " \t\n\v\f\r"
+    digit, token, run = re.compile("[0-9@]"), re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"\S+")
+    edges = " \t\n\v\f\r"
 
     def emails(text: str) -> Iterator[tuple[int, int]]:
         """As finditer over the whole text, but tried only at the run of name characters before each @."""
@@ -77,6 +81,28 @@ def _finder():
                 done = m.end()
             at = text.find("@", max(at + 1, done))
 
+    def contexts(text: str, places: list[int]) -> dict[int, str]:
+        """The two words before each place. A word that places cut again and again is read and hashed only once."""
+        words = [m.span() for m in run.finditer(text)]
+        starts, out = [a for a, _ in words], {}
+        at, done, partly = -1, 0, None
+
+        def told(a: int, b: int) -> str:
+            nonlocal at, done, partly
+            if b - a < LONG_WORD:
+                return text[a:b].lower()
+            if at != a or done > b:
+                at, done, partly = a, a, hashlib.sha1(usedforsecurity=False)
+            partly.update(text[done:b].casefold().encode("utf-8", "surrogatepass"))
+            done = b
+            return f"#{partly.copy().hexdigest()}"
+
+        for place in places:
+            i = bisect_left(starts, place)
+            last = [(a, min(b, place)) for a, b in words[max(0, i - 2) : i]]
+            out[place] = " ".join([*[""] * (2 - len(last)), *[told(a, b) for a, b in last]])
+        return out
+
     def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str | None, int, int, str, str]]]:
         if not digit.search(text):
             return [], []
@@ -84,7 +110,7 @@ def _finder():
         for kind in KINDS[1:]:
             if kind != "phone" or "+" in text:
                 spans += [(kind, *m.span()) for m in base[kind].finditer(text) if _passes(kind, m.group())]
-        mentions, covered = [], sorted((a, b) for _, a, b in spans)
+        covered = sorted((a, b) for _, a, b in spans)
         places, reach = [(kind, a, b) for kind, a, b in spans], -1
         ahead = 0
         for m in digit.finditer(text):
@@ -99,14 +125,10 @@ def _finder():
                 ahead += 1
             if not any(a < e for _, e in takewhile(lambda s: s[0] < b, covered[ahead:])):
                 inner = text[a:b].strip("\"'()[]{}<>,;:.!?")
-                if len(inner) >= 6 and sum(c.isdigit() for c in inner) >= 2:
-                    a += text[a:b].index(inner)
-                    places.append((None, a, a + len(inner)))
-        for kind, a, b in places:
-            before = text[max(0, a - 80) : a].split()[-2:]
-            if len(before) == 2 and len(before[0]) < 40:
-                mentions.append((kind, a, b, text[a:b].lower(), " ".join(before).lower()))
-        return spans, mentions
+                a += text[a:b].index(inner)
+                places.append((None, a, a + len(inner)))
+        patterns = contexts(text, sorted({a for _, a, _ in places}))
+        return spans, [(kind, a, b, text[a:b].lower(), patterns[a]) for kind, a, b in places]
 
     return find
 

@@ -111,6 +111,23 @@ def test_pii_second_hop(spark):
     assert all(got[t] == ("" if "other" in t else f"card:16:{len(t)}") for t in texts)
 
 
+def test_pii_every_token(spark):
+    """Tokens with a digit or an @ of any length are mentions, also where a text begins or behind long words."""
+    long, other = "x" * 3000, "y" * 3000
+    find = pii._finder()
+    assert {(m[3], m[4]) for m in find("7 a@b\nis my 8 (c) @ x9")[1]} == {("7", " "), ("a@b", " 7"), ("8", "is my"), ("@", "8 (c)"), ("x9", "(c) @")}
+    texts = [f"mail u{i}@example.com" for i in range(10)] + ["mail jane@localhost"]
+    texts += [f"v{i}@example.com opens" for i in range(10)] + ["j@intranet opens", "z@intranet opens"]
+    texts += [f"{long} is w{i}@example.com" for i in range(10)] + [f"{long} is 7", f"{other} is 8"]
+    rows, base, every = pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    got = {r.text: r.e for r in rows.select("text", pii.joined(F.col(every)).alias("e")).collect()}
+    assert got["mail jane@localhost"] == "email:5:19" and got["j@intranet opens"] == "email:0:10"
+    assert got[f"{long} is 7"] == "email:3004:3005" and got[f"{other} is 8"] == ""
+    dense = " ".join(["k", "-".join(f"10.0.{i % 250}.{i % 249}x@" for i in range(30_000))])
+    found = find(dense)[1]
+    assert len({m[4] for m in found}) == len({m[1] for m in found}) > 30_000
+
+
 # --- quality
 
 
