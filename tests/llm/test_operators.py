@@ -164,6 +164,31 @@ def test_quality_outliers(spark):
     assert all(not got[i] for i in range(0, 300, 10)) and sum(got[i] for i in range(300) if i % 10) >= 268
 
 
+def test_quality_each_dimension(spark):
+    """An outlier in one statistic alone goes, whichever of the five it is; single chance symbols, copies and repeats stay."""
+    rng = random.Random(2)
+    word = lambda a=2, b=9: "".join(rng.choice("etaoinsh") for _ in range(rng.randint(a, b)))
+    lines = lambda n, m, **k: [[word(**k) for _ in range(rng.randint(m - 3, m + 3))] for _ in range(n)]
+    plain = lambda: lines(rng.randint(10, 20), 12)
+    text = lambda x: "\n".join(" ".join(w) for w in x)
+    odd = {"symbols": plain(), "copies": plain(), "repeats": plain(), "line": lines(3, 120), "word": lines(12, 12, a=7, b=12)}
+    odd["symbols"] = [[w + "*" * (i % 5 == 0) for i, w in enumerate(x)] for x in odd["symbols"]]
+    odd["copies"] = [y for i, x in enumerate(odd["copies"]) for y in (x, ["ab"] if i % 2 else [word()])]
+    odd["repeats"] = [[*x[:6], "one", "two", "three", "four"] for x in odd["repeats"]]
+    chance = [plain() for _ in range(3)]
+    chance[0][0][0] += "*"
+    chance[1][5][:3] = chance[1][8][:3] = ["one", "two", "three"]
+    for i in (3, 8):  # their words go to the next line
+        chance[2][i + 1] += chance[2][i]
+        chance[2][i] = ["ab"]
+    rows = [*[(f"p{i}", text(plain())) for i in range(300)], *[(f"c{i}", text(x)) for i, x in enumerate(chance)], *[(k, text(x)) for k, x in odd.items()]]
+    judged, n = quality.judge(spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id string, text string, lang string, source string"))
+    got = {r.doc_id: r for r in judged.collect()}
+    assert not any(got[k][n["base_failed"]] for k in odd)
+    assert {k for k in odd if got[k][n["kept"]]} == set()
+    assert all(got[f"c{i}"][n["kept"]] for i in range(3)) and sum(got[f"p{i}"][n["kept"]] for i in range(300)) >= 295
+
+
 # --- pages
 
 
