@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from formloom.llm import htmltext, jaccard, mixing, pieces, pii, quality, repeats, revisits, syncmers, toxicity
+from formloom.llm import alignment, htmltext, jaccard, mixing, pieces, pii, quality, repeats, resampling, revisits, syncmers, topk, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_revisits": revisits.op9_revisits,
     "op10_mix": mixing.op10_mix,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_topk": topk.op12_topk,
+    "op13_resample": resampling.op13_resample,
 }
 
 ORACLES = {
     "op9_revisits": revisits.ORACLE,
     "op10_mix": mixing.ORACLE,
+    "op12_topk": topk.SQL,
+    "op13_resample": resampling.SQL,
 }
