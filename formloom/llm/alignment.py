@@ -36,7 +36,7 @@ from formloom.session import kept
 
 BYTE_FILE, PIECE_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters and rows after which a lot is closed; pieces of text that are encoded at a time.
-LOT_CHARS, LOT_ROWS, SLICE = 8_000_000, 50_000, 4096
+LOT_CHARS, LOT_ROWS, SLICE = 4_000_000, 50_000, 4096
 #: A pair is one number: the id of A above the id of B.
 SHIFT = 32
 ADDED = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -194,6 +194,16 @@ class Parts:
         return ["".join(tokens[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes as the largest needs, behind one byte that says how many."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64)
+
+
 class Numbered(dict):
     """Strings to their number, in order of appearance."""
 
@@ -205,7 +215,8 @@ class Numbered(dict):
 def lot(texts: list[str | None], v: Vocabularies) -> tuple[list[np.ndarray | list[str]], list]:
     """Columns n_a, n_b, n_groups, n_links, groups_sha256 of the texts, and what the lot needs to use counts later.
 
-    That is: pairs, documents of each pair, then rows (part, pair, links) and rows (document, part, times).
+    That is: pairs, documents of each pair, then rows (pair, links) with their number in each part and rows (part,
+    times) with their number in each document.
     """
     numbers = Numbered()
     own = [np.fromiter(map(numbers.__getitem__, CUT.split(f" {t}")), np.int64) if t else np.zeros(0, np.int64) for t in texts]
@@ -225,8 +236,9 @@ def lot(texts: list[str | None], v: Vocabularies) -> tuple[list[np.ndarray | lis
     seen = docs_of_pair > 0  # parts of texts that count as without tokens leave pairs that no document holds
     kept_pairs = np.cumsum(seen) - 1
     use = seen[parts.link_pair]
-    blobs = [parts.link_owner[use], kept_pairs[parts.link_pair[use]], parts.link_n[use], doc, part, times]
-    return [*sums, digests], [parts.pairs[seen], docs_of_pair[seen], [x.astype(np.int32).tobytes() for x in blobs], len(numbers), n]
+    widths, rows = np.bincount(parts.link_owner[use], minlength=len(numbers)), np.bincount(doc, minlength=n)
+    blobs = [widths, kept_pairs[parts.link_pair[use]], parts.link_n[use], rows, part, times]
+    return [*sums, digests], [parts.pairs[seen], docs_of_pair[seen], [packed(x) for x in blobs], n]
 
 
 def _aligned(files: Broadcast, k: int):
@@ -234,16 +246,16 @@ def _aligned(files: Broadcast, k: int):
 
     def closed(batches: list[pa.RecordBatch], number: int, v: Vocabularies, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
         texts = [t for b in batches for t in b.column(k).to_pylist()]
-        columns, (pairs, docs, blobs, n_parts, n) = lot(texts, v)
-        names = [*[f"c{i}" for i in range(k)], "lot", "pos", *ADDED[:4], ADDED[6], "pairs", "docs", "blobs", "n_parts"]
+        columns, (pairs, docs, blobs, n) = lot(texts, v)
+        names = [*[f"c{i}" for i in range(k)], "lot", "pos", *ADDED[:4], ADDED[6], "pairs", "docs", "blobs"]
         longs = lambda x: pa.array(x, pa.int64())
-        none = pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.int64())
+        none = pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.binary()))
         others = [pa.concat_arrays([b.column(i) for b in batches]) for i in range(k)]
         head = [longs(np.full(n, number)), longs(np.arange(n)), *[longs(c) for c in columns[:4]], pa.array(columns[4], pa.string())]
         yield pa.RecordBatch.from_arrays([*others, *head, *none], names)
         lists = pa.array([pairs], pa.list_(pa.int64())), pa.array([docs], pa.list_(pa.int64())), pa.array([blobs], pa.list_(pa.binary()))
         empty = [pa.nulls(1, t) for t in types] + [longs([number]), longs([n]), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string())]
-        yield pa.RecordBatch.from_arrays([*empty, *lists, longs([n_parts])], names)
+        yield pa.RecordBatch.from_arrays([*empty, *lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabularies(*files.value)
@@ -270,16 +282,17 @@ def _aligned(files: Broadcast, k: int):
 def _summed(asked: pd.DataFrame, lots: pd.DataFrame) -> pd.DataFrame:
     """n_best and count_sum of the documents of one lot; ``asked`` has count and best for each of its pairs."""
     row = lots.iloc[0]
-    link_part, link_pair, link_n, doc, part, times = (np.frombuffer(b, np.int32).astype(np.int64) for b in row["blobs"])
+    widths, link_pair, link_n, rows, part, times = map(unpacked, row["blobs"])
+    link_part, doc = (np.repeat(np.arange(len(x)), x) for x in (widths, rows))
     pairs = np.asarray(row["pairs"], np.int64)
     n, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     at = np.searchsorted(pairs, asked["key"].to_numpy(np.int64))
     n[at], best[at] = asked["n"].to_numpy(np.int64), asked["best"].to_numpy(np.int64)
-    out = {"lot": row["own"], "pos": np.arange(row["pos"])}
+    out = {"lot": row["own"], "pos": np.arange(len(rows))}
     for name, value in (("n_best", best), ("count_sum", n)):
-        of_part = np.zeros(int(row["n_parts"]), np.int64)
+        of_part = np.zeros(len(widths), np.int64)
         np.add.at(of_part, link_part, link_n * value[link_pair])
-        of_doc = np.zeros(int(row["pos"]), np.int64)
+        of_doc = np.zeros(len(rows), np.int64)
         np.add.at(of_doc, doc, times * of_part[part])
         out[name] = of_doc
     return pd.DataFrame(out)
@@ -302,7 +315,7 @@ def aligned(docs: DataFrame, byte_file: str = BYTE_FILE, piece_file: str = PIECE
         files = spark.sparkContext.broadcast((a.read(), b.read()))
     fields = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(plain.schema.fields[:-1])]
     fields += ["lot bigint", "pos bigint", *[f"{c} bigint" for c in ADDED[:4]], f"{ADDED[6]} string"]
-    schema = ", ".join([*fields, "pairs array<bigint>, docs array<bigint>, blobs array<binary>, n_parts bigint"])
+    schema = ", ".join([*fields, "pairs array<bigint>, docs array<bigint>, blobs array<binary>"])
     rows = kept(plain.mapInArrow(_aligned(files, k), schema))
     lots = rows.filter(F.col("pairs").isNotNull())
     asks = lots.select("lot", F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("lot", F.col("p.pairs").alias("key"), F.col("p.docs").alias("docs"))
@@ -311,9 +324,9 @@ def aligned(docs: DataFrame, byte_file: str = BYTE_FILE, piece_file: str = PIECE
     highest = counts.groupBy("a").agg(F.max("n").alias("most"))
     told = counts.join(F.broadcast(highest), "a").select("key", "n", (F.col("n") == F.col("most")).alias("best"))
     answers = asks.select("lot", "key").join(told, "key")
-    packed = lots.select(F.col("lot").alias("own"), "pos", "pairs", "blobs", "n_parts").groupBy("own")
-    sums = answers.groupBy("lot").cogroup(packed).applyInPandas(_summed, "lot bigint, pos bigint, n_best bigint, count_sum bigint")
-    own = rows.filter(F.col("pairs").isNull()).drop("pairs", "docs", "blobs", "n_parts")
+    waiting = lots.select(F.col("lot").alias("own"), "pairs", "blobs").groupBy("own")
+    sums = answers.groupBy("lot").cogroup(waiting).applyInPandas(_summed, "lot bigint, pos bigint, n_best bigint, count_sum bigint")
+    own = rows.filter(F.col("pairs").isNull()).drop("pairs", "docs", "blobs")
     found = own.join(sums, ["lot", "pos"], "left")
     names = [*others, *ADDED]
     columns = [*[F.col(f"c{i}") for i in range(k)], *[F.col(c) for c in ADDED]]

@@ -29,6 +29,8 @@ from formloom.session import kept
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
 #: Words and pairs of the head, the bytes of a word in it, and counts that a task holds before it sends them.
 HEAD, HEAD_BYTES, HELD = 50_000, 40, 400_000
+#: Levels of counts to a doubling.
+LEVELS = 16
 ADDED = ("n_features", "weight", "score", "rank")
 #: Bytes of words: digits, letters of ASCII in lower case and everything beyond ASCII; all others become spaces.
 TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -99,15 +101,25 @@ def _frequent(longest: int):
 
 
 def head_of(texts: DataFrame, longest: int, buckets: int) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes], int]]:
-    """States of the most frequent words and buckets of the most frequent pairs: at most ``HEAD`` of each, of bounded length."""
+    """States of the most frequent words and buckets of the most frequent pairs: at most ``HEAD`` of each, of bounded length.
+
+    Words are taken by levels of their count, the highest first, as long as a whole level has room; so no more than the
+    head itself comes to the driver.
+    """
     counted = texts.mapInArrow(_frequent(longest), "word binary, follower binary, n bigint").groupBy("word", "follower").agg(F.sum("n").alias("n"))
-    counted = kept(counted)
-    order = [F.desc("n"), F.asc("word"), F.asc("follower")]
-    words = counted.filter(F.col("follower").isNull()).orderBy(*order).limit(HEAD).collect()
-    states = {bytes(r.word): crc32(bytes(r.word)) for r in words}
-    if longest < 2:
-        return states, {}
-    pairs = counted.filter(F.col("follower").isNotNull()).orderBy(*order).limit(HEAD).collect()
+    counted = kept(counted.withColumn("level", F.floor(F.log2("n") * LEVELS)))
+    chosen = []
+    for pair in (False, True)[:longest]:
+        own = counted.filter(F.col("follower").isNotNull() == pair)
+        least, room = None, HEAD
+        for level, n in sorted(map(tuple, own.groupBy("level").count().collect()), reverse=True):  # some hundred rows
+            room -= n
+            if room < 0:
+                break
+            least = level
+        chosen.append(own.filter(F.col("level") >= least).select("word", "follower").collect() if least is not None else [])
+    states = {bytes(r.word): crc32(bytes(r.word)) for r in chosen[0]}
+    pairs = chosen[1] if longest > 1 else []
     return states, {(bytes(r.word), bytes(r.follower)): crc32(bytes(r.word) + b" " + bytes(r.follower)) % buckets for r in pairs}
 
 
