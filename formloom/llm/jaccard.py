@@ -35,8 +35,9 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 40, 1e-7
-#: Nodes in a block of a cluster; members up to which a bucket with a dropped tie is looked through.
-BLOCK, BUCKET = 1024, 20_000
+#: Nodes in a block of a cluster, and shingles of its nodes together; members up to which a bucket with a dropped tie is
+#: looked through.
+BLOCK, BLOCK_RUNS, BUCKET = 1024, 4_000_000, 20_000
 #: Pairs of signatures held side by side.
 PAIRS = 1 << 14
 _rng = np.random.default_rng(20240607)
@@ -130,9 +131,10 @@ def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, word = Hashes(), re.compile(WORD)
     for batch in batches:
-        sets, signs, keys = [], [], []
+        sets, signs, keys, sizes = [], [], [], []
         for text in batch.column(2).to_pylist():
             runs = shingles(word.findall(text), hashes)
+            sizes.append(len(runs))
             if len(runs):
                 values = signature(runs)
                 sets.append(xxhash.xxh128_digest(runs.tobytes()))
@@ -143,8 +145,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 signs.append(None)
                 keys.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "text_hash", "node", "sign", "bands"],
+            [batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+            ["doc_id", "text_hash", "node", "sign", "bands", "n_runs"],
         )
 
 
@@ -172,18 +174,23 @@ def groups_of(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFram
 
 
 def _untangled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ties within buckets where one to the head was dropped: the components of the pairs that stay."""
+    """A forest of the pairs that stay within each bucket: one tie for each node but the first of its component.
+
+    Components grow node by node; a node is held against those only that no component has reached yet, so each pair is
+    tested once at most, and in a bucket of copies nearly all are reached from the first.
+    """
     for df in groups_of(batches, "key"):
         nodes, signs = list(df["node"]), np.frombuffer(b"".join(df["sign"]), np.uint16).reshape(-1, HASHES)
-        head = nodes.index(min(nodes))
-        hangs = stay(np.broadcast_to(signs[head], signs.shape), signs)  # these are tied to the head already
+        left = np.array(sorted(range(len(nodes)), key=nodes.__getitem__))
         ties = []
-        for at in np.flatnonzero(~hangs).tolist():
-            # A node that doesn't hang on the head is held against every node. Those that hang on the head are one
-            # component, so one tie to them is enough; of the others, pairs count once.
-            on = stay(np.broadcast_to(signs[at], signs.shape), signs)
-            ties += [(nodes[i], nodes[at]) for i in [*np.flatnonzero(on & hangs)[:1].tolist(), *np.flatnonzero(on & ~hangs).tolist()] if i != at]
-            hangs[at] |= (on & hangs).any()
+        while len(left):
+            grown, left = [int(left[0])], left[1:]
+            while grown and len(left):
+                at = grown.pop()
+                on = stay(np.broadcast_to(signs[at], (len(left), HASHES)), signs[left])
+                reached, left = left[on].tolist(), left[~on]
+                ties += [(nodes[i], nodes[at]) for i in reached]
+                grown += reached
         yield pd.DataFrame(ties, columns=["node", "head"])
 
 
@@ -286,17 +293,20 @@ def joined(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = kept(slim.mapInArrow(_signed, f"doc_id {kind}, text_hash bigint, node binary, sign binary, bands array<bigint>"))
+    signed = kept(slim.mapInArrow(_signed, f"doc_id {kind}, text_hash bigint, node binary, sign binary, bands array<bigint>, n_runs bigint"))
     nodes = kept(signed.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"),
-        F.first("sign").alias("sign"), F.first("bands").alias("bands"),
+        F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("held"),
+        F.first("sign").alias("sign"), F.first("bands").alias("bands"), F.first("n_runs").alias("n_runs"),
     ))
     clusters = kept(components(ties(nodes)))
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    inside = clusters.join(sizes, "root").join(nodes.select("node", "copies", "text_hash"), "node")
-    texts = slim.select("text_hash", "text").join(inside, "text_hash").dropDuplicates(["node", "text_hash"])
-    texts = texts.mapInPandas(_with_runs, "text_hash bigint, node binary, root binary, size bigint, copies bigint, runs binary")
-    blocks = F.ceil(F.col("size") / BLOCK)
+    members = clusters.join(nodes.select("node", "copies", "held", "n_runs"), "node")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_runs") / BLOCK_RUNS)).alias("blocks"))
+    inside = members.join(sizes, "root").select("node", "root", "blocks", "copies", F.col("held.doc_id").alias("held_id"), F.col("held.text_hash").alias("held_hash"))
+    # One row of each text is read again; copies of it have other ids and stay where they are.
+    same = (F.col("text_hash") == F.col("held_hash")) & F.col("doc_id").eqNullSafe(F.col("held_id"))
+    texts = slim.join(inside, same).select("text_hash", "text", *inside.columns[:4]).dropDuplicates(["node", "text_hash"])
+    texts = texts.mapInPandas(_with_runs, "text_hash bigint, node binary, root binary, blocks bigint, copies bigint, runs binary")
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = texts.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     low, high = F.least("block", "other"), F.greatest("block", "other")

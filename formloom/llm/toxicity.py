@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ MIN_CONTEXTS = 8
 CUT = 0.3
 #: Characters of a word that stays whole, and of each piece of a longer one; pieces overlap by two.
 LONGEST, PIECE = 62, 10
-CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 1024
+#: Characters of text and new words that a task handles at a time, words that a worker remembers, windows of a block.
+CHUNK_CHARS, CHUNK_WORDS, CACHE_WORDS, BLOCK = 500_000, 16_384, 100_000, 1024
 
 FIND = re.compile(WORD).findall
 
@@ -302,29 +304,35 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.table = self._project([""])
+        self.known: dict[str, int] = {}
+        self.table = np.empty((0, 6 * HIDDEN), np.float32)
+        self._add([""])
 
     def _project(self, words: list[str]) -> np.ndarray:
         return embedded(self.m, features(words, self.m)) @ self.m["input"] + self.m["bias"]
 
+    def _add(self, new: list[str]) -> None:
+        start, end = len(self.known), len(self.known) + len(new)
+        if end > len(self.table):
+            larger = np.empty((max(end, CACHE_WORDS, len(self.table) * 3 // 2), self.table.shape[1]), np.float32)
+            larger[:start] = self.table[:start]
+            self.table = larger
+        for a in range(0, len(new), CHUNK_WORDS):
+            some = new[a : a + CHUNK_WORDS]
+            self.table[start + a : start + a + len(some)] = self._project(some)
+        self.known.update(zip(new, range(start, end), strict=True))
+
     def ids(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
             self.forget()
         if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self._project(new)])
+            self._add(new)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def largest(self, texts: list[str]) -> np.ndarray:
-        """The largest logit of each text, -inf for one without words. Texts are taken in lots of bounded size."""
-        out, lot, size = np.full(len(texts), -np.inf), [], 0
-        for k, text in enumerate(texts):
-            lot.append(k)
-            size += len(text)
-            if size > CHUNK_CHARS or k == len(texts) - 1:
-                self._score([texts[i] for i in lot], out, np.array(lot))
-                lot, size = [], 0
+        """The largest logit of each text, -inf for one without words."""
+        out = np.full(len(texts), -np.inf)
+        self._score(texts, out, np.arange(len(texts)))
         return out
 
     def _score(self, texts: list[str], out: np.ndarray, at: np.ndarray) -> None:
@@ -380,19 +388,35 @@ def learned(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cl
     return train(windows, labels_of, np.repeat(np.arange(len(rows)), [len(r.windows) for r in rows]))
 
 
-def _scores(model):
+def lots(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in slices of about ``CHUNK_CHARS`` bytes; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(sizes):
+        before = int(sizes[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_CHARS, side="right")))
+        yield column.slice(start, end - start)
+        start = end
+
+
+def _scores(model, at: int):
+    """Rows with a score as the last column; the text is column ``at``, of which only some part is unpacked at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         scorer = None if isinstance(m, float) else Scorer(m)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            if scorer is None:
-                score = np.full(len(texts), m)
-            else:
-                a, b = m["curve"]
-                score = sigmoid(a * scorer.largest([t or "" for t in texts]) + b)
-                score[[not t or not t.strip(" \t\n\v\f\r") for t in texts]] = 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "c_score"])
+            scores = [np.zeros(0)]
+            for part in lots(batch.column(at)):
+                texts = part.to_pylist()
+                if scorer is None:
+                    score = np.full(len(texts), m)
+                else:
+                    a, b = m["curve"]
+                    score = sigmoid(a * scorer.largest([t or "" for t in texts]) + b)
+                    score[[not t or not t.strip(" \t\n\v\f\r") for t in texts]] = 0.0
+                scores.append(score)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names, "c_score"])
 
     return run
 
@@ -407,9 +431,13 @@ def scored(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, st
     spark = docs.sparkSession
     (name,) = fresh(docs, "score")
     model = spark.sparkContext.broadcast(learned(docs, labels, **options))
-    plain_rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("c_text"))
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    out = plain_rows.mapInArrow(_scores(model), f"{fields}, c_text string, c_score double")
+    plain_rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = docs.columns.index("text")
+    if plain_rows.schema[at].dataType.simpleString() != "string":
+        plain_rows = plain_rows.withColumn(f"c{len(docs.columns)}", F.col(f"c{at}").cast("string"))
+        at = len(docs.columns)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain_rows.schema.fields)
+    out = plain_rows.mapInArrow(_scores(model, at), f"{fields}, c_score double")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("c_score").alias(name)), name
 
 
