@@ -69,7 +69,13 @@ def table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def table_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return U.table_suggestions(U.table_rows(_frames(spark, d).cells))
+    """Tables found on every page, with their columns and cells, on the faces of the page's form."""
+    found = U.table_suggestions(U.table_rows(_frames(spark, d).cells))
+    named = found.withColumn("template_id", F.concat(F.lit("form-"), (F.col("page_id") % 25).cast("string")))
+    placed = U.placed_suggestions(named, X.form_tables(spark, d))
+    return placed.withColumn(
+        "columns", F.array_join(F.transform("columns", lambda c: F.format_string("%d+%d", c["x_offset"], c["width"])), ",")
+    ).withColumn("cell_indexes", F.array_join(F.transform("cell_indexes", lambda i: i.cast("string")), ","))
 
 
 def ruled_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +127,7 @@ b2 AS (SELECT *, sum(CASE WHEN s - reach > 5 THEN 1 ELSE 0 END) OVER (PARTITION
 b3 AS (SELECT page_id, axis, scan, CASE WHEN min(s) <= 4 THEN 0 ELSE min(s) END AS s, max(e) AS e FROM b2 GROUP BY page_id, axis, scan, isle),
 brid AS (SELECT * FROM b3 WHERE e - s + 1 >= 60)"""
 
-# Greedy joining of collinear pieces as a fold over the ordered bundles; every
-# page and axis is one list.
+# Bundles, then lines, as parts of graphs.
 _SEGMENTS = f"""WITH RECURSIVE ink AS ({X.INK_SQL}), {_BRIDGE},
 node AS (SELECT *, row_number() OVER (ORDER BY page_id, axis, scan, s) AS id FROM brid),
 edge AS (SELECT a.id AS i, b.id AS j FROM node a JOIN node b ON a.page_id = b.page_id AND a.axis = b.axis AND b.scan = a.scan + 1
@@ -132,14 +137,12 @@ reach(id, lab) AS (SELECT id, id FROM node UNION SELECT r.id, e.j FROM reach r J
 comp AS (SELECT id, min(lab) AS lab FROM reach GROUP BY id),
 bund AS (SELECT n.page_id, n.axis, c.lab, round_even(sum(n.scan)::DOUBLE / count(*), 1) AS pos, min(n.s)::BIGINT AS start, max(n.e)::BIGINT AS fin, count(DISTINCT n.scan)::BIGINT AS thick
   FROM node n JOIN comp c USING (id) GROUP BY 1, 2, 3 HAVING count(DISTINCT n.scan) <= 12),
-seq AS (SELECT page_id, axis, list([{{'pos': pos, 'a': start, 'b': fin, 't': thick}}] ORDER BY pos, lab) AS l FROM bund GROUP BY 1, 2),
-fold AS (SELECT page_id, axis, list_reduce(l, lambda acc, x: CASE WHEN list_position(list_transform(acc, lambda m: abs(m.pos - x[1].pos) <= 2 AND greatest(x[1].a - m.b, m.a - x[1].b) - 1 <= 12), true) IS NULL
-   THEN list_concat(acc, x)
-   ELSE list_transform(acc, lambda m, k: CASE WHEN k = list_position(list_transform(acc, lambda q: abs(q.pos - x[1].pos) <= 2 AND greatest(x[1].a - q.b, q.a - x[1].b) - 1 <= 12), true)
-     THEN {{'pos': round_even((m.pos * (m.b - m.a + 1) + x[1].pos * (x[1].b - x[1].a + 1)) / ((m.b - m.a + 1) + (x[1].b - x[1].a + 1)), 1), 'a': least(m.a, x[1].a), 'b': greatest(m.b, x[1].b), 't': greatest(m.t, x[1].t)}}
-     ELSE m END) END) AS l FROM seq),
-flat AS (SELECT page_id, axis, unnest(l) AS m FROM fold)
-SELECT page_id, axis, m.pos AS pos, m.a AS start, m.b AS "end", m.t AS thickness FROM flat"""
+along AS (SELECT a.lab AS i, b.lab AS j FROM bund a JOIN bund b ON a.page_id = b.page_id AND a.axis = b.axis AND a.lab <> b.lab AND abs(a.pos - b.pos) <= 2
+  AND greatest(a.start - b.fin, b.start - a.fin) - 1 <= 12),
+line(id, lab) AS (SELECT lab, lab FROM bund UNION SELECT l.id, e.j FROM line l JOIN along e ON e.i = l.lab),
+whole AS (SELECT id, min(lab) AS line FROM line GROUP BY id)
+SELECT page_id, axis, round_even(sum(pos * (fin - start + 1)) / sum(fin - start + 1), 1) AS pos, min(start) AS start, max(fin) AS "end", max(thick) AS thickness
+FROM bund JOIN whole ON whole.id = bund.lab GROUP BY page_id, axis, line"""
 
 _RAILS = f"""seg AS ({X.SEGMENT_SQL}),
 r1 AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY page_id, axis ORDER BY pos) > 2 THEN 1 ELSE 0 END AS brk FROM seg),
@@ -207,7 +210,44 @@ ENTRIES = {
  SELECT b.page_id, b.y1, b.y2, min(b.x1) AS x_first, any_value(n.cells) AS cells, max(residual) AS residual,
   array_to_string(list_transform(list_sort(list(DISTINCT b.x)), lambda v: printf('%.1f', v)), ',') AS signature FROM b JOIN n USING (page_id, y1, y2, part) GROUP BY b.page_id, b.y1, b.y2, b.part""",
     ),
-    "table_suggestions": Entry(table_suggestions),
+    "table_suggestions": Entry(
+        table_suggestions,
+        "WITH RECURSIVE " + _KEPT + f""",
+ places AS ({X.form_ctes()} SELECT template_id, face_id, layer, x, y, w, h FROM places),""" + """
+ nc AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, y2, x2) - 1 AS cell FROM judged WHERE reason = 'cell'),
+ ns AS (SELECT *, CASE WHEN x1 - lag(x2) OVER (PARTITION BY page_id, y1, y2 ORDER BY x1) > 2 THEN 1 ELSE 0 END AS brk FROM nc),
+ ng AS (SELECT *, sum(brk) OVER (PARTITION BY page_id, y1, y2 ORDER BY x1) AS part FROM ns),
+ nb AS (SELECT page_id, y1, y2, part, unnest([round(x1, 1), round(x2, 1)]) AS x FROM ng),
+ nx AS (SELECT page_id, x, sum(brk) OVER (PARTITION BY page_id ORDER BY x) AS place
+   FROM (SELECT page_id, x, CASE WHEN x - lag(x) OVER (PARTITION BY page_id ORDER BY x) > 2 THEN 1 ELSE 0 END AS brk FROM (SELECT DISTINCT page_id, x FROM nb) u) v),
+ nf AS (SELECT nb.page_id, y1, y2, part, list_sort(list(DISTINCT nb.x)) AS bounds, list_sort(list(DISTINCT nx.place)) AS fam FROM nb JOIN nx ON nx.page_id = nb.page_id AND nx.x = nb.x GROUP BY ALL),
+ nr AS (SELECT ng.page_id, ng.y1, ng.y2, ng.part, any_value(bounds) AS bounds, any_value(fam) AS fam, min(x1) AS x_first, max(residual) AS residual, list(cell) AS cells
+   FROM ng JOIN nf USING (page_id, y1, y2, part) GROUP BY ng.page_id, ng.y1, ng.y2, ng.part),
+ n1 AS (SELECT *, y1 - lag(y1) OVER o AS step, lag(y2 - y1) OVER o AS above FROM nr WINDOW o AS (PARTITION BY page_id, fam ORDER BY y1, y2, part)),
+ n2 AS (SELECT *, sum(CASE WHEN step > 3.0 * greatest(above, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, fam ORDER BY y1, y2, part) AS stack FROM n1),
+ n3 AS (SELECT *, row_number() OVER (PARTITION BY page_id, fam, stack ORDER BY y1, y2, part) AS place FROM n2),
+ n4 AS (SELECT page_id, fam, stack, count(*) AS n, median(y2 - y1) FILTER (place >= 2) AS middle, max(y2 - y1) FILTER (place = 1) AS top, list(step ORDER BY place) FILTER (place >= 3) AS steps FROM n3 GROUP BY ALL),
+ n5 AS (SELECT page_id, fam, stack FROM n4 WHERE n >= 3 AND middle > 0 AND abs(top - middle) > 0.20 * middle AND list_max(list_transform(steps, lambda g: abs(g - steps[1]))) <= 2),
+ n6 AS (SELECT n3.*, n5.stack IS NOT NULL AND place = 2 AS after_heading, row_number() OVER (PARTITION BY n3.page_id, n3.fam ORDER BY y1, y2, part) AS k
+   FROM n3 LEFT JOIN n5 ON n5.page_id = n3.page_id AND n5.fam = n3.fam AND n5.stack = n3.stack WHERE NOT (n5.stack IS NOT NULL AND place = 1)),
+ go(page_id, fam, k, head, first_step, y) AS (
+   SELECT page_id, fam, k, k, NULL::DOUBLE, y1 FROM n6 WHERE k = 1
+   UNION ALL SELECT q.page_id, q.fam, q.k, CASE WHEN abs(q.y1 - go.y - go.first_step) > 2 THEN q.k ELSE go.head END,
+     CASE WHEN abs(q.y1 - go.y - go.first_step) > 2 THEN NULL ELSE coalesce(go.first_step, q.y1 - go.y) END, q.y1
+   FROM go JOIN n6 q ON q.page_id = go.page_id AND q.fam = go.fam AND q.k = go.k + 1),
+ tb AS (SELECT page_id, fam, head, list(n6 ORDER BY k) AS r, flatten(list(cells)) AS cells FROM go JOIN n6 USING (page_id, fam, k) GROUP BY page_id, fam, head HAVING count(*) > 1),
+ t2 AS (SELECT *, len(r) AS n, (r[-1].y1 - r[1].y1) / (len(r) - 1) AS pitch, list_transform(r[1].bounds, lambda b: round_even(b, 0)::BIGINT - round_even(r[1].x_first, 0)::BIGINT) AS edges FROM tb),
+ t3 AS (SELECT page_id, 'form-' || (page_id % 25) AS template_id, round_even(r[1].x_first, 0)::BIGINT AS origin_x, round_even(r[1].y1, 0)::BIGINT AS origin_y,
+   round_even(r[1].bounds[-1] - r[1].x_first, 0)::BIGINT AS width, round_even(r[-1].y2 - r[1].y1, 0)::BIGINT AS height, n AS rows, round_even(pitch, 2) AS row_pitch,
+   round_even(list_sort(list_transform(r, lambda x: x.y2 - x.y1))[n // 2 + 1], 0)::BIGINT AS row_height,
+   array_to_string(list_transform(range(1, len(edges)), lambda i: edges[i] || '+' || (edges[i + 1] - edges[i])), ',') AS columns,
+   round_even(greatest(list_max(list_transform(r, lambda x, i: abs(x.y1 - (r[1].y1 + pitch * (i - 1))))), list_max(list_transform(r, lambda x: x.residual))), 2) AS residual,
+   array_to_string(list_sort(cells), ',') AS cell_indexes, r[1].after_heading AS heading_excluded FROM t2),
+ t4 AS (SELECT *, CASE WHEN origin_x + width / 2.0 >= 1800 OR origin_y + height / 2.0 >= 1200 THEN NULL WHEN origin_y + height / 2.0 < 700 THEN CASE WHEN origin_x + width <= 1800 AND origin_y + height <= 700 THEN 'front' ELSE 'straddle' END
+   ELSE CASE WHEN origin_y >= 700 AND origin_x + width <= 1800 AND origin_y + height <= 1200 THEN 'back' ELSE 'straddle' END END AS face FROM t3)
+ SELECT t4.*, EXISTS (SELECT 1 FROM places p WHERE p.template_id = t4.template_id AND p.face_id = t4.face AND p.layer = 0 AND t4.origin_x < p.x + p.w AND p.x < t4.origin_x + t4.width
+   AND t4.origin_y - CASE t4.face WHEN 'back' THEN 700 ELSE 0 END < p.y + p.h AND p.y < t4.origin_y - CASE t4.face WHEN 'back' THEN 700 ELSE 0 END + t4.height) AS overlaps FROM t4""",
+    ),
     "ruled_grid": Entry(
         ruled_grid,
         f"""WITH l AS ({X.LINE_SQL}), h AS (SELECT page_id, list_sort(list(DISTINCT pos)) AS h FROM l WHERE pos % 2 = 0 GROUP BY 1 HAVING count(DISTINCT pos) >= 3),

@@ -58,7 +58,7 @@ def test_tables_and_headings(spark):
     rows = U.table_rows(out.cells)
     got = {}
     for r in U.table_suggestions(rows).collect():
-        got.setdefault(r["page_id"], []).append((r["rows"], r["columns"], r["row_pitch"], r["row_height"], r["heading_excluded"]))
+        got.setdefault(r["page_id"], []).append((r["rows"], len(r["columns"]), r["row_pitch"], r["row_height"], r["heading_excluded"]))
     assert got[1] == [(5, 3, 80.0, 80, False)]
     assert got[2] == [(5, 3, 80.0, 80, True)]
     assert sorted(got[3]) == [(3, 2, 70.0, 70, False), (3, 3, 70.0, 70, False)]
@@ -66,6 +66,46 @@ def test_tables_and_headings(spark):
     assert cells[1] == 15 and cells[2] == 18
 
 
+def test_blocks_side_by_side(spark):
+    """Two blocks on the same horizontal rails are two tables with the columns and cells of their own."""
+    runs = table(1, 100, 100, 2, 2, 50) + table(1, 700, 100, 2, 2, 50)
+    out = frames(spark, runs)
+    found = sorted(U.table_suggestions(U.table_rows(out.cells)).collect(), key=lambda r: r["origin_x"])
+    assert out.cells.count() == 8
+    assert [(r["origin_x"], r["rows"], [(c["x_offset"], c["width"]) for c in r["columns"]], r["cell_indexes"]) for r in found] == [
+        (100, 2, [(0, 100), (100, 100)], [0, 1, 4, 5]), (700, 2, [(0, 100), (100, 100)], [2, 3, 6, 7]),
+    ]
+
+
+def test_rail_scatter_is_residual(spark):
+    """A line two pixels off the middle rail, far from the table, moves the rail and shows in the residual."""
+    plain = table(1, 100, 100, 2, 2, 100) + table(2, 100, 100, 2, 2, 100) + h(2, 202, 700, 1100)
+    got = {r["page_id"]: r["residual"] for r in U.table_suggestions(U.table_rows(frames(spark, plain).cells)).collect()}
+    assert got[1] == 0.0 and abs(got[2] - 1.0) <= 0.3
+
+
+def test_pitch_breaks_a_run(spark):
+    """Rows at another pitch are another table; the row at the border stays with the first one."""
+    rows = [(1, float(y), y + 30.0, 0, 10.0, [10.0, 60.0], 0.0, 1, [i]) for i, y in enumerate((0, 40, 80, 150, 220, 290))]
+    schema = "page_id LONG, y1 DOUBLE, y2 DOUBLE, part LONG, x_first DOUBLE, bounds ARRAY<DOUBLE>, residual DOUBLE, cells LONG, cell_indexes ARRAY<INT>"
+    got = sorted((r["origin_y"], r["rows"], r["row_pitch"], r["cell_indexes"]) for r in U.table_suggestions(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, 3, 40.0, [0, 1, 2]), (150, 3, 70.0, [3, 4, 5])]
+
+
+def test_linked_parts():
+    """Chains of any order are one part each; parts are numbered by their first member."""
+    rnd = random.Random(5)
+    for _ in range(50):
+        n = rnd.randrange(1, 40)
+        links = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randrange(0, n))]
+        part = list(range(n))
+        for a, b in links:
+            part = [part[b] if x == part[a] else x for x in part]
+        names = list(dict.fromkeys(part))
+        a, b = (U.np.array([link[k] for link in links], int) for k in (0, 1))
+        assert U.linked(n, a, b).tolist() == [names.index(x) for x in part]
+
+
 def test_too_many_rails(spark):
     rows = [(1, "h", float(i * 10), 0, 500, 1) for i in range(205)] + [(1, "v", float(i * 100), 0, 2100, 1) for i in range(3)]
     segments = spark.createDataFrame(rows, U.SEGMENT_SCHEMA)
@@ -113,17 +153,17 @@ def brute_segments(runs):
         ys = [parts[i][0] for i in g]
         if len(set(ys)) <= 12:
             bundles.append([round(sum(ys) / len(ys), 1), min(parts[i][1] for i in g), max(parts[i][2] for i in g), len(set(ys))])
-    merged = []
-    for b in sorted(bundles, key=lambda q: q[0]):
-        for m in merged:
-            gap = b[1] - m[2] - 1 if b[1] > m[2] else m[1] - b[2] - 1 if m[1] > b[2] else 0
-            if abs(m[0] - b[0]) <= 2 and gap <= 12:
-                lm, lb = m[2] - m[1] + 1, b[2] - b[1] + 1
-                m[:] = [round((m[0] * lm + b[0] * lb) / (lm + lb), 1), min(m[1], b[1]), max(m[2], b[2]), max(m[3], b[3])]
-                break
-        else:
-            merged.append(b)
-    return sorted(tuple(m) for m in merged)
+    free, lines = set(range(len(bundles))), []
+    while free:
+        line = {free.pop()}
+        while new := {i for i in free for b in (bundles[j] for j in line) if abs(bundles[i][0] - b[0]) <= 2 and max(bundles[i][1] - b[2], b[1] - bundles[i][2]) - 1 <= 12}:
+            line |= new
+            free -= new
+        own = [bundles[i] for i in sorted(line)]
+        pixels = sum(b[2] - b[1] + 1 for b in own)
+        at = round(sum(b[0] * (b[2] - b[1] + 1) for b in own) / pixels, 1)
+        lines.append((at, min(b[1] for b in own), max(b[2] for b in own), max(b[3] for b in own)))
+    return sorted(lines)
 
 
 def test_segments_against_brute_force(spark):
