@@ -213,43 +213,54 @@ def risky_cells(values: DataFrame) -> DataFrame:
     ).select("page_id", "column")
 
 
-def value_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """C20: differing cells of two extraction versions, without their values."""
-    return (
-        a.select("page_id", "column", F.col("value").alias("va"))
-        .join(b.select("page_id", "column", F.col("value").alias("vb")), ["page_id", "column"])
-        .withColumn("differs", ~F.col("va").eqNullSafe(F.col("vb")))
-        .select("page_id", "column", "differs")
-    )
+def version_pages(values: DataFrame) -> DataFrame:
+    """C20: one row a page: a digest of its values in column order, their number, and the values themselves packed.
+
+    Rows of a page come from one fan-out of the page, so this is the only shuffle of the long form.
+    """
+    cell = F.struct("column", F.col("value").isNull().alias("none"), F.coalesce("value", F.lit("")).alias("value"))
+    packed = values.groupBy("page_id").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    return packed.select("page_id", F.xxhash64("cells").alias("digest"), F.size("cells").cast("long").alias("n"), "cells")
 
 
-def diff_summary(diff: DataFrame) -> DataFrame:
-    """C20: pages, changed pages, compared and differing cells.
+def page_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """C20: (page_id, cells, diffs) of two versions, with ``diffs`` the names of the columns that differ.
 
-    Per page first: the page totals are one row per page, so the distinct
-    counts need no second shuffle of the cells.
+    A page or a column that only one version has differs. Pages are compared by their digests; only those whose digests
+    differ are looked at cell by cell, within their row.
     """
-    per_page = diff.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("cells"), F.count_if("differs").alias("diffs")
-    )
-    return per_page.agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.count_if(F.col("diffs") > 0).alias("pages_changed"),
-        F.coalesce(F.sum("cells"), F.lit(0)).alias("cells_compared"),
-        F.coalesce(F.sum("diffs"), F.lit(0)).alias("diff_cells"),
+    left = version_pages(a).select("page_id", *[F.col(c).alias(f"a_{c}") for c in ("digest", "n", "cells")])
+    right = version_pages(b).select("page_id", *[F.col(c).alias(f"b_{c}") for c in ("digest", "n", "cells")])
+    both = left.join(right, "page_id", "full")
+    none = F.array().cast("array<struct<column:string,none:boolean,value:string>>")
+    own, other = F.coalesce("a_cells", none), F.coalesce("b_cells", none)
+    names = lambda cells: F.transform(cells, lambda c: c["column"])
+    loose = F.concat(F.array_except(own, other), F.array_except(other, own))
+    same = F.coalesce(F.col("a_digest") == F.col("b_digest"), F.lit(False))
+    no_diff = F.array().cast("array<string>")
+    every = F.when(same, F.col("a_n")).otherwise(F.size(F.array_union(names(own), names(other))).cast("long"))
+    return both.select("page_id", every.alias("cells"), F.when(same, no_diff).otherwise(F.array_sort(F.array_distinct(names(loose)))).alias("diffs"))
+
+
+def diff_summary(pages: DataFrame) -> DataFrame:
+    """C20: pages, changed pages, compared and differing cells of ``page_diff``."""
+    n = F.size("diffs").cast("long")
+    return pages.agg(
+        F.count(F.lit(1)).alias("pages"), F.count_if(n > 0).alias("pages_changed"),
+        F.coalesce(F.sum("cells"), F.lit(0)).alias("cells_compared"), F.coalesce(F.sum(n), F.lit(0)).alias("diff_cells"),
     )
 
 
-def first_diffs(diff: DataFrame, limit: int = 200) -> DataFrame:
-    """The first differing cells in order, with the total and a truncated flag.
+def first_diffs(pages: DataFrame, limit: int = 200) -> DataFrame:
+    """The first differing cells of ``page_diff`` in order, with the total and a truncated flag.
 
-    The differing cells are written once; their count is one number, and
+    The changed pages are written once; their number of cells is one sum, and
     ``orderBy().limit()`` keeps ``limit`` rows per task before merging.
     """
-    changed = kept(diff.filter("differs").select("page_id", "column"))
-    total = changed.count()
+    changed = kept(pages.filter(F.size("diffs") > 0).select("page_id", "diffs"))
+    total = changed.agg(F.coalesce(F.sum(F.size("diffs").cast("long")), F.lit(0)).alias("n")).first().n
     return (
-        changed.orderBy("page_id", "column").limit(limit)
+        changed.select("page_id", F.explode("diffs").alias("column")).orderBy("page_id", "column").limit(limit)
         .withColumn("total", F.lit(total)).withColumn("truncated", F.lit(total > limit))
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import lines as L
 from formloom.operators import runs as U
+from formloom.operators import snapping as G
 from formloom.plans import fixtures as X
 from formloom.plans.catalog import Entry
 from formloom.session import kept
@@ -164,6 +165,30 @@ def new_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return L.new_overlaps(L.apply_shift(_block_rects(spark, d), L.snap_plan(_blocks(spark, d), wide)))
 
 
+def overlap_index(spark: SparkSession, d: str) -> DataFrame:
+    """Moves of up to ten pixels each, so differences of up to twenty."""
+    return G.overlap_index(_block_rects(spark, d), 20)
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    """Moves of up to four pixels; some forms have a face without tables, others one with a small table."""
+    number = F.substring("template_id", 6, 9).cast("int")
+    blocks = _blocks(spark, d).withColumn("block_expected", F.when((number % 7 == 3) & (F.col("face_id") == "front"), F.lit(4)).otherwise(F.col("block_expected")))
+    tolerance = _tolerance(spark, d).withColumn("row_gap", F.lit(4))
+    blockless = (number % 5 == 1) & (F.col("face_id") == "back")
+    faces = tolerance.groupBy("template_id", "face_id").agg(F.count(F.lit(1)).alias("n")).withColumn("n_blocks", F.when(blockless, 0).otherwise(F.col("n")))
+    index = kept(G.overlap_index(_block_rects(spark, d), 8))
+    return G.snap_gate(faces, _estimates(spark, d), L.snap_plan(blocks, tolerance), index)
+
+
+def snap_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, d).drop("template_id")
+
+
+def snap_counters(spark: SparkSession, d: str) -> DataFrame:
+    return G.snap_counters(_gated(spark, d)).groupBy("counted").agg(F.count(F.lit(1)).alias("pages"))
+
+
 def otsu_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return L.otsu_threshold(X.from_sql(spark, d, X.HIST_SQL, "events"), ["grp"])
 
@@ -252,6 +277,15 @@ _BLOCKS = _EST + f""", okp AS (SELECT page_id, template_id, face_id, dy FROM est
   FROM plan p JOIN rect r ON r.template_id = p.template_id AND r.face_id = p.face_id)
 """
 
+_GATE = _BLOCKS.format(tol=4) + """, np AS (SELECT a.page_id, a.face_id, count(*) AS n FROM moved a JOIN moved b ON a.page_id = b.page_id AND a.face_id = b.face_id AND a.field_id < b.field_id
+ AND a.new_y < b.new_y + b.h AND b.new_y < a.new_y + a.h AND NOT (a.y < b.y + b.h AND b.y < a.y + a.h) GROUP BY 1, 2),
+gate0 AS (SELECT e.page_id, e.face_id, e.reason AS off, p.failsafe, p.dl, coalesce(np.n, 0) AS n, CAST(split_part(e.template_id, '-', 2) AS INT) AS num
+ FROM est e LEFT JOIN plan p ON p.page_id = e.page_id AND p.face_id = e.face_id LEFT JOIN np ON np.page_id = e.page_id AND np.face_id = e.face_id),
+gate1 AS (SELECT *, num % 7 = 3 AND face_id = 'front' AS small FROM gate0),
+gate AS (SELECT page_id, face_id, CASE WHEN off <> '' THEN 'no_estimate' WHEN num % 5 = 1 AND face_id = 'back' THEN 'no_blocks' WHEN small THEN 'excluded' WHEN failsafe THEN 'failsafe'
+ WHEN n > 0 THEN 'overlap' ELSE '' END AS reason, CASE WHEN off <> '' OR small OR failsafe THEN 0 ELSE n END AS new_pairs, list_max(list_transform(dl, lambda v: abs(v))) AS far FROM gate1)
+"""
+
 ENTRIES = {
     "shift_estimates": Entry(
         shift_estimates, _EST + "SELECT page_id, face_id, dx, dy, matched, det_h, det_v, matched_uniq, at_boundary, reason FROM est"
@@ -304,6 +338,18 @@ ENTRIES = {
         new_overlaps,
         _BLOCKS.format(tol=4) + """SELECT a.page_id, a.face_id, count(*) AS new_pairs FROM moved a JOIN moved b ON a.page_id = b.page_id AND a.face_id = b.face_id AND a.field_id < b.field_id
  AND a.new_y < b.new_y + b.h AND b.new_y < a.new_y + a.h AND NOT (a.y < b.y + b.h AND b.y < a.y + a.h) GROUP BY 1, 2""",
+    ),
+    "overlap_index": Entry(
+        overlap_index,
+        _BLOCKS.format(tol=4) + """, r AS (SELECT *, coalesce(block_idx, -1) AS block FROM rect), q AS (SELECT a.template_id, a.face_id, a.block AS a_block, b.block AS b_block, b.y - a.y - a.h AS lo, b.y + b.h - a.y AS hi
+ FROM r a JOIN r b ON a.template_id = b.template_id AND a.face_id = b.face_id AND a.block < b.block AND a.field_id <> b.field_id)
+ SELECT template_id, face_id, a_block, b_block, lo, hi, count(*) AS n FROM q WHERE (lo >= 0 OR hi <= 0) AND lo < 20 AND hi > -20 GROUP BY ALL""",
+    ),
+    "snap_gate": Entry(snap_gate, _GATE + "SELECT page_id, face_id, reason, reason = '' AS applied, new_pairs, CASE WHEN reason = '' THEN far END AS snap_px FROM gate"),
+    "snap_counters": Entry(
+        snap_counters,
+        _GATE + """, c AS (SELECT page_id, CASE WHEN bool_or(reason = 'excluded') THEN 'excluded' WHEN bool_or(reason IN ('failsafe', 'overlap')) THEN 'failsafe' ELSE 'none' END AS counted FROM gate GROUP BY 1)
+ SELECT counted, count(*) AS pages FROM c GROUP BY 1""",
     ),
     "otsu_thresholds": Entry(
         otsu_thresholds,

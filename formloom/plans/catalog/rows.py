@@ -74,12 +74,12 @@ def wide_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def version_diff(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two_versions(spark, d)
-    return R.diff_summary(R.value_diff(a, b))
+    return R.diff_summary(R.page_diff(a, b))
 
 
 def first_version_diffs(spark: SparkSession, d: str) -> DataFrame:
     a, b = _two_versions(spark, d)
-    return R.first_diffs(R.value_diff(a, b))
+    return R.first_diffs(R.page_diff(a, b))
 
 
 def _two_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
