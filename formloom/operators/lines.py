@@ -16,7 +16,7 @@ from formloom.operators.lint import template_profile
 from formloom.operators.ranges import overlapping_pairs
 from formloom.operators.sizing import broadcast_if_small
 from formloom.session import kept
-from formloom.sources.templates import TEMPLATE_SCHEMA, expand_templates
+from formloom.sources.templates import ANCHOR_SEARCH, BASE_DPI, TEMPLATE_SCHEMA, expand_templates
 
 # Fixed values, px at 300 dpi and ratios.
 LINE_GAP = 6
@@ -26,6 +26,7 @@ RUNNER_DISTANCE = 4
 EDGE_SLACK = 2
 DETECT_RATIO = 0.5
 SNAP_MIN_LINES = 4
+SEARCH_SPARE = 2
 CLEAR_LEAD = 0.1
 ASPECT_BUCKET = 0.0102
 
@@ -66,11 +67,55 @@ def line_positions(profile: DataFrame, keys: list[str], threshold: Column, gap:
     )
 
 
+def expected_lines(faces: DataFrame) -> DataFrame:
+    """The lines that the documents of ``faces`` (from ``expand_templates``) say are printed, one row a line.
+
+    A face with tables has the row and column lines of each block, with its number; two blocks may have equal lines. A
+    face without has the sides of its fields that are long enough to show as lines. ``limit`` is how far the face is
+    searched along the axis: less than half of the closest lines of its blocks, or a fixed length for fields; ``apart``
+    is the distance from which a second shift is a rival. ``is_edge`` marks the first and last row line of each block,
+    or the outermost lines of both axes of a face without tables. Lengths grow with the resolution of the document.
+    """
+    keys = ["template_id", "face_id"]
+
+    def scaled(px: int, least: int) -> Column:
+        return F.greatest(F.lit(least), F.bround(F.lit(px) * F.col("dpi") / BASE_DPI).cast("int"))
+
+    def reach(name: str) -> Column:
+        """Less than half of the smallest distance of neighbouring lines in any block; null without neighbours."""
+
+        def steps(g: Column) -> Column:
+            at = F.array_sort(g[name])
+            return F.zip_with(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), lambda b, a: b - a)
+
+        return F.floor(F.array_min(F.flatten(F.transform("geoms", steps))) / 2).cast("int") - SEARCH_SPARE
+
+    along_x, along_y = reach("v_lines"), reach("h_lines")
+    closed = along_x.isNull() | along_y.isNull()
+    known = faces.withColumn("n_x", F.when(closed, 0).otherwise(F.greatest(along_x, F.lit(0)))).withColumn(
+        "n_y", F.when(closed, 0).otherwise(F.greatest(along_y, F.lit(0)))
+    ).withColumn("anchor", scaled(ANCHOR_SEARCH, 0)).withColumn("apart", scaled(RUNNER_DISTANCE, 1))
+    blocks = known.select(*keys, "is_table", "n_x", "n_y", "anchor", "apart", F.posexplode("geoms").alias("block", "g"))
+
+    def of(axis: str, name: str) -> Column:
+        ends = F.array(F.array_min(F.col("g")[name]), F.array_max(F.col("g")[name]))
+        return F.transform(F.col("g")[name], lambda p: F.struct(F.lit(axis).alias("axis"), p.alias("pos"), F.array_contains(ends, p).alias("end")))
+
+    lines = blocks.select(*[c for c in blocks.columns if c != "g"], F.explode(F.concat(of("h", "h_lines"), of("v", "v_lines"))).alias("l"))
+    # one window per face of a document
+    face = Window.partitionBy(*keys, "l.axis")
+    outer = (F.col("l.pos") == F.min("l.pos").over(face)) | (F.col("l.pos") == F.max("l.pos").over(face))
+    return lines.select(
+        *keys, "l.axis", F.when(F.col("is_table"), F.col("block")).alias("block_idx"), "l.pos",
+        F.when(F.col("is_table"), F.when(F.col("l.axis") == "h", F.col("n_y")).otherwise(F.col("n_x"))).otherwise(F.col("anchor")).alias("limit"),
+        "apart", F.when(F.col("is_table"), (F.col("l.axis") == "h") & F.col("l.end")).otherwise(outer).alias("is_edge"),
+    )
+
+
 def expected_stats(expected: DataFrame, keys: list[str]) -> DataFrame:
     """Expected lines of a template per ``keys`` as arrays; duplicates stay in ``lines``."""
-    return expected.groupBy(*keys).agg(
-        F.sort_array(F.collect_list("pos")).alias("lines"), F.max("limit").alias("limit")
-    )
+    apart = [F.max("apart").alias("apart")] if "apart" in expected.columns else []
+    return expected.groupBy(*keys).agg(F.sort_array(F.collect_list("pos")).alias("lines"), F.max("limit").alias("limit"), *apart)
 
 
 def axis_votes(detected: DataFrame, stats: DataFrame, page_keys: list[str], template_keys: list[str]) -> DataFrame:
@@ -98,9 +143,11 @@ def axis_votes(detected: DataFrame, stats: DataFrame, page_keys: list[str], temp
 def axis_shift(votes: DataFrame, base: DataFrame, keys: list[str], runner_distance: int = RUNNER_DISTANCE) -> DataFrame:
     """Best shift per key, its votes, the best distant rival, and whether it hits the limit.
 
-    ``base`` holds every key with ``lines`` and ``limit``. Ties go to the
+    ``base`` holds every key with ``lines`` and ``limit``, and with ``apart``
+    where the distance of rivals depends on the document. Ties go to the
     smaller shift, then to the negative one; without votes the shift is 0.
     """
+    rival = F.col("apart") if "apart" in base.columns else F.lit(runner_distance)
     packed = votes.groupBy(*keys).agg(F.collect_list(F.struct("votes", "shift")).alias("v"))
     best = F.array_max(
         F.transform(
@@ -110,7 +157,7 @@ def axis_shift(votes: DataFrame, base: DataFrame, keys: list[str], runner_distan
     out = base.join(packed, keys, "left").withColumn("b", best)
     shift = F.coalesce(-F.col("b.neg"), F.lit(0))
     out = out.withColumn("shift", shift).withColumn("votes", F.coalesce("b.votes", F.lit(0)))
-    far = F.filter("v", lambda t: F.abs(t["shift"] - F.col("shift")) >= runner_distance)
+    far = F.filter("v", lambda t: F.abs(t["shift"] - F.col("shift")) >= rival)
     return out.select(
         *[c for c in base.columns], "shift", "votes",
         F.coalesce(F.array_max(F.transform(far, lambda t: t["votes"])), F.lit(0)).alias("runner"),

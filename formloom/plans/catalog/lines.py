@@ -11,22 +11,20 @@ from formloom.operators import snapping as G
 from formloom.plans import fixtures as X
 from formloom.plans.catalog import Entry
 from formloom.session import kept
-
-LIMIT = 20
-
+from formloom.sources.templates import expand_templates
 
 def found_lines(spark: SparkSession, d: str) -> DataFrame:
     return X.from_sql(spark, d, X.FOUND_SQL, "lineitem")
 
 
 def printed_lines(spark: SparkSession, d: str) -> DataFrame:
-    listed = F.array(*[
-        F.struct(F.lit(f).alias("face_id"), F.lit(a).alias("axis"), F.lit(1 if a == "h" and i >= 6 else 0).alias("block_idx"), F.lit(i * 60).alias("pos"))
-        for f in ("front", "back") for a in ("h", "v") for i in range(12)
-    ])
-    return X.table(spark, d, "nation").select(
-        F.concat(F.lit("form-"), F.col("n_nationkey").cast("string")).alias("template_id"), F.explode(listed).alias("l")
-    ).select("template_id", "l.*", F.lit(LIMIT).alias("limit"))
+    """What the documents of the ruled forms say is printed."""
+    return kept(L.expected_lines(X.ruled_tables(spark, d).faces))
+
+
+def expected_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of forms with tables on one face and single fields on the other."""
+    return L.expected_lines(X.form_tables(spark, d).faces)
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -57,11 +55,8 @@ CANDIDATES = (("even", 60, 12), ("wide", 80, 9), ("dense", 40, 17), ("half", 120
 
 def candidate_matches(spark: SparkSession, d: str) -> DataFrame:
     """Every page against four forms; the list of forms is the candidate set of its aspect."""
-    listed = F.array(*[
-        F.struct(F.lit(n).alias("template_id"), F.lit(f).alias("face_id"), F.lit(a).alias("axis"), F.lit(0).alias("block_idx"), F.lit(i * p).alias("pos"))
-        for n, p, k in CANDIDATES for f in ("front", "back") for a in ("h", "v") for i in range(k)
-    ])
-    expected = spark.range(1).select(F.explode(listed).alias("l")).select("l.*", F.lit(LIMIT).alias("limit"))
+    docs = [F.lit(X.ruled_form([(0, k - 1)], p, k - 1).replace("@id", n)) for n, p, k in CANDIDATES]
+    expected = kept(L.expected_lines(expand_templates(spark.range(1).select(F.explode(F.array(*docs)).alias("body"))).faces))
     pages = _pages(spark, d).select("page_id", F.explode(F.array(*[F.lit(n) for n, _, _ in CANDIDATES])).alias("template_id"))
     faces = L.face_verdicts(L.match_lines(pages, found_lines(spark, d), expected)).withColumn(
         "face_ord", F.when(F.col("face_id") == "front", 0).otherwise(1)
@@ -209,17 +204,17 @@ u AS (SELECT page_id, scan, isle, max(e) - min(s) AS len FROM i GROUP BY 1, 2, 3
 """
 
 
-def _estimate_ctes(pages: str, printed: str, limit: int = LIMIT) -> str:
+def _estimate_ctes(pages: str, printed: str) -> str:
     """CTE est (page_id, template_id, face_id, ...) by comparing every shift with every line."""
     return f"""
 pg AS ({pages}), pr AS ({printed}), fo AS ({X.FOUND_SQL}),
 det AS (SELECT DISTINCT page_id, face_id, axis, pos FROM fo),
-sh AS (SELECT unnest(range(-{limit}, {limit} + 1))::INT AS s),
+sh AS (SELECT unnest(range(-60, 61))::INT AS s),
 ex AS (SELECT *, row_number() OVER () AS eid FROM pr),
-near0 AS (SELECT p.page_id, p.template_id, e.face_id, e.axis, e.eid, d.pos - e.pos AS diff FROM pg p JOIN ex e USING (template_id)
-  JOIN det d ON d.page_id = p.page_id AND d.face_id = e.face_id AND d.axis = e.axis AND abs(d.pos - e.pos) <= {limit} + 1),
-vote AS (SELECT n.page_id, n.template_id, n.face_id, n.axis, sh.s, count(DISTINCT n.eid) AS votes FROM near0 n JOIN sh ON abs(n.diff - sh.s) <= 1 GROUP BY ALL),
-base AS (SELECT p.page_id, p.template_id, e.face_id, e.axis, count(*) AS n_exp, count(DISTINCT e.pos) AS n_uniq FROM pg p JOIN ex e USING (template_id) GROUP BY ALL),
+near0 AS (SELECT p.page_id, p.template_id, e.face_id, e.axis, e.eid, e.lim, d.pos - e.pos AS diff FROM pg p JOIN ex e USING (template_id)
+  JOIN det d ON d.page_id = p.page_id AND d.face_id = e.face_id AND d.axis = e.axis AND abs(d.pos - e.pos) <= e.lim + 1),
+vote AS (SELECT n.page_id, n.template_id, n.face_id, n.axis, sh.s, count(DISTINCT n.eid) AS votes FROM near0 n JOIN sh ON abs(n.diff - sh.s) <= 1 AND abs(sh.s) <= n.lim GROUP BY ALL),
+base AS (SELECT p.page_id, p.template_id, e.face_id, e.axis, count(*) AS n_exp, count(DISTINCT e.pos) AS n_uniq, max(e.lim) AS lim FROM pg p JOIN ex e USING (template_id) GROUP BY ALL),
 best AS (SELECT * FROM vote QUALIFY row_number() OVER (PARTITION BY page_id, template_id, face_id, axis ORDER BY votes DESC, abs(s), s) = 1),
 ax AS (SELECT b.*, coalesce(t.s, 0) AS s, coalesce(t.votes, 0) AS votes,
   coalesce((SELECT max(v.votes) FROM vote v WHERE v.page_id = b.page_id AND v.template_id = b.template_id AND v.face_id = b.face_id AND v.axis = b.axis AND abs(v.s - coalesce(t.s, 0)) >= 4), 0) AS runner
@@ -235,8 +230,8 @@ full0 AS (SELECT a.*, f.mu, f.edges, coalesce(c.n, 0) AS n_det, greatest(2, ceil
   LEFT JOIN cnt c ON c.page_id = a.page_id AND c.face_id = a.face_id AND c.axis = a.axis),
 est AS (SELECT page_id, template_id, face_id, max(s) FILTER (axis = 'v') AS dx, max(s) FILTER (axis = 'h') AS dy, sum(votes)::BIGINT AS matched,
   max(n_det) FILTER (axis = 'h') AS det_h, max(n_det) FILTER (axis = 'v') AS det_v, max(n_uniq) FILTER (axis = 'h') AS exp_h, max(n_uniq) FILTER (axis = 'v') AS exp_v,
-  sum(mu)::BIGINT AS matched_uniq, bool_or(abs(s) >= {limit}) AS at_boundary,
-  CASE WHEN bool_or(votes < need) THEN 'few_lines' WHEN bool_or(abs(s) >= {limit}) THEN 'boundary' WHEN bool_or(votes - runner < 2) THEN 'ambiguous'
+  sum(mu)::BIGINT AS matched_uniq, bool_or(abs(s) >= lim AND lim > 0) AS at_boundary,
+  CASE WHEN bool_or(votes < need) THEN 'few_lines' WHEN bool_or(abs(s) >= lim AND lim > 0) THEN 'boundary' WHEN bool_or(votes - runner < 2) THEN 'ambiguous'
    WHEN NOT bool_and(edges) THEN 'edge_mismatch' ELSE '' END AS reason FROM full0 GROUP BY 1, 2, 3),
 verd AS (SELECT *, CASE reason WHEN '' THEN 'match' WHEN 'boundary' THEN 'undecidable' WHEN 'edge_mismatch' THEN 'undecidable' WHEN 'ambiguous' THEN 'mismatch'
    ELSE CASE WHEN det_h < exp_h * 0.5 OR det_v < exp_v * 0.5 OR at_boundary THEN 'undecidable' ELSE 'mismatch' END END AS verdict,
@@ -247,11 +242,39 @@ folded AS (SELECT * FROM verd QUALIFY row_number() OVER (PARTITION BY page_id, t
 """
 
 
+def _expected_sql() -> str:
+    """The lines of FORM, listed document by document."""
+    rows = []
+    for face in X.FORM["faces"]:
+        f, tables = face["face_id"], face["tables"]
+        if tables:
+            b, pitches, gaps, found = 0, [], [], []
+            for t in tables:
+                edges = sorted({c["x_offset"] for c in t["columns"]} | {max(c["x_offset"] + c["width"] for c in t["columns"])})
+                gaps += [q - p for p, q in zip(edges, edges[1:])]
+                for block in t["blocks"]:
+                    y, n = block["origin"]["y"], block["rows"]
+                    found += [(b, "h", y + i * t["row_pitch"], i in (0, n)) for i in range(n + 1)] + [(b, "v", block["origin"]["x"] + e, False) for e in edges]
+                    pitches.append(t["row_pitch"])
+                    b += 1
+            limit = {"h": min(pitches) // 2 - 2, "v": min(gaps) // 2 - 2}
+            rows += [f"('{f}', '{axis}', {block}, {pos}, 0, {limit[axis]}, {str(edge).lower()})" for block, axis, pos, edge in found]
+        else:
+            rects = [c["rect"] for c in face["fields"]]
+            number = lambda v: int(str(v).lstrip("+"))
+            for axis, at, size, across in (("h", "y", "h", "w"), ("v", "x", "w", "h")):
+                ends = [p for r in rects if number(r[across]) >= 40 for p in (number(r[at]), number(r[at]) + number(r[size]))]
+                moved = int(any(str(r[at]).startswith("+") for r in rects))
+                rows += [f"('{f}', '{axis}', NULL, {p}, {moved}, 24, {str(p in (min(ends), max(ends))).lower()})" for p in ends]
+    return f"""WITH l(face_id, axis, block_idx, p, moved, lim, is_edge) AS (VALUES {', '.join(rows)})
+ SELECT 'form-' || n_nationkey AS template_id, face_id, axis, block_idx, p + moved * {X.STEP} * n_nationkey AS pos, lim AS "limit", 4 AS apart, is_edge FROM nation, l"""
+
+
 _EST = "WITH" + _estimate_ctes(X.PAGE_SQL, X.PRINTED_SQL)
 _CAND = ", ".join(f"('{n}', {p}, {k})" for n, p, k in CANDIDATES)
 _CAND_EST = "WITH" + _estimate_ctes(
     f"SELECT p.page_id, c.n AS template_id FROM ({X.PAGE_SQL}) p CROSS JOIN (VALUES {_CAND}) c(n, p, k)",
-    f"""SELECT c.n AS template_id, f.face_id, a.axis, 0 AS block_idx, (i.i * c.p)::INT AS pos FROM (VALUES {_CAND}) c(n, p, k), (VALUES ('front'), ('back')) f(face_id),
+    f"""SELECT c.n AS template_id, f.face_id, a.axis, 0 AS block_idx, (i.i * c.p)::INT AS pos, c.p // 2 - 2 AS lim FROM (VALUES {_CAND}) c(n, p, k), (VALUES ('front'), ('back')) f(face_id),
  (VALUES ('h'), ('v')) a(axis), (SELECT unnest(range(0, 17)) AS i) i WHERE i.i < c.k""",
 )
 _RANK = """, m AS (SELECT *, list_sort(list(score) FILTER (verdict = 'match') OVER (PARTITION BY page_id), 'DESC') AS ss FROM cand),
@@ -263,8 +286,8 @@ _BLOCKS = _EST + f""", okp AS (SELECT page_id, template_id, face_id, dy FROM est
  bt AS (SELECT o.page_id, o.template_id, o.face_id, e.block_idx, e.pos, o.dy FROM okp o JOIN pr e ON e.template_id = o.template_id AND e.face_id = o.face_id AND e.axis = 'h'),
  bd0 AS (SELECT t.*, d.pos - t.pos - t.dy AS diff FROM bt t LEFT JOIN bdet d ON d.page_id = t.page_id AND d.face_id = t.face_id AND d.block_idx = t.block_idx),
  bd AS (SELECT * FROM bd0 QUALIFY row_number() OVER (PARTITION BY page_id, face_id, block_idx, pos ORDER BY abs(diff), diff DESC) = 1),
- br AS (SELECT page_id, template_id, face_id, block_idx, list_sort(list(diff) FILTER (abs(diff) <= {LIMIT})) AS ds, count(*) AS n FROM bd GROUP BY ALL),
- bv0 AS (SELECT t.page_id, t.face_id, t.block_idx, sh.s, count(DISTINCT t.pos) AS votes FROM (SELECT DISTINCT page_id, face_id, block_idx, pos FROM bt) t JOIN sh ON true
+ br AS (SELECT page_id, template_id, face_id, block_idx, list_sort(list(diff) FILTER (abs(diff) <= 28)) AS ds, count(*) AS n FROM bd GROUP BY ALL),
+ bv0 AS (SELECT t.page_id, t.face_id, t.block_idx, sh.s, count(DISTINCT t.pos) AS votes FROM (SELECT DISTINCT page_id, face_id, block_idx, pos FROM bt) t JOIN sh ON abs(sh.s) <= 28
    JOIN bdet d ON d.page_id = t.page_id AND d.face_id = t.face_id AND d.block_idx = t.block_idx AND abs(d.pos - t.pos - sh.s) <= 1 GROUP BY ALL),
  bv AS (SELECT page_id, face_id, block_idx, max(votes) AS votes FROM bv0 GROUP BY ALL),
  blk AS (SELECT r.page_id, r.template_id, r.face_id, r.block_idx, coalesce(v.votes, 0) AS block_votes, n AS block_expected, coalesce(ds[((len(ds) + 1) // 2)::INT], 0) AS med,
@@ -287,6 +310,7 @@ gate AS (SELECT page_id, face_id, CASE WHEN off <> '' THEN 'no_estimate' WHEN nu
 """
 
 ENTRIES = {
+    "expected_lines": Entry(expected_lines, _expected_sql()),
     "shift_estimates": Entry(
         shift_estimates, _EST + "SELECT page_id, face_id, dx, dy, matched, det_h, det_v, matched_uniq, at_boundary, reason FROM est"
     ),

@@ -80,11 +80,32 @@ SELECT DISTINCT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id,
    + CASE WHEN l_partkey % 12 >= 6 AND l_suppkey % 4 <> 0 THEN CAST(floor(l_orderkey / 25) AS BIGINT) % 7 - 3 ELSE 0 END
   ELSE (l_partkey * 7) % 720 END AS INT) AS pos FROM lineitem"""
 
-# Printed lines: twelve per axis in two blocks (one for the vertical ones).
+# Printed lines of ruled forms: twelve rows in two blocks, each with all twelve columns.
 PRINTED_SQL = """
-SELECT concat('form-', CAST(n_nationkey AS STRING)) AS template_id, f.face_id, a.axis, CASE WHEN a.axis = 'h' AND i.i >= 6 THEN 1 ELSE 0 END AS block_idx,
- CAST(i.i * 60 AS INT) AS pos FROM nation CROSS JOIN (VALUES ('front'), ('back')) AS f(face_id) CROSS JOIN (VALUES ('h'), ('v')) AS a(axis)
- CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS i(i)"""
+SELECT concat('form-', CAST(n_nationkey AS STRING)) AS template_id, f.face_id, a.axis, b.block_idx, CAST(i.i * 60 AS INT) AS pos, 28 AS lim
+FROM nation CROSS JOIN (VALUES ('front'), ('back')) AS f(face_id) CROSS JOIN (VALUES ('h'), ('v')) AS a(axis) CROSS JOIN (VALUES (0), (1)) AS b(block_idx)
+ CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS i(i) WHERE a.axis = 'v' OR i.i // 6 = b.block_idx"""
+
+
+def ruled_form(blocks: list[tuple[int, int]], pitch: int, columns: int) -> str:
+    """A document without an id: two faces with a table of blocks (top, rows), rows and columns at one pitch."""
+    high = max(y + pitch * rows for y, rows in blocks) + pitch
+    table_of = {
+        "table_id": "t", "row_pitch": pitch, "row_height": pitch - 2, "blocks": [{"origin": {"x": 0, "y": y}, "rows": rows} for y, rows in blocks],
+        "columns": [{"name": f"c{i}", "kind": "text", "x_offset": i * pitch, "width": pitch} for i in range(columns)],
+    }
+    faces = [
+        {"face_id": f, "source": {"page_offset": 0, "rect": {"x": 0, "y": i * high, "w": 1800, "h": high}}, "exclusions": [], "fields": [], "tables": [table_of | {"table_id": f}]}
+        for i, f in enumerate(("front", "back"))
+    ]
+    return json.dumps({"schema_version": 1, "template_id": "@id", "render_dpi": 300, "image": {"width": 1800, "height": 2 * high}, "record": {"pages": 1}, "faces": faces})
+
+
+def ruled_tables(spark: SparkSession, sf_dir: str) -> TemplateTables:
+    """A ruled form for each nation."""
+    name = F.concat(F.lit("form-"), F.col("n_nationkey").cast("string"))
+    docs = table(spark, sf_dir, "nation").select(F.replace(F.lit(ruled_form([(0, 5), (360, 5)], 60, 11)), F.lit("@id"), name).alias("body"))
+    return expand_templates(docs)
 
 
 RUN_SQL = """
