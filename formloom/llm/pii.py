@@ -25,6 +25,7 @@ from itertools import takewhile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from formloom.llm.common import fresh, table, text_of
 from formloom.session import kept
@@ -223,11 +224,11 @@ def with_spans(docs: DataFrame, **options) -> tuple[DataFrame, str, str]:
     lists = both.groupBy("doc_id", "digest").agg(
         F.collect_list(F.when(F.col("base"), F.col("span"))).alias("base"), F.collect_list("span").alias("all")
     )
-    base_name, all_name, id_name, digest_name = fresh(docs, "base_spans", "all_spans", "id_", "digest_")
+    base_name, all_name, id_name, digest_name, own_id, own_digest = fresh(docs, "base_spans", "all_spans", "id_", "digest_", "own_id_", "own_digest_")
     lists = lists.select(F.col("doc_id").alias(id_name), F.col("digest").alias(digest_name), F.col("base").alias(base_name), F.col("all").alias(all_name))
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("string")).withColumn("__digest", F.sha2(text_of(), 256))
-    on = F.col("__id").eqNullSafe(F.col(id_name)) & (F.col("__digest") == F.col(digest_name))
-    out = keyed.join(lists, on, "left").drop("__id", "__digest", id_name, digest_name)
+    keyed = docs.withColumn(own_id, F.col("doc_id").cast("string")).withColumn(own_digest, F.sha2(text_of(), 256))
+    on = F.col(own_id).eqNullSafe(F.col(id_name)) & (F.col(own_digest) == F.col(digest_name))
+    out = keyed.join(lists, on, "left").drop(own_id, own_digest, id_name, digest_name)
     none = F.array().cast(f"array<{SPAN}>")
     return out.withColumn(base_name, F.coalesce(base_name, none)).withColumn(all_name, F.coalesce(all_name, none)), base_name, all_name
 
@@ -241,21 +242,32 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(StringType())
+def _covered(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts with their spans (as from ``joined``) replaced, in one pass over each; of spans that meet, the first counts.
+
+    Null texts, those without spans, come back as nulls.
+    """
+    out = []
+    for text, own in zip(texts, spans, strict=True):
+        if text is None:
+            out.append(None)
+            continue
+        parts, at = [], 0
+        for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in own.split(","))):
+            if start >= at:
+                parts += [text[at:start], f"[{kind}]"]
+            at = max(at, end)
+        out.append("".join([*parts, text[at:]]))
+    return pd.Series(out, dtype=object)
+
+
 def masked(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; n_chars follows the text, nulls stay null."""
     found, base, every = with_spans(docs, **options)
-    span = F.array_sort(F.transform(F.col(every), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"))))
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["a"] - acc["at"], F.lit(0)))
-        new = F.struct(F.concat(acc["done"], gap, F.lit("["), s["k"], F.lit("]")).alias("done"), s["b"].alias("at"))
-        kept_on = F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["b"]).alias("at"))
-        return F.when(s["a"] >= acc["at"], new).otherwise(kept_on)
-
-    rest = lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.size(every) > 0, F.aggregate(span, start, step, rest)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    some = F.size(every) > 0
+    covered = _covered(F.when(some, F.col("text")), joined(F.col(every)))  # other texts stay in the JVM
+    out = found.withColumn("text", F.when(some, covered).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

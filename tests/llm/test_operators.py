@@ -91,6 +91,16 @@ def test_pii_base(spark, sample, odd, none):
     assert pii.masked(odd).columns == odd.columns
 
 
+def test_pii_names_and_many_spans(spark):
+    """Columns with the names of inner ones stay, and a text with thousands of spans is rebuilt in one pass."""
+    many = " ".join(f"u{i}@example.com" for i in range(20_000))
+    docs = spark.createDataFrame([(1, many, "a", "b"), (2, None, "a", "b"), (3, "nothing", None, "b")], "doc_id bigint, text string, __id string, own_digest_ string")
+    got = {r.doc_id: r for r in pii.masked(docs).collect()}
+    assert pii.masked(docs).columns == docs.columns
+    assert got[1].text == " ".join(["[email]"] * 20_000) and got[2].text is None and got[3].text == "nothing"
+    assert (got[1]["__id"], got[1]["own_digest_"], got[3]["__id"]) == ("a", "b", None)
+
+
 def test_pii_learns(spark):
     """Cards behind "card number" are seeds; what follows the same words and fails as a card is found by them."""
     card = lambda i: next(c for d in range(10) if pii.luhn(c := f"41111111{i:07d}{d}"))
