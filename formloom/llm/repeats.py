@@ -3,18 +3,20 @@
 A byte is removed if a 50-byte string that covers it also starts in a document with a smaller id. All such strings of
 all texts are judged, on the input. The steps:
 
-1. Each 50-byte string has one anchor, its 28-byte string with the smallest hash, so equal strings have equal anchors.
-   Anchors go to a shard by their hash. Only anchors that two documents share can lie in a repeated string; which
-   ones these are goes back to the documents.
-2. Around each shared anchor, the run of bytes that the strings with this anchor cover is cut out. Runs go to shards by
-   anchor.
-3. A shard joins its runs, builds their suffix array by induced sorting, and finds strings of 50 bytes that neighbours in
+1. Of equal texts only the one with the smallest id is looked at; the others are copies and lose everything, if they
+   have 50 bytes. Texts lie in groups by a hash, one exchange for all steps.
+2. Each 50-byte string has one anchor, its 28-byte string with the smallest hash, so equal strings have equal anchors.
+   A group tells each shard the sorted hashes of its anchors, nothing else; a shard answers each group with those that
+   two texts have. Only these can lie in a repeated string.
+3. Groups find their anchors once more, and cut out the run of bytes that the strings with a shared anchor cover. Runs go
+   to shards by anchor; of equal runs in a group, only the one of the smallest document does.
+4. A shard joins its runs, builds their suffix array by induced sorting, and finds strings of 50 bytes that neighbours in
    the array share through permuted common prefixes. Each string gets the smallest document that has it, and documents
    after that one get the span to remove.
-4. Spans are joined to the texts and merged.
+5. Spans go back to the groups, packed, and are cut out of the texts.
 
-Shards get packed columns of a lot of texts at a time, so little is written. A passage that a third of all documents
-has costs a shard one row per lot, not one per document: what documents of one lot share is settled in the lot.
+What a group and a shard tell each other is one packed row, so a passage that a third of all documents has costs a shard
+one run per group, not one per document.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.llm.common import table, text_of
 from formloom.llm.suffixes import common_at_least, suffix_array
 
 SIZE, GRAM = 50, 28
-#: Bytes of a text that are handled at a time, bytes of texts in a lot, bytes of runs in one suffix array.
-PIECE, LOT, ARRAY = 1 << 23, 1 << 24, 1 << 20
+#: Bytes of a text that are handled at a time, bytes of runs in one suffix array.
+PIECE, ARRAY = 1 << 23, 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -71,20 +73,6 @@ def runs_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _lots(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
-    """Rows in lots of bounded size of one text column, read as bytes."""
-    lot, size = [], 0
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            lot.append(row)
-            size += len(row[column])
-            if size > LOT:
-                yield lot
-                lot, size = [], 0
-    if lot:
-        yield lot
-
-
 def packed(columns: list[np.ndarray], rest: bytes = b"") -> bytes:
     """Columns of 64-bit numbers, byte by byte so that equal high bytes lie together, and further bytes; compressed."""
     flat = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
@@ -97,13 +85,15 @@ def unpacked(pack: bytes, width: int) -> tuple[list[np.ndarray], bytes]:
     return columns, flat[8 * n * width :]
 
 
-PACKS = "part int, known boolean, pack binary"
+#: What groups and shards send each other. Known packs go through a shard as they are.
+PACKS = "part int, grp int, known boolean, pack binary"
+#: What a group is told: its texts (null kind), anchors that are shared (1), spans to remove (2).
+TOLD = "grp int, kind int, pack binary"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["part", "known", "pack"]
-    )
+def _table(rows: list[tuple]) -> pa.Table:
+    names, kinds = ("part", "grp", "known", "pack"), (pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
 def _by_part(anchor: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -125,71 +115,79 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff([*start, len(new)])
 
 
-def _anchored(parts: int):
-    """Per lot: a pack of anchors for each shard, and one of suspects that the lot knows itself.
+def _texts(left: pa.Table, told: pa.Table) -> list[tuple[int, bytes, bytes]]:
+    """Id, digest and bytes of the group's texts that aren't copies, by id; rows that repeat one count once."""
+    own = {k for k, kind in zip(told["pack"].to_pylist(), told["kind"].to_pylist(), strict=True) if kind is None}
+    found = {}
+    for doc, digest, data in zip(*[left[c].to_pylist() for c in ("doc", "digest", "data")], strict=True):
+        if digest + doc.to_bytes(8, "big", signed=True) in own:
+            found[doc, digest] = data
+    return [(*key, found[key]) for key in sorted(found)]
 
-    An anchor that several documents of the lot have makes them suspects; a shard gets it once, marked by width -1, so
-    that other lots learn of it.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, lot in enumerate(_lots(batches, 1)):
-            told = [runs_of(data) for _, data in lot]
-            anchor = np.concatenate([t[0] for t in told]).view(np.int64)
-            if not len(anchor):
-                continue
-            first, last = (np.concatenate([t[i] for t in told]) for i in (1, 2))
-            doc = np.repeat(np.array([d for d, _ in lot], np.int64), [len(t[0]) for t in told])
-            order = np.lexsort((doc, anchor))
-            anchor, first, width, doc = anchor[order], first[order], (last - first)[order], doc[order]
-            start, size = _groups(anchor)
-            many = np.repeat(doc[start] != doc[start + size - 1], size)
-            opens = np.zeros(len(anchor), bool)
-            opens[start] = True
-            sent, own = np.flatnonzero(~many | opens), np.flatnonzero(many)
-            told_width = np.where(many, -1, width)
-            rows = [(p, False, packed([c[sent[at]] for c in (anchor, doc, first, told_width)])) for p, at in _by_part(anchor[sent], parts)]
-            if len(own):
-                rows.append((int(lot[0][0] + k) % parts, True, packed([c[own] for c in (anchor, doc, first, width)])))
-            yield _batch(rows)
+def _packs(told: pa.Table, kind: int, width: int) -> list[np.ndarray]:
+    """Columns of all packs of a kind."""
+    some = [unpacked(p, width)[0] for p, k in zip(told["pack"].to_pylist(), told["kind"].to_pylist(), strict=True) if k == kind]
+    return [np.concatenate([s[i] for s in some] or [np.zeros(0, np.int64)]) for i in range(width)]
 
-    return run
 
+def _steps(ordered: np.ndarray) -> np.ndarray:
+    """Differences of ordered numbers, which take fewer bytes; ``np.cumsum`` undoes it."""
+    return np.diff(ordered, prepend=ordered.dtype.type(0)).view(np.int64)
 
-def _of_parts(batches: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
-    """Columns of all packs of one shard after the other, and their further bytes; known packs come singly."""
-    part, held, rests = None, [], []
 
-    def joined() -> tuple[list[np.ndarray], list[bytes]]:
-        return [np.concatenate([h[i] for h in held]) for i in range(width)], rests
+def _anchored(parts: int):
+    """Per group: for each shard the anchors of the group, and whether several of its texts have them."""
+
+    def run(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
+        grp = key[0].as_py()
+        anchor = np.concatenate([np.zeros(0, np.uint64), *[np.unique(runs_of(data)[0]) for _, _, data in _texts(left, told)]])
+        anchor, many = np.unique(anchor, return_counts=True)
+        own = (many > 1).astype(np.int64)
+        return _table([(p, grp, False, packed([_steps(anchor[at]), own[at]])) for p, at in _by_part(anchor, parts)])
+
+    return run
 
+
+def _of_parts(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, bool, bytes]]]:
+    """Packs of one shard after the other; known packs come singly."""
+    part, held = None, []
     for df in batches:
-        for p, known, pack in df.itertuples(index=False):
-            columns, rest = unpacked(pack, width)
+        for p, grp, known, pack in df.itertuples(index=False):
             if known:
-                yield columns, []
+                yield [(grp, known, pack)]
                 continue
             if held and p != part:
-                yield joined()
-                held, rests = [], []
+                yield held
+                held = []
             part = p
-            held.append(columns)
-            rests.append(rest)
+            held.append((grp, known, pack))
     if held:
-        yield joined()
+        yield held
+
+
+def _answers(grp: np.ndarray, kind: int, columns: list[np.ndarray], steps: bool = False) -> pd.DataFrame:
+    """One pack for each group; rows are in the order of groups."""
+    start, many = _groups(grp)
+    cuts = [slice(a, a + n) for a, n in zip(start.tolist(), many.tolist(), strict=True)] if len(grp) else []
+    packs = [packed([_steps(c[at]) if steps else c[at] for c in columns]) for at in cuts]
+    return pd.DataFrame({"grp": grp[start].astype(np.int32) if len(grp) else [], "kind": np.full(len(cuts), kind, np.int32), "pack": packs})
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Suspects: rows of anchors that another document has too. Packs of known suspects have no bytes and pass."""
-    for (anchor, doc, first, width), rests in _of_parts(batches, 4):
-        if rests:
-            order = np.lexsort((doc, anchor))
-            anchor, doc, first, width = anchor[order], doc[order], first[order], width[order]
-            start, size = _groups(anchor)
-            known = np.minimum.reduceat(width, start) < 0
-            on = np.repeat((doc[start] != doc[start + size - 1]) | known, size) & (width >= 0)
-            anchor, doc, first, width = anchor[on], doc[on], first[on], width[on]
-        yield pd.DataFrame({"doc": doc, "anchor": anchor, "first": first.astype(np.int32), "width": width.astype(np.int32)})
+    """To each group, those of its anchors that two texts have, of the group or of all."""
+    for packs in _of_parts(batches):
+        told = [unpacked(pack, 2)[0] for _, _, pack in packs]
+        anchor = np.concatenate([np.cumsum(t[0].view(np.uint64)) for t in told])
+        grp = np.repeat(np.array([g for g, _, _ in packs], np.int64), [len(t[0]) for t in told])
+        own = np.concatenate([t[1] for t in told])
+        by = np.argsort(anchor, kind="stable")
+        start, many = _groups(anchor[by])
+        on = np.empty(len(anchor), bool)
+        on[by] = np.repeat((many > 1) | (np.add.reduceat(own[by], start) > 0), many)
+        anchor, grp = anchor[on], grp[on]
+        by = np.lexsort((anchor, grp))
+        yield _answers(grp[by], 1, [anchor[by]], steps=True)
 
 
 def merged(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,32 +207,32 @@ def merged(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def _cut(parts: int):
-    """Runs of suspects, packed for their shards. Of equal runs in a lot, only the one of the smallest document is sent:
-    the others are spans to remove, since that document has every string of theirs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, lot in enumerate(_lots(batches, 1)):
-            seen: dict[bytes, int] = {}
-            anchor, doc, first, size, runs, spans = [], [], [], [], [], []
-            for d, data, some in sorted(lot, key=lambda r: r[0]):
-                for s in some:
-                    a, end = s["first"], s["first"] + s["width"] + SIZE
-                    if end > len(data):  # of another text with this id
-                        continue
-                    at = seen.setdefault(body := data[a:end], len(runs))
-                    if at < len(runs) and doc[at] < d:
-                        spans.append((d, a, end))
-                        continue
-                    for column, x in zip((anchor, doc, first, size, runs), (s["anchor"], d, a, end - a, body), strict=True):
-                        column.append(x)
-            columns = [np.array(c, np.int64) for c in (anchor, doc, first, size)]
-            rows = []
-            if runs:
-                rows = [(p, False, packed([c[at] for c in columns], b"".join([runs[i] for i in at.tolist()]))) for p, at in _by_part(columns[0], parts)]
-            if spans:
-                d, a, e = merged(*np.array(spans, np.int64).T)
-                rows.append((int(d[0] + k) % parts, True, packed([np.zeros(len(d), np.int64), d, a, e])))
-            yield _batch(rows)
+    """Runs around shared anchors, packed for their shards. Of equal runs in a group, only the one of the smallest
+    document is sent: the others are spans to remove, since that document has every string of theirs."""
+
+    def run(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
+        grp = key[0].as_py()
+        packs = [unpacked(p, 1)[0][0] for p, k in zip(told["pack"].to_pylist(), told["kind"].to_pylist(), strict=True) if k == 1]
+        shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(p.view(np.uint64)) for p in packs]]))
+        seen: dict[bytes, int] = {}
+        columns: list[list[int]] = [[], [], [], [], []]
+        runs, spans = [], []
+        for i, (doc, _, data) in enumerate(_texts(left, told) if len(shared) else []):
+            anchor, first, last = runs_of(data)
+            on = shared[np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)] == anchor
+            for h, a, e in zip(anchor[on].view(np.int64).tolist(), first[on].tolist(), (last[on] + SIZE).tolist(), strict=True):
+                at = seen.setdefault(body := data[a:e], len(runs))
+                if at < len(runs) and columns[1][at] < doc:
+                    spans.append((i, a, e))
+                    continue
+                for column, x in zip(columns, (h, doc, i, a, e - a), strict=True):
+                    column.append(x)
+                runs.append(body)
+        sent = [np.array(c, np.int64) for c in columns]
+        rows = [(p, grp, False, packed([c[at] for c in sent], b"".join([runs[j] for j in at.tolist()]))) for p, at in _by_part(sent[0], parts)]
+        if spans:
+            rows.append((grp, grp, True, packed(list(merged(*np.array(spans, np.int64).T)))))
+        return _table(rows)
 
     return run
 
@@ -255,12 +253,15 @@ def repeated(codes: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.n
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans to remove. The runs of a shard are taken by anchor, whole anchors up to a bound in one suffix array."""
-    for (anchor, doc, first, size), rests in _of_parts(batches, 4):
-        if not rests:  # known spans: document, first, end
-            yield pd.DataFrame({"doc": doc, "first": first.astype(np.int32), "end": size.astype(np.int32)})
+    """To each group, spans to remove. A shard's runs are taken by anchor, whole anchors up to a bound in one array."""
+    for packs in _of_parts(batches):
+        if packs[0][1]:
+            yield pd.DataFrame({"grp": [packs[0][0]], "kind": [2], "pack": [packs[0][2]]}).astype({"grp": np.int32, "kind": np.int32})
             continue
-        flat = np.frombuffer(b"".join(rests), np.uint8)
+        told = [unpacked(pack, 5) for _, _, pack in packs]
+        anchor, doc, text, first, size = (np.concatenate([t[0][i] for t in told]) for i in range(5))
+        grp = np.repeat(np.array([g for g, _, _ in packs], np.int64), [len(t[0][0]) for t in told])
+        flat = np.frombuffer(b"".join([t[1] for t in told]), np.uint8)
         begin = np.cumsum(size) - size
         order = np.argsort(anchor, kind="stable")
         start, many = _groups(anchor[order])
@@ -272,26 +273,30 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = size[some]
             codes = flat[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             run, place = repeated(codes, n, doc[some])
-            d, f, e = merged(doc[some][run], first[some][run] + place, first[some][run] + place + SIZE)
-            yield pd.DataFrame({"doc": d, "first": f.astype(np.int32), "end": e.astype(np.int32)})
-
-
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for data, spans in zip(*[batch.column(i).to_pylist() for i in (1, 2)], strict=True):
-            gone = np.zeros(len(data) + 1, np.int32)
-            for s in spans or ():
-                if s["end"] <= len(data):
-                    gone[s["first"]] += 1
-                    gone[s["end"]] -= 1
-            off = np.cumsum(gone[:-1]) > 0
-            rest = np.frombuffer(data, np.uint8)[~off].tobytes() if spans else data
-            n_spans = int(np.count_nonzero(off[1:] & ~off[:-1])) + int(off[:1].sum())
-            rows.append((len(data), int(off.sum()), n_spans, hashlib.sha256(rest).hexdigest(), rest))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"])
+            at = some[run]
+            # Texts of all groups get numbers of their own, in the order of groups.
+            key, number = np.unique(np.stack([grp[at], text[at]]), axis=1, return_inverse=True)
+            number, f, e = merged(number.ravel(), first[at] + place, first[at] + place + SIZE)
+            yield _answers(key[0][number], 2, [key[1][number], f, e])
+
+
+def _removed(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
+    text, first, end = _packs(told, 2, 3)
+    by = np.argsort(text, kind="stable")
+    text, first, end = text[by], first[by], end[by]
+    rows = []
+    for i, (doc, digest, data) in enumerate(_texts(left, told)):
+        a, b = np.searchsorted(text, [i, i + 1])
+        gone = np.zeros(len(data) + 1, np.int32)
+        np.add.at(gone, first[a:b], 1)
+        np.add.at(gone, end[a:b], -1)
+        off = np.cumsum(gone[:-1]) > 0
+        rest = np.frombuffer(data, np.uint8)[~off].tobytes() if a < b else data
+        n_spans = int(np.count_nonzero(off[1:] & ~off[:-1])) + int(off[:1].sum())
+        rows.append((doc, digest, int(off.sum()), n_spans, hashlib.sha256(rest).hexdigest(), rest))
+    names = ("doc", "digest", "n_removed", "n_spans", "kept_sha256", "rest")
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
 LAST_ID = (1 << 63) - 1
@@ -300,25 +305,44 @@ LAST_ID = (1 << 63) - 1
 def removed(docs: DataFrame, with_rest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row, and the remaining bytes if ``with_rest``.
 
-    Ids must be unique, as in any table of documents; rows that share an id still give a result each, but a span of one
-    may be removed from another. Null texts are empty. Null ids count as one id larger than every other. Texts under
-    50 bytes lose nothing. An empty table gives an empty result; further columns are left out.
+    Rows that share an id never lose a string to each other. Null texts are empty. Null ids count as one id larger than
+    every other. Texts under 50 bytes lose nothing. An empty table gives an empty result; further columns are left out.
     """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.encode(text_of(), "UTF-8").alias("data"))
-    anchors = rows.mapInArrow(_anchored(parts), PACKS).repartition(parts, "part").sortWithinPartitions("part")
-    suspects = anchors.mapInPandas(_shared, "doc bigint, anchor bigint, first int, width int")
-    runs = suspects.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "width")).alias("runs"))
-    # Texts move once: both joins below read the same exchange by doc.
-    cut = rows.join(runs, "doc", "left").filter(F.col("runs").isNotNull()).mapInArrow(_cut(parts), PACKS)
-    spans = cut.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_judged, "doc bigint, first int, end int")
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    out = rows.join(spans, "doc", "left").mapInArrow(
-        _removed, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * docs.rdd.getNumPartitions())
+    data = F.encode(text_of(), "UTF-8")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.unhex(F.md5(data)).alias("digest"), data.alias("data"))
+
+    def group(doc: str) -> Column:
+        return F.pmod(F.xxhash64("digest", doc), F.lit(parts)).cast("int").alias("grp")
+
+    def shards(packs: DataFrame) -> DataFrame:
+        return packs.repartition(parts, "part").sortWithinPartitions("part")
+
+    # Texts move once: all three steps read the same exchange by group.
+    texts = rows.select(group("doc"), "doc", "digest", "data").groupBy("grp")
+    least = rows.groupBy("digest").agg(F.min("doc").alias("doc"))
+    # The digest and the eight bytes of the id, as ``int.to_bytes`` gives them.
+    told = least.select(group("doc"), F.lit(None).cast("int").alias("kind"), F.concat("digest", F.unhex(F.lpad(F.hex("doc"), 16, "0"))).alias("pack"))
+    anchors = shards(texts.cogroup(told.groupBy("grp")).applyInArrow(_anchored(parts), PACKS))
+    shared = anchors.mapInPandas(_shared, TOLD)
+    runs = shards(texts.cogroup(told.unionByName(shared).groupBy("grp")).applyInArrow(_cut(parts), PACKS))
+    spans = runs.mapInPandas(_judged, TOLD)
+    done = texts.cogroup(told.unionByName(spans).groupBy("grp")).applyInArrow(
+        _removed, "doc bigint, digest binary, n_removed bigint, n_spans bigint, kept_sha256 string, rest binary"
     )
-    out = out.withColumn("doc_id", F.nullif("doc", F.lit(LAST_ID)))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["rest"] if with_rest else []))
+    if not with_rest:
+        done = done.drop("rest")
+    # Copies of an earlier text aren't among the texts that were looked at.
+    size, long = F.octet_length("data").cast("long"), F.octet_length("data") >= SIZE
+    told_of = {
+        "n_removed": F.when(long, size).otherwise(F.lit(0)),
+        "n_spans": F.when(long, F.lit(1)).otherwise(F.lit(0)).cast("long"),
+        "kept_sha256": F.when(long, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.sha2("data", 256)),
+    } | ({"rest": F.when(~long, F.col("data")).otherwise(F.lit(b""))} if with_rest else {})
+    copies = rows.select("doc", "digest", size.alias("n_bytes"), *[c.alias(f"copy_{n}") for n, c in told_of.items()])
+    out = copies.join(done, ["doc", "digest"], "left")
+    return out.select(F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), "n_bytes", *[F.coalesce(n, f"copy_{n}").alias(n) for n in told_of])
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -481,7 +481,8 @@ def removals(rows):
 def test_repeats(spark, odd, sample, none):
     rng = random.Random(6)
     hard = [(i, "".join(rng.choice(["ab", "é", PASSAGE[:60], PASSAGE[20:], "aaaa" * 20, "q"]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
-    for docs in (odd, sample, spark.createDataFrame([*hard, (None, PASSAGE)], "doc_id bigint, text string")):
+    same = [(3, PASSAGE + "x"), (3, "y" + PASSAGE), (3, PASSAGE + "x"), (-5, PASSAGE[9:] + "z"), (7, "short"), (8, "short"), (9, PASSAGE[9:] + "z"), (None, PASSAGE)]
+    for docs in (odd, sample, *[spark.createDataFrame(r, "doc_id bigint, text string") for r in ([*hard, (None, PASSAGE)], same)]):
         assert sorted(map(tuple, repeats.removed(docs).collect()), key=repr) == removals([(r.doc_id, r.text) for r in docs.collect()])
     assert repeats.removed(none).count() == 0
 
