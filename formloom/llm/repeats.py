@@ -10,7 +10,7 @@ all texts are judged, on the input. The steps:
    two texts have. Only these can lie in a repeated string.
 3. Groups find their anchors once more, and cut out the run of bytes that the strings with a shared anchor cover. Runs go
    to shards by anchor; of equal runs in a group, only the one of the smallest document does.
-4. A shard joins its runs, builds their suffix array by induced sorting, and finds strings of 50 bytes that neighbours in
+4. A shard joins its different runs, builds their suffix array by induced sorting, and finds strings of 50 bytes that neighbours in
    the array share through permuted common prefixes. Each string gets the smallest document that has it, and documents
    after that one get the span to remove.
 5. Spans go back to the groups, packed, and are cut out of the texts.
@@ -261,9 +261,12 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         told = [unpacked(pack, 5) for _, _, pack in packs]
         anchor, doc, text, first, size = (np.concatenate([t[0][i] for t in told]) for i in range(5))
         grp = np.repeat(np.array([g for g, _, _ in packs], np.int64), [len(t[0][0]) for t in told])
-        flat = np.frombuffer(b"".join([t[1] for t in told]), np.uint8)
-        begin = np.cumsum(size) - size
-        order = np.argsort(anchor, kind="stable")
+        body = b"".join([t[1] for t in told])
+        flat, begin = np.frombuffer(body, np.uint8), np.cumsum(size) - size
+        order = np.lexsort((doc, anchor))
+        again = _copies(body, begin[order], size[order], doc[order])
+        at, order = order[again], order[~again]
+        yield _spans(grp[at], text[at], first[at], first[at] + size[at])
         start, many = _groups(anchor[order])
         filled = np.cumsum(np.add.reduceat(size[order], start))
         lots = np.searchsorted(filled, np.arange(0, filled[-1] + ARRAY, ARRAY), side="right")
@@ -274,10 +277,21 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             codes = flat[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             run, place = repeated(codes, n, doc[some])
             at = some[run]
-            # Texts of all groups get numbers of their own, in the order of groups.
-            key, number = np.unique(np.stack([grp[at], text[at]]), axis=1, return_inverse=True)
-            number, f, e = merged(number.ravel(), first[at] + place, first[at] + place + SIZE)
-            yield _answers(key[0][number], 2, [key[1][number], f, e])
+            yield _spans(grp[at], text[at], first[at] + place, first[at] + place + SIZE)
+
+
+def _copies(body: bytes, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Runs, by rising document, that equal one of a smaller document, which then has every string of theirs."""
+    seen: dict[bytes, int] = {}
+    ends = zip(begin.tolist(), (begin + size).tolist(), doc.tolist(), strict=True)
+    return np.fromiter((seen.setdefault(body[a:e], d) < d for a, e, d in ends), bool, len(size))
+
+
+def _spans(grp: np.ndarray, text: np.ndarray, first: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    """Spans to each group. Texts of all groups get numbers of their own, in the order of groups."""
+    key, number = np.unique(np.stack([grp, text]), axis=1, return_inverse=True)
+    number, first, end = merged(number.ravel(), first, end)
+    return _answers(key[0][number], 2, [key[1][number], first, end])
 
 
 def _removed(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
