@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from formloom.functions.scalars import UNCLEAR
 from formloom.operators.ranges import first_hit
-from formloom.operators.sizing import inside
+from formloom.operators.sizing import broadcast_if_small, inside
+from formloom.session import kept
 from formloom.sources.templates import BASE_DPI, GRID, TemplateTables, receptors
 
 # Fixed values, px at 300 dpi or plain ratios.
@@ -43,29 +44,65 @@ def to_face_local(symbols: DataFrame, tables: TemplateTables) -> DataFrame:
     return placed.filter(~F.exists("exclusions", lambda e: inside(px, py, e))).drop("source", "exclusions")
 
 
-def assign_symbols(local: DataFrame, tables: TemplateTables, bucket: int = BUCKET) -> DataFrame:
+def _move(block: Column) -> Column:
+    """How far a block lies below its printed place on the symbol's page; 0 for fields of no block."""
+    return F.coalesce(F.get("moves", block), F.lit(0))
+
+
+def with_moves(local: DataFrame, moves: DataFrame, tables: TemplateTables) -> tuple[DataFrame, int]:
+    """Symbols with the ``moves`` of their page's blocks, and the largest move there is, for ``assign_symbols``.
+
+    ``moves`` (page_id, template_id, face_id, applied, blocks) has one row a face
+    at most, ``blocks`` being structs with block_idx and dy, as ``snap_plan``
+    gives them; ``applied`` is the word of ``snap_gate``. A face whose blocks
+    are other than the template's doesn't move, nor do single fields,
+    exclusions and symbols. Nothing is copied: a symbol carries the few moves
+    of its face, and the template's index stays one.
+    """
+    blocks = F.sort_array("blocks")
+    drawn = F.when(F.col("is_table"), F.size("geoms")).otherwise(0)
+    known = moves.filter("applied").join(
+        tables.small(tables.faces.select("template_id", "face_id", drawn.alias("_drawn"))), ["template_id", "face_id"]
+    )
+    whole = F.transform(blocks, lambda b: b["block_idx"]) == F.sequence(F.lit(0), F.col("_drawn") - 1)
+    dys = F.transform(blocks, lambda b: b["dy"].cast("int"))
+    some = known.filter((F.col("_drawn") > 0) & whole & F.exists(dys, lambda v: v != 0))
+    some = kept(some.select("page_id", "face_id", dys.alias("moves")))
+    far = some.agg(F.max(F.array_max(F.transform("moves", lambda v: F.abs(v)))).alias("far")).first().far
+    return local.join(broadcast_if_small(some), ["page_id", "face_id"], "left"), far or 0
+
+
+def assign_symbols(local: DataFrame, tables: TemplateTables, bucket: int = BUCKET, reach: int = 0) -> DataFrame:
     """Where each symbol goes.
 
+    With a ``reach`` above 0, ``local`` comes from ``with_moves``: fields and
+    table bottoms lie where the blocks of the symbol's page have moved.
+
     Adds ``kind`` (region, fallback, hole, below_table, other), ``field_id``,
     ``region`` and, for fallback symbols, ``probe_field``: the field whose hole
     takes the symbol should it be discarded. Regions of all fields come before
     all fallbacks, fallbacks before holes; ties go to definition order. The
     bucket width never changes the result.
     """
-    places = receptors(tables.cells)
-    payload = ["kind", "field_id", "region"]
+    more = ("block_idx",) if reach else ()
+    places = receptors(tables.cells, *more)
+    payload = ["kind", "field_id", "region", *more]
     keys = ["template_id", "face_id"]
     hit = first_hit(
         local, places, keys, payload, bucket=bucket, also=("probe", lambda c: c["kind"] != "fallback"),
-        known_rows=tables.place_area if bucket >= GRID else None,
+        known_rows=tables.place_area if bucket >= GRID and not reach else None,
+        moved=(reach, lambda c: _move(c["block_idx"])) if reach else None,
     )
     px, py = F.col("x"), F.col("y")
+    zones = F.col("zones")
+    if reach:  # zones lie in the order of their blocks
+        zones = F.transform(zones, lambda z, i: z.withField("bottom", z["bottom"] + _move(i)))
     below = F.coalesce(
-        F.exists("zones", lambda z: (px >= z["x_min"]) & (px < z["x_max"]) & (py >= z["bottom"])),
+        F.exists(zones, lambda z: (px >= z["x_min"]) & (px < z["x_max"]) & (py >= z["bottom"])),
         F.lit(False),
     )
     return hit.select(
-        *[c for c in local.columns if c != "zones"],
+        *[c for c in local.columns if c not in ("zones", "moves")],
         F.coalesce("hit.kind", F.when(below, "below_table").otherwise("other")).alias("kind"),
         F.col("hit.field_id").alias("field_id"),
         F.col("hit.region").alias("region"),

@@ -18,10 +18,10 @@ def _cells(start: Column, extent: Column, bucket: int) -> Column:
     return F.explode(F.sequence(first, last))
 
 
-def bucketed(rects: DataFrame, bucket: int) -> DataFrame:
-    """One row per rect and grid bucket it touches (columns ``bx``, ``by``)."""
+def bucketed(rects: DataFrame, bucket: int, reach: int = 0) -> DataFrame:
+    """One row per rect and grid bucket (columns ``bx``, ``by``) it touches, moved up or down by ``reach`` at most."""
     return rects.withColumn("bx", _cells(F.col("x"), F.col("w"), bucket)).withColumn(
-        "by", _cells(F.col("y"), F.col("h"), bucket)
+        "by", _cells(F.col("y") - reach, F.col("h") + 2 * reach, bucket)
     )
 
 
@@ -38,6 +38,7 @@ def first_hit(
     known_rows: int | None = None,
     salts: int = SALTS,
     hot_rows: int = HOT_ROWS,
+    moved: tuple[int, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Attach to every point the containing rect of lowest ``priority`` (or NULL).
 
@@ -48,6 +49,10 @@ def first_hit(
     decides who is compared, never the result. ``known_rows`` is an upper bound
     on the (rect, bucket) rows, if the caller has measured one.
 
+    ``moved`` is for rects that each point sees at places of its own: how far
+    they may lie above or below, at most, and the move of a candidate for the
+    point's row. The rects stay in one index; a point is moved back instead.
+
     Each bucket is one row holding its candidates in priority order, so a point
     meets at most one row: equal points stay as many as they were, and nothing
     is grouped afterwards. If the rect table is small enough the join is a
@@ -62,7 +67,8 @@ def first_hit(
     spots = points.withColumn("bx", F.floor(F.col("x") / bucket)).withColumn(
         "by", F.floor(F.col("y") / bucket)
     )
-    cells = bucketed(rects.select(*keys, priority, *fields), bucket)
+    reach, move = moved or (0, lambda c: F.lit(0))
+    cells = bucketed(rects.select(*keys, priority, *fields), bucket, reach)
     index = cells.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct(priority, *fields))).alias("_cand"))
     if (known_rows is not None and known_rows <= limit) or fits_broadcast(cells, limit):
         joined = spots.join(F.broadcast(index), cell, "left")
@@ -77,7 +83,7 @@ def first_hit(
     px, py = F.col("x"), F.col("y")
     found = F.filter(
         "_cand",
-        lambda c: (px >= c["x"]) & (px < c["x"] + c["w"]) & (py >= c["y"]) & (py < c["y"] + c["h"]),
+        lambda c: (px >= c["x"]) & (px < c["x"] + c["w"]) & (py - move(c) >= c["y"]) & (py - move(c) < c["y"] + c["h"]),
     )
     joined = joined.withColumn("_cand", found).withColumn(out, F.get("_cand", F.lit(0)))
     if also:

@@ -44,6 +44,19 @@ def row_values(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def moved_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """Where symbols go on pages whose table blocks have moved."""
+    tables = X.form_tables(spark, d)
+    local, reach = A.with_moves(A.to_face_local(X.symbols(spark, d), tables), X.moves(spark, d), tables)
+    return A.assign_symbols(local, tables, reach=reach).select("page_id", "face_id", "seq", "x", "y", "kind", "field_id", "region", "probe_field")
+
+
+def moved_template_rows(spark: SparkSession, d: str) -> DataFrame:
+    pages = X.pages(spark, d).select("page_id", "template_id")
+    values = form_values(X.symbols(spark, d), pages, X.form_tables(spark, d), page_choices(spark, d), moves=X.moves(spark, d))
+    return values.select("page_id", "col_ord", "column", "value", "value_long", "origin")
+
+
 def row_values_char_masked(spark: SparkSession, d: str) -> DataFrame:
     rules = R.RowRules(char_level=True)
     return _values(spark, d, X.form_tables(spark, d), rules).select("page_id", "column", "value", "origin", "kept_conf")
@@ -170,6 +183,10 @@ ENTRIES = {
     "row_values": Entry(
         row_values, CTE + values_sql() + 'SELECT page_id, col_ord, "column", value, value_long, origin FROM vals'
     ),
+    "moved_symbols": Entry(moved_symbols, X.moved_ctes() + "SELECT page_id, face_id, seq, x, y, kind, field_id, region, probe_field FROM placed"),
+    "moved_template_rows": Entry(
+        moved_template_rows, X.moved_ctes() + values_sql() + 'SELECT page_id, col_ord, "column", value, value_long, origin FROM vals'
+    ),
     "row_values_char_masked": Entry(
         row_values_char_masked,
         CTE + values_sql(char_level=True) + 'SELECT page_id, "column", value, origin, kept_conf FROM vals',

@@ -26,16 +26,19 @@ class Extraction:
     cells: DataFrame
 
 
-def extract(symbols: DataFrame, tables: TemplateTables, bucket: int = A.BUCKET, keep: bool = False) -> Extraction:
+def extract(symbols: DataFrame, tables: TemplateTables, bucket: int = A.BUCKET, keep: bool = False,
+            moves: DataFrame | None = None) -> Extraction:
     """A1's symbols (with ``template_id``) to contents per (page, field).
 
     The symbols are read twice: once for the contents (one shuffle of the
     symbols that hit a field) and once for the counts, which are reduced on the
     map side. With ``keep`` both, a fraction of the symbols, are written to the
     shared checkpoint folder so that holes, counters and rows read them from there.
+    ``moves`` are those of ``with_moves``, for pages whose table blocks have moved.
     """
     local = A.to_face_local(symbols, tables)
-    assigned = A.assign_symbols(local, tables, bucket)
+    placed, reach = (local, 0) if moves is None else A.with_moves(local, moves, tables)
+    assigned = A.assign_symbols(placed, tables, bucket, reach)
     counts = A.placement_counts(assigned)
     contents = A.field_contents(assigned, tables)
     if keep:
@@ -45,9 +48,9 @@ def extract(symbols: DataFrame, tables: TemplateTables, bucket: int = A.BUCKET,
 
 
 def form_values(symbols: DataFrame, pages: DataFrame, tables: TemplateTables,
-                choices: DataFrame | None = None, rules: R.RowRules = R.RowRules()) -> DataFrame:
+                choices: DataFrame | None = None, rules: R.RowRules = R.RowRules(), moves: DataFrame | None = None) -> DataFrame:
     """One row per (page, output column); every page of ``pages`` appears in full."""
-    found = extract(symbols, tables, keep=True)
+    found = extract(symbols, tables, keep=True, moves=moves)
     paged = A.page_contents(pages, found.cells)
     return R.build_rows(paged, tables, choices=choices, rules=rules)
 

@@ -285,6 +285,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_sql(spark, sf_dir, PAGE_SQL, "orders")
 
 
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves of the two table blocks of each page's front; some pages don't move, others have a block too many."""
+    block = "struct(CAST({} AS INT) AS block_idx, CAST({} AS INT) AS dy)".format
+    known, extra = f"{block(1, 'page_id * 5 % 19 - 9')}, {block(0, 'page_id * 7 % 19 - 9')}", block(2, 4)
+    return pages(spark, sf_dir).selectExpr(
+        "page_id", "template_id", "'front' AS face_id", "page_id % 3 <> 0 AS applied", f"IF(page_id % 5 = 1, array({known}, {extra}), array({known})) AS blocks"
+    )
+
+
 # ---- the same form as relations for the checking engine --------------------
 def _form_cells() -> list[tuple]:
     """(ord, face, field, kind, table, row, output, columns, normalize, [rects], fallback) from FORM."""
@@ -390,3 +399,18 @@ cell AS (SELECT coalesce(c.page_id, h.page_id) AS page_id, coalesce(c.template_i
   FROM content c FULL JOIN hole h ON c.page_id = h.page_id AND c.field_id = h.field_id),
 page AS ({PAGE_SQL})
 """
+
+
+def moved_ctes() -> str:
+    """``form_ctes`` with table fields and table bottoms where ``moves`` has them: each page's places are its own."""
+    dy = "CASE WHEN l.face_id = 'front' AND l.page_id % 3 <> 0 AND l.page_id % 5 <> 1 THEN CASE WHEN {} THEN l.page_id * 7 % 19 ELSE l.page_id * 5 % 19 END - 9 ELSE 0 END".format
+    field = f"CASE WHEN p.field_id LIKE 'visit_%' THEN {dy("substr(p.field_id, 7, 2) <= '03'")} ELSE 0 END"
+    text = form_ctes()
+    for old, new in (
+        ("l.y >= p.y AND l.y < p.y + p.h", f"l.y - ({field}) >= p.y AND l.y - ({field}) < p.y + p.h"),
+        ("l.y >= z.bottom", f"l.y - ({dy('z.x_min = 100')}) >= z.bottom"),
+    ):
+        if text.count(old) != 1:
+            raise ValueError(old)
+        text = text.replace(old, new)
+    return text

@@ -282,14 +282,15 @@ def expand_templates(templates: DataFrame, body: str = "body") -> TemplateTables
     return TemplateTables(cells, faces)
 
 
-def receptors(cells: DataFrame) -> DataFrame:
+def receptors(cells: DataFrame, *more: str) -> DataFrame:
     """All places a symbol can land in: regions, then fallbacks, then holes.
 
     ``priority`` orders them: every region before every fallback before every
     hole, each in definition order. The hole of a field is the bounding box of
-    its rects and exists only with two or more of them.
+    its rects and exists only with two or more of them. ``more`` names further
+    columns of the cells to carry along.
     """
-    base = ["template_id", "face_id", "field_id", "output"]
+    base = ["template_id", "face_id", "field_id", "output", *more]
     rects = F.concat(F.array("rect"), F.col("extra_rects"))
 
     def layer(n: int, kind: str, region, rect: Column, source: DataFrame) -> DataFrame:
