@@ -402,8 +402,8 @@ def overflow_candidates(local: DataFrame, tables: TemplateTables, targets: DataF
     """Fields of known digit count that came out short with symbols right beside them.
 
     ``targets`` (template_id, face_id, field_id, rect, digits) is part of the
-    template and small. Row ``empty_main`` marks fields skipped because their
-    main rect holds nothing.
+    template and small. Fields whose main rect holds nothing are skipped here
+    and counted by ``empty_main``.
     """
     band_w = F.greatest(F.lit(1), F.bround(F.col("rect.h") * scale).cast("int"))
     aims = tables.small(
@@ -438,3 +438,18 @@ def overflow_candidates(local: DataFrame, tables: TemplateTables, targets: DataF
     return per_field.filter(
         (F.col("main_symbols") > 0) & (F.col("main_symbols") < F.col("digits")) & (F.col("right_symbols") > 0)
     )
+
+
+def empty_main(local: DataFrame, tables: TemplateTables, targets: DataFrame) -> DataFrame:
+    """(page_id, template_id, targets, empty_main) of every page with a symbol on a face, done or not.
+
+    ``empty_main`` counts the fields of known digit count whose main rect holds
+    nothing. Symbols shrink to one row per (page, field) before their shuffle.
+    """
+    aims = tables.small(targets.select("template_id", "face_id", "field_id", "rect"))
+    sizes = tables.small(targets.groupBy("template_id").agg(F.count(F.lit(1)).alias("targets")))
+    main = F.coalesce(inside(F.col("x"), F.col("y"), F.col("rect")), F.lit(False))
+    fields = local.join(aims, ["template_id", "face_id"], "left").groupBy("page_id", "template_id", "field_id").agg(F.max(main).alias("filled"))
+    pages = fields.groupBy("page_id", "template_id").agg(F.count_if("filled").alias("filled")).join(sizes, "template_id", "left")
+    known = F.coalesce("targets", F.lit(0).cast("long"))
+    return pages.select("page_id", "template_id", known.alias("targets"), (known - F.col("filled")).alias("empty_main"))

@@ -186,7 +186,7 @@ def stray_marks(tables: TemplateTables) -> DataFrame:
 
 
 def template_profile(tables: TemplateTables) -> DataFrame:
-    """Counts per template, and what would make it unusable."""
+    """Counts per template, and what would make it unusable; templates without fields count too."""
     cells = tables.cells.groupBy("template_id").agg(
         F.count(F.lit(1)).alias("cells"),
         F.count_if(F.col("normalize") == "amount").alias("amount_cells"),
@@ -201,9 +201,9 @@ def template_profile(tables: TemplateTables) -> DataFrame:
     )
     exclusions = tables.faces.groupBy("template_id").agg(F.sum(F.size("exclusions")).alias("exclusions"))
     zero = F.lit(0).cast("long")
-    out = cells.join(exclusions, "template_id", "left").join(dup, "template_id", "left").join(columns, "template_id", "left")
+    out = exclusions.join(cells, "template_id", "left").join(dup, "template_id", "left").join(columns, "template_id", "left")
     return out.select(
-        "template_id", "cells", F.coalesce("columns", zero).alias("columns"), "amount_cells", "no_output_cells",
+        "template_id", *[F.coalesce(c, zero).alias(c) for c in ("cells", "columns", "amount_cells", "no_output_cells")],
         F.coalesce("exclusions", zero).alias("exclusions"),
         F.coalesce("duplicate_fields", zero).alias("duplicate_fields"),
         F.coalesce("duplicate_columns", zero).alias("duplicate_columns"),
@@ -212,6 +212,34 @@ def template_profile(tables: TemplateTables) -> DataFrame:
     )
 
 
+def template_check(tables: TemplateTables, expected: DataFrame, meta: int = 0) -> DataFrame:
+    """What is said of a template that is verified: column names in order, exclusions of each face, and whether it passes.
+
+    ``expected`` (template_id, expect_columns) gives the number of columns that a
+    template must not fall below; templates that aren't in it need none.
+    ``meta`` columns of each row come on top of those of the fields. Reasons:
+    ``duplicates``, ``no_columns``, ``too_few_columns``, or ''.
+    """
+    names = output_columns(tables.cells).groupBy("template_id").agg(F.sort_array(F.collect_list(F.struct("col_ord", "column"))).alias("_names"))
+    by_face = tables.faces.groupBy("template_id").agg(
+        F.sort_array(F.collect_list(F.struct("face_ord", "face_id", F.size("exclusions").alias("n")))).alias("exclusions_by_face")
+    )
+    known = template_profile(tables).join(by_face, "template_id").join(names, "template_id", "left")
+    known = known.join(expected.groupBy("template_id").agg(F.max("expect_columns").alias("expect_columns")), "template_id", "left")
+    columns = F.col("columns") + meta
+    reason = (
+        F.when(F.col("duplicate_fields") + F.col("duplicate_columns") > 0, "duplicates").when(F.col("columns") == 0, "no_columns")
+        .when(columns < F.col("expect_columns"), "too_few_columns").otherwise("")
+    )
+    no_names = F.array().cast("array<string>")
+    return known.select(
+        "template_id", "cells", columns.alias("columns"), "amount_cells", "no_output_cells", "exclusions",
+        F.transform("exclusions_by_face", lambda f: F.struct(f["face_id"].alias("face_id"), f["n"].alias("n"))).alias("exclusions_by_face"),
+        F.coalesce(F.transform("_names", lambda c: c["column"]), no_names).alias("column_names"),
+        reason.alias("reason"), (reason == "").alias("ok"),
+    )
+
+
 def template_regression(before: DataFrame, after: DataFrame) -> DataFrame:
     """Counts that went down between two profiles of the same templates."""
     names = ["cells", "amount_cells", "exclusions", "columns"]
@@ -228,7 +256,9 @@ def template_regression(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def disabled_runs(cells: DataFrame) -> DataFrame:
     """Vertical runs of cells without output per table column, cut at block borders."""
-    name = F.regexp_replace("field_id", r"^.*_\d{2,}_", "")
+    # A table cell is named after its table, its row and its column, which may hold digits and dashes of its own.
+    head = F.format_string("%s_%02d_", "table_id", "row_no")
+    name = F.substr("field_id", F.length(head) + 1)
     off = cells.filter(F.col("table_id").isNotNull() & ~F.col("output")).select(
         "template_id", "table_id", "block_idx", "row_no", name.alias("column")
     )

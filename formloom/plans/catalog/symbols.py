@@ -11,6 +11,7 @@ from formloom.plans import fixtures as X
 from formloom.plans.catalog import Entry
 from formloom.plans.extraction import Extraction, extract
 from formloom.sources.responses import explode_symbols
+from formloom.sources.templates import TemplateTables
 
 CTE = X.form_ctes()
 
@@ -105,14 +106,23 @@ def format_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return A.format_mismatch(counters, totals, tables)
 
 
-def overflow_candidates(spark: SparkSession, d: str) -> DataFrame:
-    tables = X.form_tables(spark, d)
-    local = A.to_face_local(X.symbols(spark, d), tables)
+def _digit_targets(spark: SparkSession, tables: TemplateTables) -> DataFrame:
     rules = spark.createDataFrame(
         [(r"郵便番号\s*\d*\s*$", 7, "postal code")], "pattern STRING, digits INT, rule STRING"
     )
-    targets = expected_digits(tables.cells, rules).select("template_id", "face_id", "field_id", "rect", "digits")
-    return A.overflow_candidates(local, tables, targets).drop("template_id")
+    return expected_digits(tables.cells, rules).select("template_id", "face_id", "field_id", "rect", "digits")
+
+
+def overflow_candidates(spark: SparkSession, d: str) -> DataFrame:
+    tables = X.form_tables(spark, d)
+    local = A.to_face_local(X.symbols(spark, d), tables)
+    return A.overflow_candidates(local, tables, _digit_targets(spark, tables)).drop("template_id")
+
+
+def empty_main_fields(spark: SparkSession, d: str) -> DataFrame:
+    tables = X.form_tables(spark, d)
+    local = A.to_face_local(X.symbols(spark, d), tables)
+    return A.empty_main(local, tables, _digit_targets(spark, tables)).drop("template_id")
 
 
 def document_responses(spark: SparkSession, d: str) -> DataFrame:
@@ -238,6 +248,11 @@ ENTRIES = {
  SELECT page_id, field_id, 7 AS digits, count(*) FILTER (is_main) AS main_symbols, count(*) FILTER (NOT is_main) AS right_symbols,
   count(*) FILTER (NOT is_main AND NOT taken) AS right_outside_fields FROM near GROUP BY 1, 2
  HAVING count(*) FILTER (is_main) > 0 AND count(*) FILTER (is_main) < 7 AND count(*) FILTER (NOT is_main) > 0""",
+    ),
+    "empty_main_fields": Entry(
+        empty_main_fields,
+        CTE + """SELECT l.page_id, 1 AS targets, 1 - max(CASE WHEN p.rid IS NULL THEN 0 ELSE 1 END) AS empty_main FROM local l
+ LEFT JOIN (SELECT DISTINCT rid FROM cand WHERE field_id = '郵便番号' AND pkind = 'region') p USING (rid) GROUP BY 1""",
     ),
     "response_symbols": Entry(response_symbols, RESPONSE_SQL),
 }

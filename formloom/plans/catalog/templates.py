@@ -59,6 +59,19 @@ def template_profiles(spark: SparkSession, d: str) -> DataFrame:
     return L.template_profile(_parts(spark, d))
 
 
+def template_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of every third part miss their first amount, those of every fifth their stamp; all must have the columns that their part's size asks for."""
+    p = F.col("p_partkey")
+    docs = X.part_templates(spark, d)
+    total, stamp = r'\{"field_id": "total"[^}]*\}, "normalize": "amount"\}, ', r'\{"id": "stamp", "rect": \{[^}]*\}\}'
+    body = F.when(p % 3 == 0, F.regexp_replace("body", total, "")).otherwise(F.col("body"))
+    docs = docs.withColumn("body", F.when(p % 5 == 0, F.regexp_replace(body, stamp, "")).otherwise(body))
+    expected = X.table(spark, d, "part").select(F.concat(F.lit("form-"), p.cast("string")).alias("template_id"), F.col("p_size").alias("expect_columns"))
+    found = L.template_check(expand_templates(docs), expected, meta=6)
+    faces = F.transform("exclusions_by_face", lambda f: F.concat(f["face_id"], F.lit(":"), f["n"].cast("string")))
+    return found.select("template_id", "cells", "columns", "amount_cells", "exclusions", F.array_join(faces, ",").alias("faces"), F.array_join("column_names", ",").alias("names"), "reason", "ok")
+
+
 def template_regressions(spark: SparkSession, d: str) -> DataFrame:
     """Templates of larger parts lose their first field."""
     before = X.part_templates(spark, d)
@@ -187,6 +200,7 @@ _OUT = [c for c in X._form_cells() if c[6]]
 _N_COLS = sum(max(1, len(c[7])) for c in _OUT)
 _N_AMOUNT = sum(1 for c in X._form_cells() if c[8] == "amount")
 _N_OFF = _N_CELLS - len(_OUT)
+_NAMES = ",".join(n for c in _OUT for n in ([f"{c[2]}_{part}" for part in c[7]] or [c[2]]))
 _RECT = f"WITH r AS ({X.RECT_SQL})"
 
 ENTRIES = {
@@ -218,6 +232,13 @@ ENTRIES = {
         template_profiles,
         f"""SELECT 'form-' || p_partkey AS template_id, {_N_CELLS} AS cells, {_N_COLS} AS columns, {_N_AMOUNT} AS amount_cells, {_N_OFF} AS no_output_cells,
  1 AS exclusions, 0 AS duplicate_fields, 0 AS duplicate_columns, true AS usable FROM part""",
+    ),
+    "template_checks": Entry(
+        template_checks,
+        f"""WITH c AS (SELECT p_partkey AS k, p_size, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS gone, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END AS stamps FROM part)
+ SELECT 'form-' || k AS template_id, {_N_CELLS} - gone AS cells, {_N_COLS} - gone + 6 AS columns, {_N_AMOUNT} - gone AS amount_cells, stamps AS exclusions,
+ 'front:' || stamps || ',back:0' AS faces, CASE WHEN gone = 1 THEN replace('{_NAMES}', ',total,', ',') ELSE '{_NAMES}' END AS names,
+ CASE WHEN {_N_COLS} - gone + 6 < p_size THEN 'too_few_columns' ELSE '' END AS reason, {_N_COLS} - gone + 6 >= p_size AS ok FROM c""",
     ),
     "template_regressions": Entry(
         template_regressions,
