@@ -313,6 +313,12 @@ def fold_verdicts(faces: DataFrame, keys: list[str], order: str = "face_ord") ->
     )
 
 
+def renamed(documents: DataFrame) -> DataFrame:
+    """Bodies of documents (name, body) that are told apart by their name, not by the id inside."""
+    doc = F.from_json("body", TEMPLATE_SCHEMA)
+    return documents.select(F.to_json(doc.withField("template_id", F.col("name"))).alias("body"))
+
+
 def screen_candidates(templates: DataFrame, limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """C11: candidate templates (name, body) with the reason to leave one out, or NULL.
 
@@ -324,11 +330,7 @@ def screen_candidates(templates: DataFrame, limit: int | None = None, max_bytes:
     large = F.lit(False) if max_bytes is None else F.octet_length("body") > max_bytes
     rough = F.when(large, "size").when(~is_object, "parse")
     judged = templates.select("name", "body", rough.alias("rough"))
-    # documents are told apart by the name of the candidate, not by the id inside
-    doc = F.from_json("body", TEMPLATE_SCHEMA)
-    named = judged.filter(F.col("rough").isNull()).select(
-        F.to_json(doc.withField("template_id", F.col("name"))).alias("body")
-    )
+    named = renamed(judged.filter(F.col("rough").isNull()))
     good = kept(template_profile(expand_templates(named)).filter("usable").select(F.col("template_id").alias("name")))
     first = good if limit is None else good.orderBy("name").limit(limit)
     first = first.withColumn("taken", F.lit(True))
@@ -475,23 +477,26 @@ def rank_candidates(matches: DataFrame, truncated: DataFrame | None = None) -> D
     ``matches`` (page_id, name, verdict, score) has at most as many rows per
     page as there are candidate templates. By name and without a pick when the
     list was cut short, nothing matches, or the two best matches are close;
-    otherwise by score, and the best match is the pick.
+    otherwise by score, and the best match is the pick. ``show_score`` is false
+    where the list was cut short or the best matches are close.
     """
-    best = Window.partitionBy("page_id")
     hit = F.col("verdict") == "match"
     if truncated is not None:
         matches = matches.join(truncated.select("page_id", F.lit(True).alias("_cut")), "page_id", "left")
     else:
         matches = matches.withColumn("_cut", F.lit(False))
-    scores = F.sort_array(F.collect_list(F.when(hit, F.col("score"))).over(best), asc=False)
-    top, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
-    clear = ~F.coalesce("_cut", F.lit(False)) & top.isNotNull() & F.coalesce(top - second >= CLEAR_LEAD, F.lit(True))
-    marked = matches.withColumn("_clear", clear)
+    matches = matches.withColumn("_hit", F.when(hit, F.col("score")))
+    best = Window.partitionBy("page_id").orderBy(F.col("_hit").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = matches.withColumn("_top", F.first("_hit").over(best)).withColumn("_second", F.nth_value("_hit", 2).over(best))
+    whole = ~F.coalesce("_cut", F.lit(False))
+    apart = F.coalesce(F.col("_top") - F.col("_second") >= CLEAR_LEAD, F.lit(True))
+    marked = ends.withColumn("_clear", whole & F.col("_top").isNotNull() & apart)
     order = Window.partitionBy("page_id").orderBy(
         F.when(F.col("_clear"), -F.col("score")).asc_nulls_first(), "name"
     )
     return (
         marked.withColumn("rank", F.row_number().over(order))
-        .withColumn("pick", F.col("_clear") & hit & (F.col("score") == top))
-        .drop("_clear", "_cut")
+        .withColumn("pick", F.col("_clear") & hit & (F.col("score") == F.col("_top")))
+        .withColumn("show_score", whole & (F.col("_top").isNull() | apart))
+        .drop("_clear", "_cut", "_hit", "_top", "_second")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formloom.operators import lines as L
+from formloom.operators import matching as M
 from formloom.operators import runs as U
 from formloom.operators import snapping as G
 from formloom.plans import fixtures as X
@@ -50,6 +51,16 @@ def page_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return L.fold_verdicts(faces, ["page_id"])
 
 
+# Every eleventh page has no height, every fifth one has the shape of the dense forms.
+MATCH_PAGE_SQL = """
+SELECT page_id, CAST(page_id % 7 AS INT) AS catalogue, 1800 AS w, CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 5 = 0 THEN 1360 ELSE 1440 END AS h
+FROM (SELECT DISTINCT CAST(floor(o_orderkey / 25) AS BIGINT) AS page_id FROM orders) AS p"""
+
+# Each catalogue offers the forms of some nations; the first form is in three of them, and one name has no document.
+CATALOGUE_SQL = """
+SELECT CAST(n_nationkey % 7 AS INT) AS catalogue, CASE WHEN n_nationkey = 0 THEN 'shipped' ELSE 'user' END AS kind, concat('n', lpad(CAST(n_nationkey AS STRING), 2, '0')) AS name FROM nation
+UNION ALL SELECT c, k, name FROM (VALUES (1, 'shipped', 'n00'), (2, 'shipped', 'n00'), (3, 'user', 'gone')) AS x(c, k, name)"""
+
 CANDIDATES = (("even", 60, 12), ("wide", 80, 9), ("dense", 40, 17), ("half", 120, 6))
 
 
@@ -65,6 +76,39 @@ def candidate_matches(spark: SparkSession, d: str) -> DataFrame:
     return L.rank_candidates(folded.select("page_id", F.col("template_id").alias("name"), "verdict", "score"))
 
 
+def _match_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages with a size and one of seven catalogues, the documents of all nations, and which catalogue offers which."""
+    n = F.col("n_nationkey")
+    form = F.element_at(F.array(*[F.lit(X.ruled_form([(0, k - 1)], p, k - 1)) for _, p, k in CANDIDATES]), (n % 4 + 1).cast("int"))
+    body = F.replace(form, F.lit("@id"), F.concat(F.lit("id-"), n.cast("string")))
+    two = F.lpad(n.cast("string"), 2, "0")
+    nation = X.table(spark, d, "nation")
+    documents = nation.withColumn("body", body).select(
+        F.concat(F.lit("n"), two).alias("name"), F.concat(F.lit("2024-03-"), two).alias("updated_at"),
+        F.when(n % 9 == 7, F.expr("left(body, length(body) - 5)")).when(n % 9 == 8, F.lit('{"faces": []}')).otherwise(F.col("body")).alias("body"),
+    )
+    return X.from_sql(spark, d, MATCH_PAGE_SQL, "orders"), documents, X.from_sql(spark, d, CATALOGUE_SQL, "nation")
+
+
+def matched_templates(spark: SparkSession, d: str) -> DataFrame:
+    pages, documents, catalogue = _match_inputs(spark, d)
+    return M.matched_templates(pages, found_lines(spark, d), documents, catalogue)
+
+
+def truncated_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Three entries of a catalogue are looked at; catalogues that have more give no pick."""
+    pages, documents, catalogue = _match_inputs(spark, d)
+    return M.matched_templates(pages, found_lines(spark, d), documents, catalogue, limit=3)
+
+
+def gap_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Pages against the readable forms of all nations: which have the gaps that a match needs."""
+    _, documents, _ = _match_inputs(spark, d)
+    expected = kept(L.expected_lines(expand_templates(L.renamed(documents.filter(F.col("body").endswith("}") & (F.length("body") > 20)))).faces))
+    pairs = _pages(spark, d).select("page_id", F.explode(F.array(*[F.lit(f"n{i:02d}") for i in range(25)])).alias("template_id"))
+    return M.gap_candidates(pairs, found_lines(spark, d), expected)
+
+
 def screened_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Templates of all parts as candidates; some documents are cut short, empty or without output."""
     p = F.col("p_partkey")
@@ -280,7 +324,7 @@ _CAND_EST = "WITH" + _estimate_ctes(
 _RANK = """, m AS (SELECT *, list_sort(list(score) FILTER (verdict = 'match') OVER (PARTITION BY page_id), 'DESC') AS ss FROM cand),
  c AS (SELECT *, NOT cut AND len(ss) > 0 AND coalesce(ss[1] - ss[2] >= 0.1, true) AS clear FROM m)
  SELECT page_id, name, verdict, score, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN coalesce(clear, false) THEN -score END, name) AS rank,
-  coalesce(clear, false) AND verdict = 'match' AND score = ss[1] AS pick FROM c"""
+  coalesce(clear, false) AND verdict = 'match' AND score = ss[1] AS pick, NOT cut AND (ss[1] IS NULL OR coalesce(ss[1] - ss[2] >= 0.1, true)) AS show_score FROM c"""
 _BLOCKS = _EST + f""", okp AS (SELECT page_id, template_id, face_id, dy FROM est WHERE reason = ''),
  bdet AS (SELECT DISTINCT page_id, face_id, block_idx, pos FROM fo WHERE axis = 'h'),
  bt AS (SELECT o.page_id, o.template_id, o.face_id, e.block_idx, e.pos, o.dy FROM okp o JOIN pr e ON e.template_id = o.template_id AND e.face_id = o.face_id AND e.axis = 'h'),
@@ -309,7 +353,42 @@ gate AS (SELECT page_id, face_id, CASE WHEN off <> '' THEN 'no_estimate' WHEN nu
  WHEN n > 0 THEN 'overlap' ELSE '' END AS reason, CASE WHEN off <> '' OR small OR failsafe THEN 0 ELSE n END AS new_pairs, list_max(list_transform(dl, lambda v: abs(v))) AS far FROM gate1)
 """
 
+_DOCS = f"""SELECT n_nationkey AS n, 'n' || lpad(n_nationkey::VARCHAR, 2, '0') AS name, f.p, f.k, CASE n_nationkey % 9 WHEN 7 THEN 'parse' WHEN 8 THEN 'schema' END AS bad
+ FROM nation JOIN (VALUES {', '.join(f"({i}, {p}, {k})" for i, (_, p, k) in enumerate(CANDIDATES))}) f(m, p, k) ON n_nationkey % 4 = f.m"""
+_FORM_LINES = f"""SELECT c.name AS template_id, f.face_id, a.axis, 0 AS block_idx, (i.i * c.p)::INT AS pos, c.p // 2 - 2 AS lim FROM ({_DOCS}) c, (VALUES ('front'), ('back')) f(face_id),
+ (VALUES ('h'), ('v')) a(axis), (SELECT unnest(range(0, 17)) AS i) i WHERE i.i < c.k AND c.bad IS NULL"""
+
+
+def _matched_sql(limit: int) -> str:
+    """Offers, sizes, all votes, and the order to show."""
+    entries = f"""SELECT p.page_id, p.w, p.h, o.kind, o.name, d.n, 2.0 * d.p * d.k AS ih, CASE WHEN place > {limit} THEN 'limit' WHEN d.n IS NULL THEN 'not_found' ELSE d.bad END AS excluded
+ FROM ({MATCH_PAGE_SQL}) p JOIN (SELECT *, row_number() OVER (PARTITION BY catalogue ORDER BY kind <> 'shipped', name) AS place FROM ({CATALOGUE_SQL.replace("AS STRING", "AS VARCHAR")}) q) o USING (catalogue)
+ LEFT JOIN ({_DOCS}) d ON d.name = o.name"""
+    fit = "excluded IS NULL AND h > 0 AND abs(w::DOUBLE / h - 1800 / ih) / (1800 / ih) <= 0.01"
+    return "WITH" + _estimate_ctes(f"SELECT page_id, name AS template_id FROM ({entries}) WHERE {fit}", _FORM_LINES) + f""", en AS ({entries}),
+ cand AS (SELECT e.page_id, e.kind, e.name, e.n, coalesce(f.verdict, 'mismatch') AS verdict, coalesce(f.why, 'size') AS why, coalesce(f.score, -1) AS score, coalesce(det_h + det_v, 0) AS detected,
+  coalesce(exp_h + exp_v, 0) AS expected, bool_or(e.excluded = 'limit') OVER (PARTITION BY e.page_id) AS any_cut, e.excluded FROM en e LEFT JOIN folded f ON f.page_id = e.page_id AND f.template_id = e.name),
+ live AS (SELECT *, coalesce(any_cut, false) AS cut FROM cand WHERE excluded IS NULL),
+ m AS (SELECT *, list_sort(list(score) FILTER (verdict = 'match') OVER (PARTITION BY page_id), 'DESC') AS ss FROM live),
+ c AS (SELECT *, coalesce(NOT cut AND len(ss) > 0 AND coalesce(ss[1] - ss[2] >= 0.1, true), false) AS clear FROM m)
+ SELECT page_id, kind, name, 'id-' || n AS template_id, verdict, why, score, detected, expected, 0 AS fields, 2 AS tables, '2024-03-' || substr(name, 2) AS updated_at, NULL AS excluded,
+  row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN clear THEN -score END, name) AS rank, clear AND verdict = 'match' AND score = ss[1] AS pick,
+  NOT cut AND (ss[1] IS NULL OR coalesce(ss[1] - ss[2] >= 0.1, true)) AS show_score FROM c
+ UNION ALL SELECT page_id, kind, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN n IS NOT NULL THEN '2024-03-' || substr(name, 2) END, excluded, NULL, NULL, NULL FROM cand WHERE excluded IS NOT NULL"""
+
+
+_GAP_SQL = f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY template_id, face_id, axis ORDER BY pos) AS i, count(*) OVER (PARTITION BY template_id, face_id, axis) AS n FROM ({_FORM_LINES})),
+ d AS (SELECT DISTINCT page_id, face_id, axis, pos FROM ({X.FOUND_SQL})), g AS (SELECT a.template_id, a.face_id, a.axis, a.n, a.i, b.i AS j, a.pos, b.pos - a.pos AS gap, a.lim FROM e a JOIN e b
+  ON a.template_id = b.template_id AND a.face_id = b.face_id AND a.axis = b.axis AND b.i - a.i BETWEEN 1 AND 3),
+ q AS (SELECT a.page_id, a.face_id, a.axis, a.pos, b.pos - a.pos AS gap FROM d a JOIN d b ON a.page_id = b.page_id AND a.face_id = b.face_id AND a.axis = b.axis AND b.pos > a.pos),
+ hit AS (SELECT q.page_id, g.template_id, g.face_id, g.axis, max(g.n) AS n, count(DISTINCT (g.i, g.j)) AS found FROM q JOIN g ON q.face_id = g.face_id AND q.axis = g.axis
+  AND abs(q.gap - g.gap) <= 2 AND abs(q.pos - g.pos) <= g.lim + 1 GROUP BY ALL), ok AS (SELECT *, greatest(2, ceil(n / 2.0)) AS k FROM hit)
+ SELECT page_id, template_id FROM ok WHERE found >= k - 1 - floor((n - k) / 3) AND page_id IN (SELECT page_id FROM ({X.PAGE_SQL})) GROUP BY ALL HAVING count(*) = 4"""
+
 ENTRIES = {
+    "matched_templates": Entry(matched_templates, _matched_sql(1000)),
+    "truncated_matches": Entry(truncated_matches, _matched_sql(3)),
+    "gap_candidates": Entry(gap_candidates, _GAP_SQL),
     "expected_lines": Entry(expected_lines, _expected_sql()),
     "shift_estimates": Entry(
         shift_estimates, _EST + "SELECT page_id, face_id, dx, dy, matched, det_h, det_v, matched_uniq, at_boundary, reason FROM est"

@@ -90,4 +90,5 @@ def test_ranking(spark):
     got = {}
     for r in L.rank_candidates(df, cut).orderBy("page_id", "rank").collect():
         got.setdefault(r["page_id"], []).append((r["name"], r["pick"]))
+        assert r["show_score"] == (r["page_id"] not in (2, 5))
     assert got == {1: [("b", True), ("a", False)], 2: [("a", False), ("b", False)], 3: [("a", False), ("b", False)], 4: [("a", False), ("b", True)], 5: [("b", False)]}
