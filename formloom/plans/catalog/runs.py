@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formloom.operators import frames as R
 from formloom.operators import runs as U
 from formloom.plans import fixtures as X
 from formloom.plans.catalog import Entry
@@ -61,6 +62,30 @@ def frame_ledger(spark: SparkSession, d: str) -> DataFrame:
     return _frames(spark, d).ledger
 
 
+def _masked(spark: SparkSession, d: str) -> DataFrame:
+    return R.masked_runs(_ink(spark, d), R.page_exclusions(X.pages(spark, d), X.frame_tables(spark, d)))
+
+
+def masked_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Ink around the excluded rect of the page's form; equal pieces stay as often as they come."""
+    return _masked(spark, d)
+
+
+def _page_frames(spark: SparkSession, d: str) -> U.Frames:
+    """Every page of the orders, those without ink too."""
+    pages = X.pages(spark, d).select("page_id", "template_id", F.lit(PAGE_W).alias("page_w"), F.lit(PAGE_H).alias("page_h"))
+    ink = _masked(spark, d).filter(F.col("page_id") % 13 != 5)
+    return R.page_frames(kept(U.line_segments(ink)), pages, X.frame_tables(spark, d))
+
+
+def page_frames(spark: SparkSession, d: str) -> DataFrame:
+    return _page_frames(spark, d).cells
+
+
+def page_frame_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return _page_frames(spark, d).ledger
+
+
 def table_rows(spark: SparkSession, d: str) -> DataFrame:
     return U.table_rows(_frames(spark, d).cells).select(
         "page_id", "y1", "y2", "x_first", "cells", "residual",
@@ -178,7 +203,42 @@ _KEPT = _CELLS + f""",
 judged AS (SELECT *, CASE WHEN x2 - x1 >= {PAGE_W} * 0.9 AND y2 - y1 >= {PAGE_H} * 0.9 THEN 'page_outline' WHEN x2 - x1 < 20 OR y2 - y1 < 20 THEN 'too_small' ELSE 'cell' END AS reason FROM closed)"""
 
 
+_SPLIT = f"CASE page_id % 25 % 3 WHEN 0 THEN {X.FRAME_SPLITS[0]} WHEN 1 THEN {X.FRAME_SPLITS[1]} ELSE {X.FRAME_SPLITS[2]} END"
+
+
+def _masked_sql() -> str:
+    """What lies before and after the box, for runs on its scan lines."""
+    b = X.FRAME_BOX
+    on = f"(axis = 'h' AND scan >= {b['y']} AND scan < {b['y'] + b['h']} OR axis = 'v' AND scan >= {b['x']} AND scan < {b['x'] + b['w']})"
+    lo, hi = f"CASE axis WHEN 'h' THEN {b['x']} ELSE {b['y']} END", f"CASE axis WHEN 'h' THEN {b['x'] + b['w']} ELSE {b['y'] + b['h']} END"
+    return f"""SELECT page_id, axis, scan, s::BIGINT AS s, e::BIGINT AS e FROM ({X.INK_SQL}) i WHERE NOT {on}
+ UNION ALL SELECT page_id, axis, scan, s, least(e, {lo} - 1) FROM ({X.INK_SQL}) i WHERE {on} AND s < {lo}
+ UNION ALL SELECT page_id, axis, scan, greatest(s, {hi}), e FROM ({X.INK_SQL}) i WHERE {on} AND e >= {hi}"""
+
+
+_FRAMES = "WITH RECURSIVE " + _KEPT.replace(X.SEGMENT_SQL, _SEGMENTS.replace(X.INK_SQL, f"SELECT * FROM ({_masked_sql()}) WHERE page_id % 13 <> 5")) + f""",
+ fr AS (SELECT *, {_SPLIT} AS cut, round_even(x1, 0) AS x, round_even(y1, 0) AS y, round_even(x2 - x1, 0) AS w, round_even(y2 - y1, 0) AS h FROM judged),
+ fd AS (SELECT *, CASE WHEN x + w / 2 < cut AND x + w <= cut THEN 'left' WHEN x + w / 2 >= cut AND x >= cut THEN 'right' ELSE 'straddle' END AS face FROM fr),
+ fc AS (SELECT * REPLACE (CASE WHEN reason = 'cell' AND face = 'straddle' THEN 'straddles_face' ELSE reason END AS reason) FROM fd)
+"""
+
 ENTRIES = {
+    "masked_runs": Entry(masked_runs, _masked_sql()),
+    "page_frames": Entry(
+        page_frames,
+        _FRAMES + f"""SELECT page_id, y1, x1, y2, x2, residual, face, face = 'left' AND x < {X.FRAME_FIELD['x'] + X.FRAME_FIELD['w']} AND x + w > {X.FRAME_FIELD['x']}
+ AND y < {X.FRAME_FIELD['y'] + X.FRAME_FIELD['h']} AND y + h > {X.FRAME_FIELD['y']} AS overlaps FROM fc WHERE reason = 'cell'""",
+    ),
+    "page_frame_ledger": Entry(
+        page_frame_ledger,
+        _FRAMES + f""", a AS (SELECT page_id, count(*) FILTER (axis = 'h') AS rails_h, count(*) FILTER (axis = 'v') AS rails_v FROM rt GROUP BY 1),
+ s AS (SELECT page_id, count(*) FILTER (axis = 'h') AS lines_h, count(*) FILTER (axis = 'v') AS lines_v FROM seg GROUP BY 1),
+ b AS (SELECT page_id, count(*) AS components, count(*) FILTER (kind = 'rect') AS rects, count(*) FILTER (kind = 'non_rectangular') AS non_rectangular, count(*) FILTER (kind = 'not_closed') AS not_closed FROM part GROUP BY 1),
+ c AS (SELECT page_id, count(*) FILTER (reason = 'page_outline') AS page_outline, count(*) FILTER (reason = 'too_small') AS too_small, count(*) FILTER (reason = 'straddles_face') AS straddles_face, count(*) FILTER (reason = 'cell') AS cells FROM fc GROUP BY 1),
+ l AS (SELECT p.page_id, {', '.join(f"coalesce({n}, 0) AS {n}" for n in "lines_h lines_v rails_h rails_v rects non_rectangular not_closed cells page_outline too_small straddles_face components".split())}
+  FROM ({X.PAGE_SQL}) p LEFT JOIN s USING (page_id) LEFT JOIN a USING (page_id) LEFT JOIN b USING (page_id) LEFT JOIN c USING (page_id))
+ SELECT *, CASE WHEN lines_h + lines_v = 0 THEN 'no_lines' WHEN rects = 0 THEN 'no_rect' WHEN cells = 0 THEN 'all_filtered' END AS zero_reason FROM l""",
+    ),
     "bridged_runs": Entry(bridged_runs, f"WITH ink AS (SELECT *, 'h' AS axis FROM ({X.RUN_SQL}) r), {_BRIDGE} SELECT page_id, axis, scan, s, e FROM brid"),
     "line_segments": Entry(line_segments, _SEGMENTS),
     "interval_coverage": Entry(

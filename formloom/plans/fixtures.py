@@ -120,6 +120,29 @@ SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CASE WHEN l_linenumber
  CAST(CASE WHEN l_linenumber % 2 = 0 THEN 50 + (l_suppkey % 4) * 60 + 58 + CAST(l_quantity AS BIGINT) % 5 ELSE 20 + (l_suppkey % 4) * 70 + 68 + CAST(l_quantity AS BIGINT) % 5 END AS INT) AS e
 FROM lineitem"""
 
+# Forms for that grid: a left and a right face that meet at a place of their own, an excluded rect and a field on the left.
+FRAME_SPLITS = (200, 165, 320)
+FRAME_SIZE = (400, 360)
+FRAME_BOX = {"x": 100, "y": 80, "w": 30, "h": 24}
+FRAME_FIELD = {"x": 60, "y": 30, "w": 40, "h": 40}
+
+
+def frame_tables(spark: SparkSession, sf_dir: str) -> TemplateTables:
+    """A form with two faces for each nation."""
+
+    def doc(split: int) -> str:
+        w, h = FRAME_SIZE
+        field = {"field_id": "a", "kind": "text", "rect": FRAME_FIELD}
+        left = {"face_id": "left", "source": {"page_offset": 0, "rect": {"x": 0, "y": 0, "w": split, "h": h}}, "exclusions": [{"id": "e", "rect": FRAME_BOX}], "fields": [field], "tables": []}
+        right = {"face_id": "right", "source": {"page_offset": 0, "rect": {"x": split, "y": 0, "w": w - split, "h": h}}, "exclusions": [], "fields": [], "tables": []}
+        return json.dumps({"schema_version": 1, "template_id": "@id", "render_dpi": 300, "image": {"width": w, "height": h}, "record": {"pages": 1}, "faces": [left, right]})
+
+    n = F.col("n_nationkey")
+    body = F.element_at(F.array(*[F.lit(doc(x)) for x in FRAME_SPLITS]), (n % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "nation").select(F.replace(body, F.lit("@id"), F.concat(F.lit("form-"), n.cast("string"))).alias("body"))
+    return expand_templates(docs).settled()
+
+
 # Segments of the same grid, as they come out of the ink.
 SEGMENT_SQL = """
 SELECT CAST(floor(l_orderkey / 25) AS BIGINT) AS page_id, CASE WHEN l_linenumber % 2 = 0 THEN 'h' ELSE 'v' END AS axis,
