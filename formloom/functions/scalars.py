@@ -36,11 +36,22 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+# Full-width forms of ASCII and the wide space: the one-to-one part of NFKC.
+_WIDE = "".join(chr(0xFF00 + i) for i in range(1, 0x5F)) + "\u3000"
+_NARROW = "".join(chr(0x20 + i) for i in range(1, 0x5F)) + " "
+# ASCII, marks, kana and ideographs that NFKC leaves as they are and never joins with each other, for a Java character class
+_STABLE = r"^[\x00-\x7F\u3001-\u3003\u3005-\u3029\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff]*\z"
+
+
 def nfkc(text: Column) -> Column:
-    """H3: Unicode NFKC. ASCII text, the common case, never leaves the JVM."""
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(
-        _nfkc(F.when(~text.rlike(r"^[\x00-\x7F]*$"), text))
-    )
+    """H3: Unicode NFKC. Full-width forms are translated in the JVM.
+
+    Only values with other characters (half-width kana, ligatures, combining marks, other scripts) are normalised in
+    Python; for all other rows a null goes there.
+    """
+    plain = F.translate(text, _WIDE, _NARROW)
+    stable = plain.rlike(_STABLE)
+    return F.when(stable, plain).otherwise(_nfkc(F.when(~stable, text)))
 
 
 # white space as Unicode defines it, for a Java character class

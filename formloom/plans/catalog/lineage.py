@@ -164,6 +164,13 @@ def resend_plan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def refused_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The other policy: stale pages keep their state and are marked."""
+    pages = _state(spark, d)
+    kept_back = N.resend_policy(pages, N.stale_pages(pages, _alignment(spark, d), NOW), False)
+    return kept_back.select("page_id", "state", "refused")
+
+
 def upserted_rows(spark: SparkSession, d: str) -> DataFrame:
     """Line items as stored rows; pages of open orders are written anew from their first line."""
     old = X.table(spark, d, "lineitem").select(
@@ -345,6 +352,9 @@ ENTRIES = {
         resend_plan,
         _STALE + """SELECT CASE WHEN s.page_id IS NOT NULL THEN 'pending' ELSE p.state END AS state, count(*) AS pages, 0 AS refused FROM p LEFT JOIN stale s USING (page_id) GROUP BY 1""",
     ),
+    "refused_pages": Entry(
+        refused_pages, _STALE + """SELECT p.page_id, p.state, s.page_id IS NOT NULL AS refused FROM p LEFT JOIN stale s USING (page_id)"""
+    ),
     "upserted_rows": Entry(
         upserted_rows,
         """SELECT l_orderkey AS page_id, l_linenumber AS cell, l_quantity AS value FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')

@@ -21,20 +21,23 @@ def split_sources(files: DataFrame, name: str = "name") -> DataFrame:
 
 
 def list_sources(spark: SparkSession, path: str) -> DataFrame:
-    """A2: files below ``path`` with the hash of their bytes; nothing is decoded."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            F.regexp_extract("path", r"([^/\\]+)$", 1).alias("name"),
-            "path",
-            F.col("length").alias("bytes"),
-            F.sha1("content").alias("hash"),
-            F.sha2("content", 256).alias("image_sha256"),
-        )
+    """A2: files below ``path`` with the hash of their bytes; nothing is decoded.
+
+    Files with other suffixes are listed without being opened, their hashes are NULL. Files without
+    a byte are not listed, as the source has no rows for them.
+    """
+    either = ",".join("*." + "".join(f"[{c}{c.upper()}]" for c in s) for s in SUFFIXES)
+
+    def listed(**options: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**options).load(path)
+        return split_sources(files.withColumn("name", F.regexp_extract("path", r"([^/\\]+)$", 1)))
+
+    head = ["name", "path", F.col("length").alias("bytes")]
+    accepted = listed(pathGlobFilter=f"{{{either}}}").filter("accepted").select(
+        *head, F.sha1("content").alias("hash"), F.sha2("content", 256).alias("image_sha256"), "accepted"
     )
-    return split_sources(files)
+    nothing = F.lit(None).cast("string")
+    return accepted.unionByName(listed().filter("NOT accepted").select(*head, nothing.alias("hash"), nothing.alias("image_sha256"), "accepted"))
 
 
 def assign_page_ids(pages: DataFrame, existing: DataFrame, spread: str = "page_no") -> DataFrame:

@@ -1,5 +1,6 @@
 """Reconciling sources, gates and page states."""
 
+import hashlib
 import json
 import tempfile
 from pathlib import Path
@@ -66,8 +67,15 @@ def test_listing_files(spark):
     folder = Path(tempfile.mkdtemp(prefix="run-"))
     for name in ("b.PDF", "a.png", "c.txt"):
         (folder / name).write_bytes(b"x")
-    got = {r["name"]: r["accepted"] for r in FS.list_sources(spark, str(folder)).collect()}
-    assert got == {"b.PDF": True, "a.png": True, "c.txt": False}
+    (folder / "deep").mkdir()
+    (folder / "deep" / "d.jPeG").write_bytes(b"y")
+    (folder / "pdf").write_bytes(b"x")
+    rows = FS.list_sources(spark, str(folder)).collect()
+    assert {r["name"]: r["accepted"] for r in rows} == {"b.PDF": True, "a.png": True, "d.jPeG": True, "c.txt": False, "pdf": False} and len(rows) == 5
+    for r in rows:
+        data = b"y" if r["name"] == "d.jPeG" else b"x"
+        assert r["hash"] == (hashlib.sha1(data).hexdigest() if r["accepted"] else None)
+        assert r["bytes"] == 1
 
 
 def test_states_never_go_back(spark):

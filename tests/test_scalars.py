@@ -1,5 +1,8 @@
 """Literal cases of the column functions."""
 
+import random
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from formloom.functions import scalars as S
@@ -23,6 +26,15 @@ def test_amounts(spark):
     assert run(spark, bad[-2:], S.normalize_amount) == [100, None]  # white space at the end goes; too long is NULL
 
 
+def test_nfkc(spark):
+    """Random texts of characters that are translated, kept, and joined with others."""
+    rnd = random.Random(11)
+    pool = [chr(c) for c in (*range(0x20, 0x7F), *range(0x2FF0, 0x3100), *range(0xFF00, 0xFFA0), 0x0301, 0x3099, 0x309A, 0x4E00, 0x9FFF, 0xFA10, 0x1100, 0x1161, 0xFB01, 0x20BB7)]
+    texts = [c for c in pool] + ["".join(rnd.choices(pool, k=rnd.randrange(1, 9))) for _ in range(3000)] + ["", "a\n", "Ａ\u0301", "か\u3099", "ｶﾞ"]
+    assert run(spark, texts, S.nfkc) == [unicodedata.normalize("NFKC", t) for t in texts]
+    assert run(spark, [None, "１"], S.nfkc) == [None, "1"]
+
+
 def test_split(spark):
     good = {"7.7.20": ["7", "7", "20"], "3,8,30": ["3", "8", "30"], "H20.7.20": ["H20", "7", "20"], "7・7・20": ["7", "7", "20"],
             "7/7/20": ["7", "7", "20"], "7 . 7 . 20": ["7", "7", "20"], "７．７．２０": ["7", "7", "20"], "7･7･20": ["7", "7", "20"]}
